@@ -29,7 +29,8 @@ NGRAMS = (3, 4, 5)
 #: Texts of each class that train at most.
 MOST = 2500
 FOLDS = 5
-STRONGEST = 20_000
+#: Features trained at most.
+STRONGEST = 5_000
 
 
 def features(text: str | None) -> np.ndarray:
@@ -67,7 +68,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[str], labels: np.ndarray, odds: float, steps: int = 150, decay: float = 1e-7, strongest: int = STRONGEST) -> Model:
+def fit(texts: list[str], labels: np.ndarray, odds: float, steps: int = 200, decay: float = 1e-7, strongest: int = STRONGEST) -> Model:
     """Full-batch Adam on the scaled presence features. odds: of the classes before sampling.
 
     Of the features the `strongest` by the z score of their two class rates are trained;
