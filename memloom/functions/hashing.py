@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # Start, and the prime 2 ** 40 + 435 of the multiplicative hash.
 START = 1469598103934665603
@@ -25,7 +26,7 @@ def fnv(text: Column, modulo: int) -> Column:
         carried = h["hi"] * PRIME_LOW + F.shiftright(x * PRIME_LOW, 32) + x.bitwiseAND(F.lit(0xFFFFFF)) * 256
         return limb(carried.bitwiseAND(F.lit(MASK)), (x * PRIME_LOW).bitwiseAND(F.lit(MASK)))
 
-    first = limb(F.lit(START >> 32), F.lit(START & MASK))
+    first = limb(F.lit(START >> 32).cast("long"), F.lit(START & MASK).cast("long"))
     return F.aggregate(codes, first, step, lambda h: ((h["hi"] % modulo) * ((1 << 32) % modulo) + h["lo"] % modulo) % modulo)
 
 
@@ -36,13 +37,12 @@ def fnv_sql(text: str, modulo: int) -> str:
     return f"(list_reduce(list_concat([{START}::HUGEINT], {codes}), lambda a, b: (xor({low}, b) * 1099511628211) % 18446744073709551616) % {modulo})::BIGINT"
 
 
-@F.pandas_udf("long")
 def _blake(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little", signed=True))
 
 
 def blake(text: Column, modulo: int) -> Column:
     """BLAKE2b of 8 bytes, little-endian, mod `modulo`; Spark has no built-in for it."""
-    signed = _blake(text)
+    signed = F.pandas_udf(_blake, LongType())(text)
     two64 = (1 << 64) % modulo
     return F.when(signed >= 0, signed % modulo).otherwise((F.pmod(signed, F.lit(modulo)) + two64) % modulo)

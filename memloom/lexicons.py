@@ -81,3 +81,59 @@ TEST_EMOTIONS = (("hate", "rage"), ("sad", "grief"), ("the", "calm"), ("and", "j
 TEST_FLAGS = (("tion", "DECISION"), ("ment", "PIVOT"), ("lich", "ORIGIN"), ("ción", "CORE"), ("so", "CORE"))
 TEST_CAUSAL = (("tion", "cause"), ("so", "effect"), ("if", "condition"))
 TEST_TURNS = (("then", "progression"), ("but", "contrast"), ("ou", "redirect"), ("?", "inquiry"))
+
+# Verbs that are relations by themselves, and endings that make one.
+COMMON_VERBS = (
+    "adopt build buy change choose compare debug decide deploy discuss explain fix implement improve learn migrate plan prefer refactor "
+    "remember replace research review ship switch test travel update use want work"
+).split()
+VERB_ENDINGS = ("ed", "ing", "ize", "ise")
+
+# Flag -> relation.
+FLAG_RELATIONS = (
+    ("DECISION", "decision"), ("ORIGIN", "origin"), ("CORE", "principle"), ("PIVOT", "transition"), ("SENSITIVE", "private"), ("GENESIS", "origin"),
+)
+
+# Tone -> shift of the phase.
+TONE_SHIFTS = (("contrastive", 0.65), ("assertive", 0.45), ("uncertain", -0.35), ("reflective", 0.20), ("tense", 0.55), ("positive", 0.25))
+
+# Words of a state that give it a tone, in this order.
+TONE_WORDS = (
+    (("question", "inquiry", "uncertain", "maybe", "consider"), "uncertain"),
+    (("resolve", "resolution", "decide", "commit", "therefore"), "assertive"),
+    (("turn", "reframe", "contrast", "however", "but", "topic_shift"), "contrastive"),
+    (("reflect", "reflection", "background", "setup"), "reflective"),
+    (("risk", "problem", "failure", "concern", "conflict"), "tense"),
+    (("benefit", "opportunity", "success", "progress", "resolution"), "positive"),
+)
+
+# Transitions that continue a causal chain.
+CAUSAL_TRANSITIONS = ("cause_to_decision", "decision_to_effect", "decision_to_implementation", "turn_to_resolution")
+
+# Base strength of each event of the finite alphabet.
+EVENT_STRENGTH = (
+    ("persistence", 0.8), ("turn", 1.8), ("reframe", 2.4), ("topic_shift", 2.2), ("question", 1.7), ("resolution", 2.0), ("cause_to_decision", 2.3), ("tone_flip", 1.6),
+)
+
+# Amplitude of an edge in a volume by its type, and what its status adds.
+EDGE_AMPLITUDE = (("allow", 1.5), ("block", 1.7), ("require", 1.4), ("trigger", 1.3), ("step", 1.5), ("flow", 1.6), ("conflict", 1.8), ("junction", 1.2))
+STATUS_AMPLITUDE = (("realized", 0.35), ("blocked", 0.45), ("outside", 0.20))
+
+# The thirteen directions of a tube.
+DIRECTIONS = (
+    (1, 0, 0), (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (1, 1, 1), (1, 1, -1), (1, -1, 1), (1, -1, -1), (0, 1, 0), (0, 0, 1), (0, 1, 1), (0, 1, -1),
+)
+
+# The kernel that an event leaves in a volume, (dt, du, dv, share).
+KERNEL = ((0, 0, 0, 1.0), (-1, 0, 0, 0.45), (1, 0, 0, 0.45), (0, -1, 0, 0.45), (0, 1, 0, 0.45), (0, 0, -1, 0.35), (0, 0, 1, 0.35))
+
+#: Phrase rules for tests: (domain words, slot, label, any of these, all of these); a rule fires in a text of its domain.
+TEST_PHRASE_RULES = (
+    (("the", "der"), "allowed", "keep_reading", ("tion", "ung"), ()),
+    (("the", "der"), "allowed", "skip_ahead", (), ("an", "er")),
+    (("the", "der"), "forbidden", "stop_here", ("sto", "hal"), ()),
+    (("the", "der"), "required", "cite_source", (), ("so",)),
+    (("que", "les"), "allowed", "translate", ("es",), ()),
+    (("que", "les"), "required", "keep_accents", ("é", "ó"), ()),
+)
+TEST_TONES = (("the", "assertive"), ("and", "contrastive"), ("que", "uncertain"), ("lich", "tense"), ("ing", "reflective"))
