@@ -53,16 +53,22 @@ s4 AS (SELECT *, {sql_distinct(_cat(_part('actor', 'sem', 1), _part('target', 's
   {_cat("CASE WHEN step_idx = 0 THEN ['act::opening'] WHEN step_idx = n - 1 THEN ['act::closing'] ELSE ['act::middle'] END", _if(f"{_has('tur', 'origin')} OR {_has('fl', 'ORIGIN', 'GENESIS')}", 'act::setup'), _if(_has('tur', 'contrast', 'redirect'), 'act::complication'), _if(f"{_has('fl', 'PIVOT')} OR {_has('tur', 'pivot')}", 'act::turn'), _if(f"{_has('fl', 'DECISION')} OR {_has('tur', 'commit')}", 'act::commitment'), _if(f"{_has('tur', 'resolution')} OR (step_idx >= greatest(n - 2, 0) AND {_has('rel', 'decision')})", 'act::resolution'), _if(f"{_has('rel', 'question')} OR {_has('tur', 'inquiry')}", 'act::inquiry'))}[1:6] AS acts FROM s3),
 st AS (SELECT session_id, step_idx, chunk, sem, rel, fl, em, cau, tur, roles, schemas, acts,
   1.0 + 0.15 * len(sem) + 0.1 * len(rel) + 0.08 * len(cau) + 0.08 * len(tur) + 0.08 * len(roles) + 0.1 * len(schemas) + 0.1 * len(acts) + CASE WHEN {_has('fl', 'DECISION', 'PIVOT', 'CORE')} THEN 0.25 ELSE 0 END AS weight FROM s4)"""
-SQL_STEPS = f"""{SQL_CHUNKS}, k0 AS (SELECT *, {sql_distinct(sql_tokens('chunk'))} AS k FROM ch),
-ls AS (SELECT session_id, step_idx, coalesce(k[1], 'context') AS current, {_or('k[2:3]', 'persistence')} AS preferred, k[4:5] AS forbidden, {_or('k[6:7]', 'maintain_local_context')} AS required, {_or('k[8:9]', 'persistence')} AS triggers, 0.5 AS confidence FROM k0),
-sw AS (SELECT *, 1.0 + 0.7 * confidence + 0.08 * len(preferred) + 0.05 * len(forbidden) AS w, lag(current) OVER q AS pc, lag(preferred) OVER q AS pp, lag(forbidden) OVER q AS pf FROM ls WINDOW q AS (PARTITION BY session_id ORDER BY step_idx)),
-ed AS (SELECT session_id, step_idx, current AS source_state, 'allow' AS edge_type, unnest(preferred[1:4]) AS target, 3.2 * w * (1.0 + 0.08 * len(list_distinct(required))) AS weight, '' AS trigger, '' AS status, 0 AS g, generate_subscripts(preferred[1:4], 1) AS i FROM sw
-  UNION ALL SELECT session_id, step_idx, current, 'block', unnest(forbidden[1:3]), 2.9 * w * (1.0 + 0.06 * len(forbidden)), '', '', 1, generate_subscripts(forbidden[1:3], 1) FROM sw
-  UNION ALL SELECT session_id, step_idx, current, 'require', unnest(required[1:3]), 2.7 * w, '', '', 2, generate_subscripts(required[1:3], 1) FROM sw
-  UNION ALL SELECT session_id, step_idx, current, 'trigger', current, 2.5 * w, unnest(triggers[1:3]), '', 3, generate_subscripts(triggers[1:3], 1) FROM sw
-  UNION ALL SELECT session_id, step_idx, pc, 'step', current, 2.8, '', '', 4, 1 FROM sw WHERE pc IS NOT NULL
-  UNION ALL SELECT session_id, step_idx, pc, 'flow', current, CASE WHEN x = current THEN 3.0 ELSE 2.4 END, x, CASE WHEN x = current THEN 'realized' ELSE 'outside' END, 5, i FROM (SELECT *, unnest(pp[1:2]) AS x, generate_subscripts(pp[1:2], 1) AS i FROM sw WHERE pc IS NOT NULL)
-  UNION ALL SELECT session_id, step_idx, pc, 'conflict', current, 2.7, x, 'blocked', 6, i FROM (SELECT *, unnest(pf[1:2]) AS x, generate_subscripts(pf[1:2], 1) AS i FROM sw WHERE pc IS NOT NULL) WHERE x = current)"""
+def sql_steps(ch: str = "ch", p: str = "") -> str:
+    """Constraint steps (ls, sw) and edges (ed) of a table of chunks, under a prefix."""
+    return f"""
+{p}k0 AS (SELECT *, {sql_distinct(sql_tokens('chunk'))} AS k FROM {ch}),
+{p}ls AS (SELECT session_id, step_idx, coalesce(k[1], 'context') AS current, {_or('k[2:3]', 'persistence')} AS preferred, k[4:5] AS forbidden, {_or('k[6:7]', 'maintain_local_context')} AS required, {_or('k[8:9]', 'persistence')} AS triggers, 0.5 AS confidence FROM {p}k0),
+{p}sw AS (SELECT *, 1.0 + 0.7 * confidence + 0.08 * len(preferred) + 0.05 * len(forbidden) AS w, lag(current) OVER q AS pc, lag(preferred) OVER q AS pp, lag(forbidden) OVER q AS pf FROM {p}ls WINDOW q AS (PARTITION BY session_id ORDER BY step_idx)),
+{p}ed AS (SELECT session_id, step_idx, current AS source_state, 'allow' AS edge_type, unnest(preferred[1:4]) AS target, 3.2 * w * (1.0 + 0.08 * len(list_distinct(required))) AS weight, '' AS trigger, '' AS status, 0 AS g, generate_subscripts(preferred[1:4], 1) AS i FROM {p}sw
+  UNION ALL SELECT session_id, step_idx, current, 'block', unnest(forbidden[1:3]), 2.9 * w * (1.0 + 0.06 * len(forbidden)), '', '', 1, generate_subscripts(forbidden[1:3], 1) FROM {p}sw
+  UNION ALL SELECT session_id, step_idx, current, 'require', unnest(required[1:3]), 2.7 * w, '', '', 2, generate_subscripts(required[1:3], 1) FROM {p}sw
+  UNION ALL SELECT session_id, step_idx, current, 'trigger', current, 2.5 * w, unnest(triggers[1:3]), '', 3, generate_subscripts(triggers[1:3], 1) FROM {p}sw
+  UNION ALL SELECT session_id, step_idx, pc, 'step', current, 2.8, '', '', 4, 1 FROM {p}sw WHERE pc IS NOT NULL
+  UNION ALL SELECT session_id, step_idx, pc, 'flow', current, CASE WHEN x = current THEN 3.0 ELSE 2.4 END, x, CASE WHEN x = current THEN 'realized' ELSE 'outside' END, 5, i FROM (SELECT *, unnest(pp[1:2]) AS x, generate_subscripts(pp[1:2], 1) AS i FROM {p}sw WHERE pc IS NOT NULL)
+  UNION ALL SELECT session_id, step_idx, pc, 'conflict', current, 2.7, x, 'blocked', 6, i FROM (SELECT *, unnest(pf[1:2]) AS x, generate_subscripts(pf[1:2], 1) AS i FROM {p}sw WHERE pc IS NOT NULL) WHERE x = current)"""
+
+
+SQL_STEPS = f"{SQL_CHUNKS},{sql_steps()}"
 SQL_TRANSITIONS = f"tr AS (SELECT *, CASE WHEN {_has('tur', 'contrast', 'redirect')} THEN 'reframe' WHEN {_has('cau', 'cause')} THEN 'cause_to_decision' WHEN {_has('cau', 'effect')} THEN 'decision_to_effect' ELSE 'persistence' END AS transition FROM st)"
 
 ARRAYS = {"semantic_keys": "sem", "relation_keys": "rel", "flags": "fl", "emotions": "em", "causal_markers": "cau", "turn_markers": "tur", "event_roles": "roles", "causal_schemas": "schemas", "narrative_acts": "acts"}
