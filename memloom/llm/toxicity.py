@@ -78,17 +78,16 @@ def fit(texts: list[str], labels: np.ndarray, odds: float, steps: int = 200, dec
     y = np.asarray(labels, np.float32)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BITS, np.float32), -30.0, False)
-    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    one = y[row] == 1
-    p = 1 + np.bincount(flat[one], minlength=1 << BITS).astype(np.float64)
-    q = 1 + np.bincount(flat[~one], minlength=1 << BITS).astype(np.float64)
+    p, q = np.ones(1 << BITS), np.ones(1 << BITS)
+    for s, label in zip(sets, y, strict=True):
+        (p if label else q)[s] += 1  # a set holds each feature once
     r = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
     rate, rate0, every = p / (y.sum() + 2), q / (len(y) - y.sum() + 2), (p + q) / (len(y) + 4)
     z = np.abs(rate - rate0) / np.sqrt(every * (1 - np.minimum(every, 0.999999)) * (1 / y.sum() + 1 / (len(y) - y.sum())))
     chosen = np.zeros(1 << BITS, bool)
     chosen[np.argsort(-z, kind="stable")[:strongest]] = True
-    keep = chosen[flat]
-    flat, row = flat[keep], row[keep]
+    sets = [s[chosen[s]] for s in sets]
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     size = np.float32(np.sqrt(max(1.0, len(flat) / len(y))))
     scale = r[flat] / size
     w, b = np.zeros(1 << BITS, np.float32), 0.0
