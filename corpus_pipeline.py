@@ -27,9 +27,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = exact.DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex[:12]}")
-    kept = exact.exact_dedup(docs, index).where("kept").select("doc_id", "text_sha256")
+    kept = exact.exact_dedup(docs, index).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_digest"))
     rows = docs.withColumn("_sha", exact.digest())
-    return rows.join(kept.distinct().withColumnRenamed("text_sha256", "_sha"), ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    same = (F.col("_sha") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_keep"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +39,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    rows = docs.join(copies, "doc_id")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Rows meet their copies by 128 bits of hash of the whole row, so ids may be null or repeat; rows that are equal in every column take alike."""
+    rows = docs.withColumns({"_a": F.xxhash64(*docs.columns), "_b": F.xxhash64(F.lit("mix"), *docs.columns)})
+    copies = mixing.mix(rows, carry=("_a", "_b")).groupBy("_a", "_b").agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    return rows.join(copies, ["_a", "_b"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
