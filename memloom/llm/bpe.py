@@ -8,6 +8,11 @@ entry is stale when its position was merged away or its pair has changed, and is
 skipped. A pre-token of n bytes takes O(n log n) steps, so text without any break
 costs no more for each byte than prose.
 
+Short pre-tokens that a batch of texts holds for the first time are merged together:
+they lie in one linked list, parted by sentinels, and one queue serves them all. Of a
+bucket every pre-token gives its leftmost position, so each sees the same merges in the
+same order as alone, and the arrays of a bucket are handled by numpy at once.
+
 Texts are cut where a character that isn't white space is followed by a space: no
 match of the split pattern crosses such a place. Segments, and pre-tokens inside
 them, are encoded once and remembered; the memo is bounded and never changes results.
@@ -30,8 +35,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of each memo; about 200 bytes an entry.
-MEMO = 300_000
+#: Entries of each memo's newer and older half; about 250 bytes an entry.
+MEMO = 800_000
+#: Bytes of a pre-token that is merged together with others.
+SHORT = 64
+#: Texts whose new pre-tokens are merged together.
+TOGETHER = 4096
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -42,19 +51,28 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 class _Memo(dict):
-    """key -> make(key), forgotten as a whole when full."""
+    """key -> make(key). When full it becomes the older half, of which only what is asked for again is kept."""
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+        self.put(key, made)
+        return made
+
+    def put(self, key, made) -> None:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        made = self[key] = self.make(key)
-        return made
+        self[key] = made
 
 
 class Codec:
+    HASH = np.uint64(0x9E3779B97F4A7C15)
+
     def __init__(self, path: str, pattern: str, memo: int = MEMO):
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
@@ -63,21 +81,167 @@ class Codec:
             self.vocabulary[rank] = token
         self.digits = [str(i) for i in range(len(self.vocabulary))]
         self.bytes = [self.ranks[bytes([i])] for i in range(256)]
+        self.byte_ids, self.ids = np.array(self.bytes, np.int64), list(range(len(self.vocabulary)))
+        self._make_table()
         self.find = regex.compile(pattern).findall
         self.odd_space = regex.compile(r"[\s\x1c-\x1f] ").search
         vocabulary, rank_of = self.vocabulary, self.ranks.get
-        self.pairs = _Memo(lambda k: rank_of(vocabulary[k >> 24] + vocabulary[k & 0xFFFFFF], -1), 4 * memo)
+        self.pairs = _Memo(lambda k: rank_of(vocabulary[k >> 24] + vocabulary[k & 0xFFFFFF], -1), memo)
         self.pretokens = _Memo(self._pretoken, memo)
         self.after_space = _Memo(lambda s: self._segment(" " + s), memo)
 
     def _segment(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pretokens.__getitem__, self.find(text))))
+        found = self.find(text)
+        if len(found) == 1:  # remembered as a segment
+            return self._pretoken(found[0])
+        return tuple(chain.from_iterable(map(self.pretokens.__getitem__, found)))
 
     def _pretoken(self, text: str) -> tuple[int, ...]:
         data = text.encode()
         whole = self.ranks.get(data)
         return (whole,) if whole is not None else tuple(self.merge(data))
 
+    def merge_many(self, items: list[bytes]) -> list[tuple[int, ...]]:
+        """merge() of many pre-tokens under one queue."""
+        if not items:
+            return []
+        end = len(self.vocabulary)  # the sentinel after each pre-token
+        lens = np.fromiter(map(len, items), np.int64, len(items))
+        owner = np.repeat(np.arange(len(items)), lens + 1)
+        stops = np.cumsum(lens + 1) - 1
+        sym = np.full(len(owner), end, np.int64)
+        inner = np.ones(len(owner), bool)
+        inner[stops] = False
+        sym[inner] = self.byte_ids[np.frombuffer(b"".join(items), np.uint8)]
+        after, before = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+        rank = np.full(len(sym), -1, np.int64)
+        rank[:-1] = self._ranks(sym[:-1], sym[1:])
+        buckets: dict[int, list[np.ndarray]] = {}
+        words: dict[int, int] = {}
+        top = 0
+
+        def file(ranks: np.ndarray, places: np.ndarray) -> int:
+            """Put places into the buckets of their ranks; the words of the upper bitmap that are now in use."""
+            order = ranks.argsort(kind="stable")
+            ranks, places = ranks[order], places[order]
+            cut = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            bounds = [0, *cut.tolist(), len(ranks)]
+            used = 0
+            for r, x, y in zip(ranks[np.concatenate(([0], cut))].tolist(), bounds, bounds[1:]):
+                if r in buckets:
+                    buckets[r].append(places[x:y])
+                else:
+                    buckets[r] = [places[x:y]]
+                    w = r >> 8
+                    words[w] = words.get(w, 0) | 1 << (r & 255)
+                    used |= 1 << w
+            return used
+
+        valid = np.flatnonzero(rank >= 0)
+        if len(valid):
+            top = file(rank[valid], valid)
+        while top:
+            w = (top & -top).bit_length() - 1
+            bits = words[w]
+            r = w << 8 | (bits & -bits).bit_length() - 1
+            words[w] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
+            found = buckets.pop(r)
+            i = found[0] if len(found) == 1 else np.concatenate(found)
+            i = i[rank[i] == r]  # the others are stale
+            if len(i) > 1:
+                i = np.sort(i)
+                own = owner[i]
+                again = own[1:] == own[:-1]
+                if again.any():
+                    later = np.concatenate(([False], again))
+                    top |= file(np.full(int(later.sum()), r), i[later])
+                    i = i[~later]
+                    # A place may be filed twice.
+                    i = i[np.concatenate(([True], i[1:] != i[:-1]))]
+            elif not len(i):
+                continue
+            j = after[i]
+            k = after[j]
+            sym[i], sym[j], rank[j], after[i] = r, -1, -1, k
+            before[k] = i
+            h = before[i]
+            places = np.concatenate((i, h))
+            fresh = self._ranks(sym[places], sym[np.concatenate((k, i))])
+            rank[places] = fresh
+            ok = fresh >= 0
+            if ok.any():
+                top |= file(fresh[ok], places[ok])
+        alive = (sym >= 0) & (sym != end)
+        ids = list(map(self.ids.__getitem__, sym[alive].tolist()))
+        ends = np.cumsum(np.bincount(owner[alive], minlength=len(items))).tolist()
+        return [tuple(ids[x:y]) for x, y in zip([0, *ends], ends)]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the joins of pairs, -1 where the vocabulary has none."""
+        code = left << 17 | right
+        slot = ((code.view(np.uint64) * self.HASH) >> np.uint64(44)).astype(np.int64)
+        out = np.where(self.table_code[slot] == code, self.table_rank[slot], -1)
+        more = np.flatnonzero((self.table_code[slot] != code) & (self.table_code[slot] >= 0))
+        while len(more):
+            slot[more] = (slot[more] + 1) & (len(self.table_code) - 1)
+            seen = self.table_code[slot[more]]
+            hit = seen == code[more]
+            out[more[hit]] = self.table_rank[slot[more[hit]]]
+            more = more[~hit & (seen >= 0)]
+        return out
+
+    def _make_table(self) -> None:
+        """An open-addressed table of all pairs of tokens whose join is a token."""
+        rank_of = self.ranks.get
+        pairs = [(a << 17 | b, r) for token, r in self.ranks.items() for n in range(1, len(token)) if (a := rank_of(token[:n])) is not None and (b := rank_of(token[n:])) is not None]
+        code, rank = map(np.ascontiguousarray, np.array(pairs, np.int64).T)
+        self.table_code, self.table_rank = np.full(1 << 20, -1, np.int64), np.full(1 << 20, -1, np.int64)
+        slot = ((code.view(np.uint64) * self.HASH) >> np.uint64(44)).astype(np.int64)
+        while len(code):
+            free = self.table_code[slot] < 0
+            _, first = np.unique(slot, return_index=True)
+            takes = np.zeros(len(code), bool)
+            takes[first] = True
+            takes &= free
+            self.table_code[slot[takes]], self.table_rank[slot[takes]] = code[takes], rank[takes]
+            code, rank, slot = code[~takes], rank[~takes], (slot[~takes] + 1) & (len(self.table_code) - 1)
+
+    def prime(self, texts: list[str]) -> None:
+        """Encode what the texts hold for the first time, all short pre-tokens at once."""
+        segments: set[str] = set()
+        pretokens: set[str] = set()
+        for text in texts:
+            if self.odd_space(text):
+                pretokens.update(self.find(text))
+            else:
+                first, *rest = text.split(" ")
+                segments.update(rest)
+                pretokens.update(self.find(first))
+        known, parts = self.after_space, self.pretokens
+        whole, rest = [], []
+        for x in segments:
+            if x not in known and x not in known.old:
+                found = self.find(" " + x)
+                if len(found) == 1:
+                    whole.append(x)
+                else:
+                    pretokens.update(found)
+        rest = [x for x in pretokens if x not in parts and x not in parts.old]
+        data = [(" " + x).encode() for x in whole] + [x.encode() for x in rest]
+        token = self.ranks.get
+        made: list = [(t,) if (t := token(d)) is not None else None for d in data]
+        short = [n for n, d in enumerate(data) if made[n] is None and len(d) <= SHORT]
+        for n, ids in zip(short, self.merge_many([data[n] for n in short]), strict=True):
+            made[n] = ids
+        for n, d in enumerate(data):
+            ids = made[n] if made[n] is not None else tuple(self.merge(d))
+            if n < len(whole):
+                known.put(whole[n], ids)
+            else:
+                parts.put(rest[n - len(whole)], ids)
+
     def merge(self, data: bytes) -> list[int]:
         n, pairs = len(data), self.pairs
         sym = [self.bytes[b] for b in data]
@@ -158,9 +322,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                own.prime(texts)
+                ids = [own.encode(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -199,16 +365,18 @@ def round_trip(docs: DataFrame, with_ids: bool = True, path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
                 counts, shas, decoded, same, kept = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = own.encode(text or "")
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                own.prime(texts)
+                for text in texts:
+                    ids = own.encode(text)
                     data = own.decode(ids)
                     counts.append(len(ids))
                     shas.append(hashlib.sha256(",".join(map(own.digits.__getitem__, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(data).hexdigest())
-                    same.append(data == (text or "").encode())
+                    same.append(data == text.encode())
                     if with_ids:
                         kept.append(ids)
                 cols = [part.column(0), pa.array(counts, pa.int64()), pa.array(shas), pa.array(decoded), pa.array(same)]
