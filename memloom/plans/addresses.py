@@ -167,13 +167,13 @@ sh AS (SELECT item_id, session_id, sum(x) AS shared FROM (
 su AS (SELECT p.item_id, p.session_id, p.lexical, coalesce(shared, 0) / sqrt(coalesce(a.total, 1e-12) * coalesce(b.total, 1e-12)) AS support FROM pool p LEFT JOIN sh USING (item_id, session_id) LEFT JOIN tot a ON a.side = 'q' AND a.session_id = p.item_id LEFT JOIN tot b ON b.side = 'h' AND b.session_id = p.session_id)"""
 
 
-@query(f"WITH {SQL_SUPPORT} SELECT item_id, session_id, round(support, 5) AS support FROM su")
+@query(f"WITH {SQL_SUPPORT} SELECT item_id, session_id, round(support, 5) AS support FROM su", small=True)
 def support_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared address and edge mass of each question and its five candidates."""
     return _supports(spark, sf_dir)[1].select("item_id", "session_id", F.round("support", 5).alias("support"))
 
 
-@query(f"WITH {SQL_SUPPORT}, h AS (SELECT item_id, session_id, round(0.7 * lexical + 0.3 * support, 6) AS score FROM su) SELECT item_id, session_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, session_id) AS rank FROM h")
+@query(f"WITH {SQL_SUPPORT}, h AS (SELECT item_id, session_id, round(0.7 * lexical + 0.3 * support, 6) AS score FROM su) SELECT item_id, session_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, session_id) AS rank FROM h", small=True)
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each question by 0.7 of the lexical score and 0.3 of the support."""
     pool, support = _supports(spark, sf_dir)

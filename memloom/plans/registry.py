@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: SQL that is too slow on whole tables; tests hold the queries against it on the smallest ones.
+SMALL_ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame under its own name, with DuckDB SQL for its rows."""
+def query(sql: str | None = None, small: bool = False):
+    """Register a function (spark, sf_dir) -> DataFrame under its own name, with DuckDB SQL for its rows; small: for tests only."""
 
     def add(make: Callable[[SparkSession, str], DataFrame]):
         QUERIES[make.__name__] = make
         if sql is not None:
-            ORACLES[make.__name__] = sql
+            (SMALL_ORACLES if small else ORACLES)[make.__name__] = sql
         return make
 
     return add
