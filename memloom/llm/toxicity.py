@@ -29,8 +29,8 @@ NGRAMS = (3, 4, 5)
 #: Texts of each class that train at most.
 MOST = 2500
 FOLDS = 5
-#: Features trained at most.
-STRONGEST = 5_000
+#: Features trained at most, and the least z score of one: by chance hardly any of 2 ** BITS reaches it.
+STRONGEST, LEAST_Z = 5_000, 4.5
 
 
 def features(text: str | None) -> np.ndarray:
@@ -47,6 +47,23 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate(out).astype(np.int32) if out and (text or "") else np.empty(0, np.int32)
 
 
+def distinct(sets: list[np.ndarray], coordinates: int = 32) -> list[int]:
+    """Places of texts that no earlier one resembles: near copies would pass the words of one text off as signs of its class."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    a = rng.integers(0, 2**32, coordinates, np.uint64).astype(np.uint32) | np.uint32(1)
+    b = rng.integers(0, 2**32, coordinates, np.uint64).astype(np.uint32)
+    kept, sigs = [], np.zeros((len(sets), coordinates), np.uint32)
+    for i, s in enumerate(sets):
+        if not len(s):
+            continue
+        x = (s.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        sig = ((x ^ (x >> np.uint32(15)))[None, :] * a[:, None] + b[:, None]).min(axis=1)
+        if not ((sigs[: len(kept)] == sig).sum(axis=1) >= coordinates // 2).any():
+            sigs[len(kept)] = sig
+            kept.append(i)
+    return kept
+
+
 class Model:
     def __init__(self, weights: np.ndarray, intercept: float, trained: bool = True):
         self.weights, self.intercept, self.trained = weights, intercept, trained
@@ -68,14 +85,21 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[str], labels: np.ndarray, odds: float, steps: int = 200, decay: float = 1e-7, strongest: int = STRONGEST) -> Model:
+def fit(texts: list[str], labels: np.ndarray, odds: float, steps: int = 200, decay: float = 1e-4, strongest: int = STRONGEST) -> Model:
     """Full-batch Adam on the scaled presence features. odds: of the classes before sampling.
 
-    Of the features the `strongest` by the z score of their two class rates are trained;
-    the others keep the weight 0.
+    Of the features the `strongest` by the z score of their two class rates are trained,
+    if it is LEAST_Z at least; the others keep the weight 0. Few examples have few such
+    features; where none reaches it the first hundred are taken. Of near copies of a
+    class one trains.
     """
     sets = [np.unique(features(t)) for t in texts]
     y = np.asarray(labels, np.float32)
+    kept = []
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        kept += [own[n] for n in distinct([sets[i] for i in own])]
+    sets, y = [sets[i] for i in kept], y[np.array(kept, np.int64)]
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BITS, np.float32), -30.0, False)
     p, q = np.ones(1 << BITS), np.ones(1 << BITS)
@@ -84,8 +108,9 @@ def fit(texts: list[str], labels: np.ndarray, odds: float, steps: int = 200, dec
     r = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
     rate, rate0, every = p / (y.sum() + 2), q / (len(y) - y.sum() + 2), (p + q) / (len(y) + 4)
     z = np.abs(rate - rate0) / np.sqrt(every * (1 - np.minimum(every, 0.999999)) * (1 / y.sum() + 1 / (len(y) - y.sum())))
+    order = np.argsort(-z, kind="stable")[:strongest]
     chosen = np.zeros(1 << BITS, bool)
-    chosen[np.argsort(-z, kind="stable")[:strongest]] = True
+    chosen[order[: max(100, int((z[order] >= LEAST_Z).sum()))]] = True
     sets = [s[chosen[s]] for s in sets]
     flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     size = np.float32(np.sqrt(max(1.0, len(flat) / len(y))))

@@ -131,10 +131,13 @@ def test_mixing_meets_targets(spark, sf_dir):
     sources = {}
     for r in got:
         assert 0 <= r.taken <= 3 * r["size"]
-        sources.setdefault(r.source, [r.source_size, r.target, 0])[2] += r.taken
-    assert abs(sum(t for _, t, _ in sources.values()) - total) < 1e-6 * total
-    for size, target, taken in sources.values():
-        assert target <= 3 * size + 1e-6 and abs(taken - target) <= 0.05 * target + 50
+        known = sources.setdefault(r.source, [r.source_size, r.target, 0, 0])
+        known[2] += r.taken
+        known[3] = max(known[3], r["size"])
+    assert abs(sum(x[1] for x in sources.values()) - total) < 1e-6 * total
+    for size, target, taken, largest in sources.values():
+        # Documents lie in order of size, so what is taken is off by the largest one at most.
+        assert target <= 3 * size + 1e-6 and abs(taken - target) <= largest + 1
     again = Q.op10_mixing(spark, sf_dir).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
