@@ -124,7 +124,7 @@ def quantise(volume: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
     """(…, q, scale): 16-bit values with one scale for each volume, halves to even."""
     own = Window.partitionBy(*by)
     scale = F.greatest(F.max(F.abs("value")).over(own) / 32767.0, F.lit(1e-8))
-    return volume.withColumn("scale", scale).withColumn("q", half_even(F.col("value") / F.col("scale"))).drop("value")
+    return volume.withColumn("scale", scale).withColumn("q", half_even(F.round(F.col("value") / F.col("scale"), 4))).drop("value")
 
 
 def dequantise(rows: DataFrame) -> DataFrame:

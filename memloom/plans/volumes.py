@@ -114,7 +114,7 @@ def dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.dilate(volume(spark, sf_dir))
 
 
-@query(f"WITH {SQL_VOLUME}, s AS (SELECT *, greatest(max(abs(value)) OVER (PARTITION BY id) / 32767.0, 1e-8) AS scale FROM vol) SELECT id, t, u, v, round_even(value / scale, 0)::INT AS q, round(scale, 9) AS scale FROM s")
+@query(f"WITH {SQL_VOLUME}, s AS (SELECT *, greatest(max(abs(value)) OVER (PARTITION BY id) / 32767.0, 1e-8) AS scale FROM vol) SELECT id, t, u, v, round_even(round(value / scale, 4), 0)::INT AS q, round(scale, 9) AS scale FROM s")
 def quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16-bit values and the scale of each volume."""
     return V.quantise(volume(spark, sf_dir)).withColumn("scale", F.round("scale", 9))
