@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of each memo's newer and older half; about 250 bytes an entry.
-MEMO = 800_000
+MEMO = 400_000
 #: Bytes of a pre-token that is merged together with others.
 SHORT = 64
 #: Texts whose new pre-tokens are merged together.
-TOGETHER = 4096
+TOGETHER = 1024
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -299,6 +299,12 @@ class Codec:
         first, *rest = text.split(" ")
         return list(chain(self._segment(first), chain.from_iterable(map(self.after_space.__getitem__, rest))))
 
+    def forget(self) -> None:
+        """Empty the memos: the worker may serve other stages next."""
+        for memo in (self.pairs, self.pretokens, self.after_space):
+            memo.clear()
+            memo.old = {}
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
@@ -328,6 +334,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 own.prime(texts)
                 ids = [own.encode(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], schema=schema)
+        own.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, token_ids array<int>")
@@ -381,6 +388,7 @@ def round_trip(docs: DataFrame, with_ids: bool = True, path: str | None = None,
                         kept.append(ids)
                 cols = [part.column(0), pa.array(counts, pa.int64()), pa.array(shas), pa.array(decoded), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(cols + ([_lists(kept)] if with_ids else []), schema=schema)
+        own.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, matches boolean"
