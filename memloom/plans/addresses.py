@@ -11,6 +11,7 @@ from ..functions import hashing
 from ..operators import addresses as A
 from ..operators import rank
 from ..operators import states as S
+from ..sources import catalogue
 from .registry import query, read
 from .retrieval import SQL_SCORES
 from .states import SQL_CHUNKS, SQL_EVENTS, SQL_STATES, SQL_STEPS, chunks, rule_rows, sql_steps, steps
@@ -79,6 +80,13 @@ def naive_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(A.plain(A.naive_items(rows, A.gram_idf(rows)))).drop("gate")
 
 
+@query()
+def naive_address_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The naive encoder whole: all addresses of each chunk, gated by a vector of the last 64 tokens, with the idf of whole sessions."""
+    rows = catalogue.sessions(catalogue.turns(read(spark, sf_dir, "conversations")))
+    return _shown(A.naive_gated(S.chunks(rows), A.gram_idf(rows.select("session_id", F.col("text").alias("chunk")))))
+
+
 def _shown(weights: DataFrame) -> DataFrame:
     return weights.select("session_id", F.col("step_idx").cast("long").alias("step_idx"), F.col("address").cast("long").alias("address"), F.round("weight", 5).alias("weight"), F.round("gate", 5).alias("gate"))
 
@@ -99,8 +107,8 @@ def edge_address_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def state_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of rule states: nodes, roles, schemas, acts and edges to the state before."""
-    return _shown(A.plain(A.state_items(rule_rows(spark, sf_dir))))
+    """Gated addresses of rule states: nodes, roles, schemas, acts, edges to the state before and what it carries over."""
+    return _shown(A.state_gated(rule_rows(spark, sf_dir)))
 
 
 @query(
@@ -115,6 +123,12 @@ def finite_event_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(A.plain(A.finite_items(S.events(rule_rows(spark, sf_dir))))).drop("gate")
 
 
+@query()
+def finite_event_address_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finite event encoder whole: gated, with what the step before carries over; a recurrence, so SQL has no form of it."""
+    return _shown(A.finite_gated(S.events(rule_rows(spark, sf_dir))))
+
+
 @query()
 def canonical_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical state tokens: families and roles without their words."""
