@@ -2,8 +2,7 @@
 
 Absent voxels are 0. Everything is joins with small tables of offsets or kernels and
 sums by voxel; a corpus of volumes is parallel over (id, voxel), not over volumes. Only
-the greedy choice of tubes is a recurrence: it runs in a fixed number of rounds over
-all volumes together, one best tube for each volume and round.
+the greedy choice of tubes is a recurrence: the codec runs volume by volume in tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as lex
 from ..functions import hashing
 from ..functions import text as T
+from . import codec
 
 SHAPE = (12, 12, 12)
 VOXEL = ["id", "t", "u", "v"]
@@ -175,39 +175,6 @@ def render_tubes(tubes: DataFrame, shape: Sequence[int] = SHAPE) -> DataFrame:
     return _sum(cube.where(_inside(shape)).select(*VOXEL, F.col("signal").alias("value")))
 
 
-def best_tubes(residual: DataFrame, used: DataFrame | None, active: DataFrame, half: int = 4, radius: int = 1, bonus: float = 0.9, shape: Sequence[int] = SHAPE) -> DataFrame:
-    """One tube for each volume: the best response over active directions, unused ones preferred and repeats damped.
-
-    Columns: id, t, u, v, dir, dt, du, dv, half, radius, signal (the mean of the residual
-    over the cubes along the line) and modality.
-    """
-    inside = F.lit(0)
-    for s in range(-half, half + 1):
-        ok = F.lit(True)
-        for a, size in zip(AXES, shape, strict=True):
-            ok = ok & (F.col(a) + s * F.col(f"d{a}")).between(0, size - 1)
-        inside = inside + ok.cast("int")
-    bank = residual.sparkSession.createDataFrame([(i, *d) for i, d in enumerate(lex.DIRECTIONS)], "dir int, dt int, du int, dv int")
-    rows = direction_response(residual, half, shape, active).join(F.broadcast(bank), "dir")
-    if used is not None:
-        rows = rows.join(used.groupBy("id", "dir").agg(F.count(F.lit(1)).alias("times")), ["id", "dir"], "left")
-    else:
-        rows = rows.withColumn("times", F.lit(None).cast("long"))
-    times = F.coalesce("times", F.lit(0))
-    score = F.col("response") * F.when(times == 0, 1.0 + bonus).otherwise(1.0) / ((1.0 + 0.35 * times) * F.pow(inside * (2.0 * radius + 1.0) ** 2, F.lit(0.35)))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round(score, 9)), "dir", *AXES))
-    best = rows.withColumn("nth", nth).where("nth = 1").select(*VOXEL, "dir", "dt", "du", "dv")
-    line = best.select("id", *AXES, "dt", "du", "dv", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("s"))
-    line = line.withColumns({a: (F.col(a) + F.col("s") * F.col(f"d{a}")).cast("int") for a in AXES}).where(_inside(shape))
-    cube = line
-    for axis in AXES:
-        cube = cube.withColumn("_d", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn(axis, (F.col(axis) + F.col("_d")).cast("int")).drop("_d")
-    points = line.groupBy("id").agg(F.count(F.lit(1)).alias("points"))
-    mean = cube.join(residual, VOXEL).groupBy("id").agg(F.sum("value").alias("total")).join(points, "id")
-    signal = F.col("total") / (F.col("points") * float((2 * radius + 1) ** 3))
-    return best.join(mean.select("id", signal.alias("signal")), "id").withColumns({"half": F.lit(half), "radius": F.lit(radius), "modality": modality(F.col("v"), shape[2])})
-
-
 def minus(volume: DataFrame, other: DataFrame) -> DataFrame:
     return _sum(volume.select(*VOXEL, "value").unionByName(other.select(*VOXEL, (-F.col("value")).alias("value"))))
 
@@ -225,24 +192,13 @@ def residual_top(volume: DataFrame, budget: int = 96) -> DataFrame:
     return volume.withColumn("nth", nth).where(F.col("nth") <= budget)
 
 
-def encode(volume: DataFrame, rounds: int = 2, budget: int = 96, radii: Sequence[int] = (2, 2, 2), shape: Sequence[int] = SHAPE) -> dict[str, DataFrame]:
-    """Archive of each volume: quantised blurred base, tubes chosen greedily in rounds, quantised sparse residual."""
-    base = quantise(box_blur(volume, radii, shape))
-    left = minus(volume, dequantise(base))
-    active = active_directions(direction_response(left, shape=shape))
-    tubes = None
-    for _ in range(rounds):
-        found = best_tubes(left, tubes, active, shape=shape)
-        left = minus(left, render_tubes(found, shape))
-        tubes = found if tubes is None else tubes.unionByName(found)
-    return {"base": base, "tubes": tubes, "residual": quantise(residual_top(left, budget).drop("nth"))}
+def encode(volume: DataFrame, shape: Sequence[int] = SHAPE) -> DataFrame:
+    """The archive of each volume, one row: quantised blurred base, tubes, junctions, quantised sparse residual."""
+    return codec.encode(volume, shape)
 
 
-def decode(archive: dict[str, DataFrame], shape: Sequence[int] = SHAPE) -> DataFrame:
-    parts = [dequantise(archive["base"]), dequantise(archive["residual"])]
-    if archive["tubes"] is not None:
-        parts.append(render_tubes(archive["tubes"], shape))
-    return plus(*parts)
+def decode(archive: DataFrame, shape: Sequence[int] = SHAPE) -> DataFrame:
+    return codec.decode(archive, shape)
 
 
 def error(volume: DataFrame, decoded: DataFrame, shape: Sequence[int] = SHAPE) -> DataFrame:
@@ -258,16 +214,15 @@ def error(volume: DataFrame, decoded: DataFrame, shape: Sequence[int] = SHAPE) -
 
 
 def retrieve_tubes(tubes: DataFrame, queries: DataFrame, top: int = 3, least: float = 0.05) -> DataFrame:
-    """(query_id, id, dir, score, rank): tubes near a query's direction, time range and modality.
+    """(query_id, id, dir, score, rank): tubes near a query's direction, time range and modality, weighed by importance.
 
     queries: query_id, id, qt, qu, qv, q0, q1, q_modality; they meet the tubes of their volume.
     """
     met = queries.join(tubes, "id")
     norm = lambda a, b, c: F.sqrt((F.col(a) * F.col(a) + F.col(b) * F.col(b) + F.col(c) * F.col(c)).cast("double"))
     along = F.abs(F.col("qt") * F.col("dt") + F.col("qu") * F.col("du") + F.col("qv") * F.col("dv")) / (norm("qt", "qu", "qv") * norm("dt", "du", "dv"))
-    t0, t1 = F.greatest(F.col("t") - F.col("half"), F.lit(0)), F.col("t") + F.col("half")
-    time = F.greatest(F.lit(0), F.least("q1", t1) - F.greatest("q0", t0) + 1) / F.greatest(F.col("q1") - F.col("q0") + 1, F.lit(1))
-    score = along * (0.6 + 0.4 * time) * F.when(F.col("q_modality") == F.col("modality"), 1.0).otherwise(0.4)
+    time = F.greatest(F.lit(0), F.least("q1", "t1") - F.greatest("q0", "t0") + 1) / F.greatest(F.col("q1") - F.col("q0") + 1, F.lit(1))
+    score = along * (0.6 + 0.4 * time) * F.when(F.col("q_modality") == F.col("modality"), 1.0).otherwise(0.4) * (0.4 + 0.6 * F.least("importance", F.lit(1.0)))
     rows = met.withColumn("score", F.round(score, 6)).where(F.col("score") > least)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "dir", *AXES))
     return rows.withColumn("rank", nth).where(F.col("rank") <= top).select("query_id", "id", "dir", "score", "rank")

@@ -201,24 +201,16 @@ def semantic_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error of encoding and decoding each session's volume: blurred base, greedy tubes, sparse residual."""
+    """Error of encoding and decoding each session's volume: blurred base, greedy tubes, junctions, sparse residual."""
     rows = cut(volume(spark, sf_dir))
-    archive = {k: cut(part) for k, part in V.encode(rows, rounds=1).items()}
-    return V.error(rows, V.decode(archive)).select("id", F.round("rel_l2", 6).alias("rel_l2"), F.round("psnr", 4).alias("psnr"))
+    return V.error(rows, V.decode(V.encode(rows))).select("id", F.round("rel_l2", 6).alias("rel_l2"), F.round("psnr", 4).alias("psnr"))
 
 
 @query()
 def synthetic_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the tubes put into synthetic volumes are found again among the first three for their direction and time."""
     field, planted = V.synthetic(spark)
-    field = cut(field)
-    left = cut(V.minus(field, V.box_blur(field)))
-    active = cut(V.active_directions(V.direction_response(left)))
-    tubes = None
-    for _ in range(6):
-        found = cut(V.best_tubes(left, tubes, active))
-        left = cut(V.minus(left, V.render_tubes(found)))
-        tubes = found if tubes is None else tubes.unionByName(found)
+    tubes = cut(V.encode(field)).select("id", F.explode("tubes").alias("x")).select("id", "x.*")
     asked = planted.select(F.monotonically_increasing_id().alias("query_id"), "id", F.col("dt").alias("qt"), F.col("du").alias("qu"), F.col("dv").alias("qv"), F.greatest(F.col("t") - 3, F.lit(0)).alias("q0"), F.least(F.col("t") + 3, F.lit(T0 - 1)).alias("q1"), V.modality(F.col("v")).alias("q_modality"), F.col("dir").alias("wanted"))
     asked = cut(asked)
     ranked = V.retrieve_tubes(tubes, asked)
