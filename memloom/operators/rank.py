@@ -35,6 +35,24 @@ def top_k(scores: DataFrame, k: int, by: str = "lexical", group: str = "item_id"
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def two_stage(items: DataFrame, sessions: DataFrame, lexical: DataFrame, shadow: DataFrame, refine: int = 24) -> DataFrame:
+    """(item_id, session_id, short, mix, rank) of every session for every item: the shortlists by mixed, lexical and volume scores first, then the rest, each by mixed score.
+
+    The result is the product of both ids, so they are crossed; pairs without a score count 0.
+    """
+    scores = lexical.join(shadow, ["item_id", "session_id"], "full")
+    every = items.select("item_id").distinct().crossJoin(sessions.select("session_id").distinct())
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    both = every.join(scores, ["item_id", "session_id"], "left").withColumns({"lexical": zero("lexical"), "shadow": zero("shadow")})
+    both = both.withColumn("mix", F.round(0.65 * F.col("lexical") + 0.35 * F.col("shadow"), 9))
+    nth = lambda c: F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.round(c, 9)), "session_id"))
+    placed = both.withColumns({"by_mix": nth("mix"), "by_lexical": nth("lexical"), "by_shadow": nth("shadow")})
+    short = (F.col("by_mix") <= refine) | (F.col("by_lexical") <= refine) | (F.col("by_shadow") <= max(8, refine // 2))
+    order = Window.partitionBy("item_id").orderBy(F.desc("short"), F.desc("mix"), "session_id")
+    made = placed.withColumn("short", short).withColumn("rank", F.row_number().over(order))
+    return made.select("item_id", "session_id", "short", F.round("mix", 6).alias("mix"), "rank")
+
+
 def containing(questions: DataFrame, sessions: DataFrame) -> DataFrame:
     """(item_id, session_id) where the session's text holds the question's as a whole.
 

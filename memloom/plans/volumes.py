@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicons as lex
@@ -220,7 +220,7 @@ def synthetic_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def shortlist_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-stage ranking: shortlists by mixed, lexical and volume scores, the rest as an ordered tail."""
+    """Two-stage ranking of all documents: shortlists by mixed, lexical and volume scores, the rest as an ordered tail; without semantic and structure scores and the rescoring."""
     from .retrieval import _questions, _sessions, hashed_vectors
 
     docs, idf = hashed_vectors(_sessions(spark, sf_dir), "session_id")
@@ -232,11 +232,4 @@ def shortlist_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = V.volume_vectors(V.text_volume(q, own)).withColumnsRenamed({"id": "item_id", "w": "x"})
     two = V.volume_vectors(V.text_volume(d, own)).withColumnRenamed("id", "session_id")
     shadow = one.join(two, ["u", "v"]).groupBy("item_id", "session_id").agg(F.sum(F.col("x") * F.col("w")).alias("shadow"))
-    both = lexical.join(shadow, ["item_id", "session_id"], "left").withColumn("shadow", F.coalesce("shadow", F.lit(0.0)))
-    both = both.withColumn("mix", F.round(0.65 * F.col("lexical") + 0.35 * F.col("shadow"), 9))
-    nth = lambda c: F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.round(c, 9)), "session_id"))
-    placed = both.withColumns({"by_mix": nth("mix"), "by_lexical": nth("lexical"), "by_shadow": nth("shadow")})
-    short = (F.col("by_mix") <= 24) | (F.col("by_lexical") <= 24) | (F.col("by_shadow") <= 12)
-    order = Window.partitionBy("item_id").orderBy(F.desc("short"), F.desc("mix"), "session_id")
-    made = placed.withColumn("short", short).withColumn("rank", F.row_number().over(order))
-    return made.where("rank <= 60").select("item_id", "session_id", "short", F.round("mix", 6).alias("mix"), "rank")
+    return rank.two_stage(_questions(spark, sf_dir), _sessions(spark, sf_dir), lexical, shadow)
