@@ -2,8 +2,8 @@
 
 Merging one pre-token: its symbols form a doubly linked list; every adjacent pair
 whose join is in the vocabulary is filed in the bucket of the join's rank. A bitmap
-of two levels (256 words of 256 bits) marks the buckets in use; find-first-set on
-either level gives the next rank. Of a bucket the leftmost position comes first. An
+of two levels (words of 256 bits, and a bit for each word in use) marks the buckets;
+find-first-set on either level gives the next rank. Of a bucket the leftmost position comes first. An
 entry is stale when its position was merged away or its pair has changed, and is
 skipped. A pre-token of n bytes takes O(n log n) steps, so text without any break
 costs no more for each byte than prose.
@@ -14,11 +14,15 @@ bucket every pre-token gives its leftmost position, so each sees the same merges
 same order as alone, and the arrays of a bucket are handled by numpy at once.
 
 Texts are cut where a character that isn't white space is followed by a space: no
-match of the split pattern crosses such a place. Segments, and pre-tokens inside
-them, are encoded once and remembered; the memo is bounded and never changes results.
+match of a pattern in CUT_AT_SPACES crosses such a place. With any other pattern whole
+texts are split. Segments, and pre-tokens inside them, are encoded once and remembered
+as packed ids; the memos are bounded in bytes, emptied after each task, even a failed
+one, and never change results. Texts are taken in groups of bounded bytes, so a task
+holds one group's ids beside its Arrow batch.
 
 Defined results: a null text counts as empty and has no tokens; every row gives one
-row; nothing is shuffled, so the size of a source or of a group of copies is no matter.
+row; a vocabulary without a token for each byte is refused; nothing is shuffled, so
+the size of a source or of a group of copies is no matter.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +40,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of each memo's newer and older half; about 250 bytes an entry.
-MEMO = 400_000
-#: Bytes of a pre-token that is merged together with others.
-SHORT = 64
-#: Texts whose new pre-tokens are merged together.
-TOGETHER = 1024
+from .common import runs
+
+#: Bytes that the memos of a worker hold at most, in all.
+MEMO = 64 << 20
+#: Bytes of a pre-token that is merged together with others, and of all that share one queue.
+SHORT, QUEUE = 64, 256 << 10
+#: Texts whose new pre-tokens are merged together, by number and by bytes.
+TOGETHER, BYTES = 1024, 2 << 20
+#: Split patterns of which no match crosses a place between a character that isn't white space and a space.
+CUT_AT_SPACES = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -53,8 +62,11 @@ def default_vocabulary() -> tuple[str, str]:
 class _Memo(dict):
     """key -> make(key). When full it becomes the older half, of which only what is asked for again is kept."""
 
+    #: Bytes of an entry beside its key and value: the slots of a dict that is a third to two thirds full.
+    ENTRY = 110
+
     def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.held = make, most // 2, {}, 0
 
     def __missing__(self, key):
         made = self.old.get(key)
@@ -64,11 +76,21 @@ class _Memo(dict):
         return made
 
     def put(self, key, made) -> None:
-        if len(self) >= self.most:
+        self.held += getsizeof(key) + getsizeof(made) + self.ENTRY
+        if self.held > self.most:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[key] = made
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
+
+def _packed(ids) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
 
 class Codec:
     HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -76,35 +98,51 @@ class Codec:
     def __init__(self, path: str, pattern: str, memo: int = MEMO):
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        missing = [i for i in range(256) if bytes([i]) not in self.ranks]
+        if missing:
+            raise ValueError(f"{path} has no token for the bytes {missing}")
         self.vocabulary = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.vocabulary[rank] = token
         self.digits = [str(i) for i in range(len(self.vocabulary))]
         self.bytes = [self.ranks[bytes([i])] for i in range(256)]
-        self.byte_ids, self.ids = np.array(self.bytes, np.int64), list(range(len(self.vocabulary)))
+        self.byte_ids = np.array(self.bytes, np.int64)
+        # The greatest number in a pair is the sentinel, one above the last id.
+        self.bits = len(self.vocabulary).bit_length()
         self._make_table()
         self.find = regex.compile(pattern).findall
+        self.cuts = pattern in CUT_AT_SPACES
         self.odd_space = regex.compile(r"[\s\x1c-\x1f] ").search
         vocabulary, rank_of = self.vocabulary, self.ranks.get
-        self.pairs = _Memo(lambda k: rank_of(vocabulary[k >> 24] + vocabulary[k & 0xFFFFFF], -1), memo)
-        self.pretokens = _Memo(self._pretoken, memo)
-        self.after_space = _Memo(lambda s: self._segment(" " + s), memo)
+        self.pairs = _Memo(lambda k: rank_of(vocabulary[k >> 32] + vocabulary[k & 0xFFFFFFFF], -1), memo // 4)
+        self.pretokens = _Memo(self._pretoken, memo // 4)
+        self.after_space = _Memo(lambda s: self._segment(" " + s), memo // 2)
 
-    def _segment(self, text: str) -> tuple[int, ...]:
+    def _segment(self, text: str) -> bytes:
         found = self.find(text)
         if len(found) == 1:  # remembered as a segment
             return self._pretoken(found[0])
-        return tuple(chain.from_iterable(map(self.pretokens.__getitem__, found)))
+        return b"".join(map(self.pretokens.__getitem__, found))
 
-    def _pretoken(self, text: str) -> tuple[int, ...]:
+    def _pretoken(self, text: str) -> bytes:
         data = text.encode()
         whole = self.ranks.get(data)
-        return (whole,) if whole is not None else tuple(self.merge(data))
+        return _packed([whole] if whole is not None else self.merge(data))
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text is split as a whole."""
+        return not self.cuts or self.odd_space(text) is not None
 
     def merge_many(self, items: list[bytes]) -> list[tuple[int, ...]]:
         """merge() of many pre-tokens under one queue."""
+        ids, ends = self._merged(items)
+        ids = ids.tolist()
+        return [tuple(ids[x:y]) for x, y in zip([0, *ends], ends)]
+
+    def _merged(self, items: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The ids of all pre-tokens in a row, and where each one's end."""
         if not items:
-            return []
+            return np.empty(0, np.int32), []
         end = len(self.vocabulary)  # the sentinel after each pre-token
         lens = np.fromiter(map(len, items), np.int64, len(items))
         owner = np.repeat(np.arange(len(items)), lens + 1)
@@ -174,14 +212,12 @@ class Codec:
             if ok.any():
                 top |= file(fresh[ok], places[ok])
         alive = (sym >= 0) & (sym != end)
-        ids = list(map(self.ids.__getitem__, sym[alive].tolist()))
-        ends = np.cumsum(np.bincount(owner[alive], minlength=len(items))).tolist()
-        return [tuple(ids[x:y]) for x, y in zip([0, *ends], ends)]
+        return sym[alive].astype(np.int32), np.cumsum(np.bincount(owner[alive], minlength=len(items))).tolist()
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the joins of pairs, -1 where the vocabulary has none."""
-        code = left << 17 | right
-        slot = ((code.view(np.uint64) * self.HASH) >> np.uint64(44)).astype(np.int64)
+        code = left << self.bits | right
+        slot = self._slots(code)
         out = np.where(self.table_code[slot] == code, self.table_rank[slot], -1)
         more = np.flatnonzero((self.table_code[slot] != code) & (self.table_code[slot] >= 0))
         while len(more):
@@ -192,13 +228,18 @@ class Codec:
             more = more[~hit & (seen >= 0)]
         return out
 
+    def _slots(self, code: np.ndarray) -> np.ndarray:
+        return ((code.view(np.uint64) * self.HASH) >> self.drop).astype(np.int64)
+
     def _make_table(self) -> None:
-        """An open-addressed table of all pairs of tokens whose join is a token."""
+        """An open-addressed table of all pairs of tokens whose join is a token, a quarter full at most."""
         rank_of = self.ranks.get
-        pairs = [(a << 17 | b, r) for token, r in self.ranks.items() for n in range(1, len(token)) if (a := rank_of(token[:n])) is not None and (b := rank_of(token[n:])) is not None]
-        code, rank = map(np.ascontiguousarray, np.array(pairs, np.int64).T)
-        self.table_code, self.table_rank = np.full(1 << 20, -1, np.int64), np.full(1 << 20, -1, np.int64)
-        slot = ((code.view(np.uint64) * self.HASH) >> np.uint64(44)).astype(np.int64)
+        pairs = [(a << self.bits | b, r) for token, r in self.ranks.items() for n in range(1, len(token)) if (a := rank_of(token[:n])) is not None and (b := rank_of(token[n:])) is not None]
+        code, rank = map(np.ascontiguousarray, np.array(pairs, np.int64).reshape(-1, 2).T)
+        size = max(10, (4 * len(code)).bit_length())
+        self.drop = np.uint64(64 - size)
+        self.table_code, self.table_rank = np.full(1 << size, -1, np.int64), np.full(1 << size, -1, np.int32)
+        slot = self._slots(code)
         while len(code):
             free = self.table_code[slot] < 0
             _, first = np.unique(slot, return_index=True)
@@ -213,34 +254,42 @@ class Codec:
         segments: set[str] = set()
         pretokens: set[str] = set()
         for text in texts:
-            if self.odd_space(text):
+            if self._whole(text):
                 pretokens.update(self.find(text))
             else:
                 first, *rest = text.split(" ")
                 segments.update(rest)
                 pretokens.update(self.find(first))
         known, parts = self.after_space, self.pretokens
-        whole, rest = [], []
+        fresh: list[tuple[_Memo, str, bytes]] = []
         for x in segments:
             if x not in known and x not in known.old:
                 found = self.find(" " + x)
                 if len(found) == 1:
-                    whole.append(x)
+                    fresh.append((known, x, (" " + x).encode()))
                 else:
                     pretokens.update(found)
-        rest = [x for x in pretokens if x not in parts and x not in parts.old]
-        data = [(" " + x).encode() for x in whole] + [x.encode() for x in rest]
-        token = self.ranks.get
-        made: list = [(t,) if (t := token(d)) is not None else None for d in data]
-        short = [n for n, d in enumerate(data) if made[n] is None and len(d) <= SHORT]
-        for n, ids in zip(short, self.merge_many([data[n] for n in short]), strict=True):
-            made[n] = ids
-        for n, d in enumerate(data):
-            ids = made[n] if made[n] is not None else tuple(self.merge(d))
-            if n < len(whole):
-                known.put(whole[n], ids)
+        fresh += [(parts, x, x.encode()) for x in pretokens if x not in parts and x not in parts.old]
+        queue, waiting = [], 0
+        for item in fresh:
+            memo, key, data = item
+            whole = self.ranks.get(data)
+            if whole is not None:
+                memo.put(key, _packed([whole]))
+            elif len(data) > SHORT:
+                memo.put(key, _packed(self.merge(data)))
             else:
-                parts.put(rest[n - len(whole)], ids)
+                queue.append(item)
+                waiting += len(data)
+                if waiting > QUEUE:
+                    self._serve(queue)
+                    queue, waiting = [], 0
+        self._serve(queue)
+
+    def _serve(self, queue: list[tuple[_Memo, str, bytes]]) -> None:
+        ids, ends = self._merged([data for _, _, data in queue])
+        for (memo, key, _), x, y in zip(queue, [0, *ends], ends):
+            memo.put(key, ids[x:y].tobytes())
 
     def merge(self, data: bytes) -> list[int]:
         n, pairs = len(data), self.pairs
@@ -250,7 +299,7 @@ class Codec:
         words: dict[int, int] = {}
         top = 0
         for i in range(n - 1):
-            rank = pairs[sym[i] << 24 | sym[i + 1]]
+            rank = pairs[sym[i] << 32 | sym[i + 1]]
             if rank >= 0:
                 if rank in buckets:
                     buckets[rank].append(i)
@@ -271,17 +320,17 @@ class Codec:
                 if not bits:
                     top &= top - 1
             j = after[i]
-            if sym[i] < 0 or j >= n or pairs[sym[i] << 24 | sym[j]] != rank:
+            if sym[i] < 0 or j >= n or pairs[sym[i] << 32 | sym[j]] != rank:
                 continue
             sym[i], sym[j] = rank, -1
             k = after[i] = after[j]
             fresh = []
             if k < n:
                 before[k] = i
-                fresh.append((i, pairs[rank << 24 | sym[k]]))
+                fresh.append((i, pairs[rank << 32 | sym[k]]))
             p = before[i]
             if p >= 0:
-                fresh.append((p, pairs[sym[p] << 24 | rank]))
+                fresh.append((p, pairs[sym[p] << 32 | rank]))
             for at, r in fresh:
                 if r >= 0:
                     if r in buckets:
@@ -294,16 +343,18 @@ class Codec:
         return [s for s in sym if s >= 0]
 
     def encode(self, text: str) -> list[int]:
-        if self.odd_space(text):
-            return list(chain.from_iterable(map(self.pretokens.__getitem__, self.find(text))))
+        return self.ids_of(text).tolist()
+
+    def ids_of(self, text: str) -> np.ndarray:
+        if self._whole(text):
+            return np.frombuffer(b"".join(map(self.pretokens.__getitem__, self.find(text))), np.int32)
         first, *rest = text.split(" ")
-        return list(chain(self._segment(first), chain.from_iterable(map(self.after_space.__getitem__, rest))))
+        return np.frombuffer(b"".join(chain((self._segment(first),), map(self.after_space.__getitem__, rest))), np.int32)
 
     def forget(self) -> None:
         """Empty the memos: the worker may serve other stages next."""
         for memo in (self.pairs, self.pretokens, self.after_space):
-            memo.clear()
-            memo.old = {}
+            memo.forget()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -327,14 +378,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                own.prime(texts)
-                ids = [own.encode(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], schema=schema)
-        own.forget()
+        try:
+            for batch in batches:
+                for at, texts in runs(batch.column(1), TOGETHER, BYTES):
+                    own.prime(texts)
+                    ids = [own.ids_of(t) for t in texts]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), _lists(ids)], schema=schema)
+        finally:
+            own.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, token_ids array<int>")
@@ -347,17 +398,17 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.decode(x or ()) for x in part.column(1).to_pylist()], pa.binary())], schema=schema)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                data = [own.decode(x.as_py() or ()) for x in part.column(1)]  # one text's ids at a time
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], schema=schema)
 
     return encoded.select(F.col("doc_id").cast("long"), "token_ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def _lists(ids: list[list[int]]) -> pa.ListArray:
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0] + [len(x) for x in ids], dtype=np.int32)
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
 
 
 def round_trip(docs: DataFrame, with_ids: bool = True, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,24 +422,25 @@ def round_trip(docs: DataFrame, with_ids: bool = True, path: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                counts, shas, decoded, same, kept = [], [], [], [], []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                own.prime(texts)
-                for text in texts:
-                    ids = own.encode(text)
-                    data = own.decode(ids)
-                    counts.append(len(ids))
-                    shas.append(hashlib.sha256(",".join(map(own.digits.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(data).hexdigest())
-                    same.append(data == text.encode())
-                    if with_ids:
-                        kept.append(ids)
-                cols = [part.column(0), pa.array(counts, pa.int64()), pa.array(shas), pa.array(decoded), pa.array(same)]
-                yield pa.RecordBatch.from_arrays(cols + ([_lists(kept)] if with_ids else []), schema=schema)
-        own.forget()
+        try:
+            for batch in batches:
+                for at, texts in runs(batch.column(1), TOGETHER, BYTES):
+                    own.prime(texts)
+                    counts, shas, decoded, same, kept = [], [], [], [], []
+                    for text in texts:
+                        packed = own.ids_of(text)
+                        ids = packed.tolist()
+                        data = own.decode(ids)
+                        counts.append(len(ids))
+                        shas.append(hashlib.sha256(",".join(map(own.digits.__getitem__, ids)).encode()).hexdigest())
+                        decoded.append(hashlib.sha256(data).hexdigest())
+                        same.append(data == text.encode())
+                        if with_ids:
+                            kept.append(packed)
+                    cols = [batch.column(0).slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array(shas), pa.array(decoded), pa.array(same)]
+                    yield pa.RecordBatch.from_arrays(cols + ([_lists(kept)] if with_ids else []), schema=schema)
+        finally:
+            own.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, matches boolean"

@@ -26,7 +26,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_dedup(documents(spark, sf_dir), width=2, percent=80)
+    return minhash.near_dedup(documents(spark, sf_dir), width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +44,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The table is one batch for an index of its own; a pipeline keeps its index and goes on appending.
-    index = exact_dedup.DigestIndex(spark, "op9_digest_index")
+    # An index of its own that starts empty: the table goes in as four parts, and three of them meet what the earlier ones left.
+    index = exact_dedup.DigestIndex.temporary(spark, "op9_digests")
+    found = exact_dedup.exact_dedup(documents(spark, sf_dir), index, parts=4)
     index.drop()
-    return exact_dedup.exact_dedup(documents(spark, sf_dir), index)
+    return found
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

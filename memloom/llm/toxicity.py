@@ -3,14 +3,21 @@
 Features are the hashed n-grams of the lower-cased UTF-8 bytes that a text holds at
 least once. With p and q the smoothed counts of texts of either class that hold a
 feature, r = log((p / |p|) / (q / |q|)); a logistic regression is trained on the
-features scaled by r. Training takes a bounded sample of labelled texts (at most
-`most` of each class, those with the least hash of their id), so its cost doesn't
-grow; scoring is one pass over whole texts without a shuffle.
+features scaled by r. A feature is trained if its rates in the two classes differ by
+LEAST_Z standard errors or more, a test that is the same at every size; where none
+does, all scores are the share of toxic labels. Scoring is one pass over whole texts
+without a shuffle.
+
+Training takes a bounded sample of labelled texts, the driver holds no more: of each
+class those with the least hash of their id, `most` texts and `most_bytes` bytes in
+all, and of near copies among them one (near copies would pass the words of one text
+off as signs of its class). A longer text than most_bytes never trains.
 
 Defined results: a null or empty text has no features and gets the score of the
 intercept; rows with a null label or without a document don't train; a document
-labelled twice with different labels counts as the greater; without examples of both
-classes every score is 0; columns other than those named are ignored.
+labelled twice with different labels counts as the greater; of an id with several
+texts the least by code point trains; without examples of both classes every score is
+0; columns other than those named are ignored or, on request, handed on untouched.
 """
 
 from __future__ import annotations
@@ -19,23 +26,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc32_of_id
 
 BITS = 18
 NGRAMS = (3, 4, 5)
-#: Texts of each class that train at most.
-MOST = 2500
+#: Bytes hashed at once, and bytes of a text up to which its features are sorted instead of marked.
+PIECE, SORTED = 1 << 16, 1 << 11
+#: Texts of each class that train at most, and their bytes in all.
+MOST, MOST_BYTES = 2500, 12 << 20
 FOLDS = 5
-#: Features trained at most, and the least z score of one: by chance hardly any of 2 ** BITS reaches it.
-STRONGEST, LEAST_Z = 5_000, 4.5
+#: The least z score of a trained feature: by chance hardly any of 2 ** BITS reaches it.
+LEAST_Z = 4.5
 
 
-def features(text: str | None) -> np.ndarray:
-    """Hashed n-grams of one text, with repeats."""
-    x = np.frombuffer(b" " + (text or "").lower().encode() + b" ", np.uint8).astype(np.uint32)
+def _hashed(x: np.ndarray) -> np.ndarray:
+    """Hashed n-grams of bytes, with repeats."""
     out, h = [], np.zeros(len(x), np.uint32)
     for n in range(1, max(NGRAMS) + 1):
         if len(x) < n:
@@ -44,74 +53,93 @@ def features(text: str | None) -> np.ndarray:
         if n in NGRAMS:
             y = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
             out.append(y >> np.uint32(32 - BITS))
-    return np.concatenate(out).astype(np.int32) if out and (text or "") else np.empty(0, np.int32)
-
-
-def distinct(sets: list[np.ndarray], coordinates: int = 32) -> list[int]:
-    """Places of texts that no earlier one resembles: near copies would pass the words of one text off as signs of its class."""
-    rng = np.random.Generator(np.random.PCG64(7))
-    a = rng.integers(0, 2**32, coordinates, np.uint64).astype(np.uint32) | np.uint32(1)
-    b = rng.integers(0, 2**32, coordinates, np.uint64).astype(np.uint32)
-    kept, sigs = [], np.zeros((len(sets), coordinates), np.uint32)
-    for i, s in enumerate(sets):
-        if not len(s):
-            continue
-        x = (s.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-        sig = ((x ^ (x >> np.uint32(15)))[None, :] * a[:, None] + b[:, None]).min(axis=1)
-        if not ((sigs[: len(kept)] == sig).sum(axis=1) >= coordinates // 2).any():
-            sigs[len(kept)] = sig
-            kept.append(i)
-    return kept
+    return np.concatenate(out).astype(np.int32) if out else np.empty(0, np.int32)
+
+
+def features(text: str | None) -> np.ndarray:
+    """Sorted distinct features of one text, worked out piece by piece."""
+    if not text:
+        return np.empty(0, np.int32)
+    data = b" " + text.lower().encode() + b" "
+    # Neighbouring pieces overlap, so that every n-gram lies in one of them.
+    pieces = (np.frombuffer(data, np.uint8, min(PIECE + max(NGRAMS) - 1, len(data) - at), at).astype(np.uint32) for at in range(0, len(data), PIECE))
+    if len(data) <= SORTED:
+        return np.unique(_hashed(next(pieces)))
+    seen = np.zeros(1 << BITS, bool)
+    for piece in pieces:
+        seen[_hashed(piece)] = True
+    return np.flatnonzero(seen).astype(np.int32)
+
+
+class Distinct:
+    """Tells which texts resemble none that it was asked about before."""
+
+    def __init__(self, most: int, coordinates: int = 32):
+        rng = np.random.Generator(np.random.PCG64(7))
+        self.a = rng.integers(0, 2**32, coordinates, np.uint64).astype(np.uint32) | np.uint32(1)
+        self.b = rng.integers(0, 2**32, coordinates, np.uint64).astype(np.uint32)
+        self.kept, self.sigs = 0, np.zeros((most, coordinates), np.uint32)
+
+    def new(self, features: np.ndarray) -> bool:
+        if not len(features):
+            return False
+        x = (features.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        x ^= x >> np.uint32(15)
+        sig = np.array([(x * a + b).min() for a, b in zip(self.a, self.b)])
+        if ((self.sigs[: self.kept] == sig).sum(axis=1) >= len(sig) // 2).any():
+            return False
+        self.sigs[self.kept] = sig
+        self.kept += 1
+        return True
 
 
 class Model:
     def __init__(self, weights: np.ndarray, intercept: float, trained: bool = True):
         self.weights, self.intercept, self.trained = weights, intercept, trained
-        self.stamp = np.zeros(1 << BITS, np.int32)
-
-    def __getstate__(self):
-        return self.weights, self.intercept, self.trained
-
-    def __setstate__(self, state):
-        self.__init__(*state)
 
     def score(self, text: str | None) -> float:
         if not self.trained:
             return 0.0
-        f = features(text)
-        order = np.arange(len(f), dtype=np.int32)
-        self.stamp[f] = order  # of equal features the last stays: each counts once
-        z = self.intercept + float(self.weights[f[self.stamp[f] == order]].sum(dtype=np.float64))
+        z = self.intercept + float(self.weights[features(text)].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[str], labels: np.ndarray, odds: float, steps: int = 200, decay: float = 1e-4, strongest: int = STRONGEST) -> Model:
+def log_count_ratios(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """r of each feature from the smoothed counts of toxic (p) and other (q) texts that hold it."""
+    return np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
+
+
+def z_scores(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int) -> np.ndarray:
+    """How many standard errors the two class rates of each feature are apart."""
+    rate, rate0, every = p / (n_p + 2), q / (n_q + 2), (p + q) / (n_p + n_q + 4)
+    return np.abs(rate - rate0) / np.sqrt(every * (1 - np.minimum(every, 0.999999)) * (1 / n_p + 1 / n_q))
+
+
+def fit(texts: list[str], labels: np.ndarray, odds: float, steps: int = 200, decay: float = 1e-4, least_z: float = LEAST_Z) -> Model:
     """Full-batch Adam on the scaled presence features. odds: of the classes before sampling.
 
-    Of the features the `strongest` by the z score of their two class rates are trained,
-    if it is LEAST_Z at least; the others keep the weight 0. Few examples have few such
-    features; where none reaches it the first hundred are taken. Of near copies of a
-    class one trains.
+    Two passes over the texts, one to count and one to keep the chosen features, so
+    that the features of no more than one text are held in full.
     """
-    sets = [np.unique(features(t)) for t in texts]
-    y = np.asarray(labels, np.float32)
-    kept = []
-    for label in (0, 1):
-        own = np.flatnonzero(y == label)
-        kept += [own[n] for n in distinct([sets[i] for i in own])]
-    sets, y = [sets[i] for i in kept], y[np.array(kept, np.int64)]
+    p, q = np.ones(1 << BITS), np.ones(1 << BITS)
+    kept, y = [], []
+    for label, counts in ((0, q), (1, p)):
+        told = Distinct(len(texts))
+        for text in (t for t, own in zip(texts, labels, strict=True) if own == label):
+            found = features(text)
+            if told.new(found):
+                counts[found] += 1  # a set holds each feature once
+                kept.append(text)
+                y.append(label)
+    y = np.array(y, np.float32)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BITS, np.float32), -30.0, False)
-    p, q = np.ones(1 << BITS), np.ones(1 << BITS)
-    for s, label in zip(sets, y, strict=True):
-        (p if label else q)[s] += 1  # a set holds each feature once
-    r = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
-    rate, rate0, every = p / (y.sum() + 2), q / (len(y) - y.sum() + 2), (p + q) / (len(y) + 4)
-    z = np.abs(rate - rate0) / np.sqrt(every * (1 - np.minimum(every, 0.999999)) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-    order = np.argsort(-z, kind="stable")[:strongest]
-    chosen = np.zeros(1 << BITS, bool)
-    chosen[order[: max(100, int((z[order] >= LEAST_Z).sum()))]] = True
-    sets = [s[chosen[s]] for s in sets]
+    r = log_count_ratios(p, q)
+    chosen = z_scores(p, q, y.sum(), len(y) - y.sum()) >= least_z
+    sets = []
+    for text in kept:
+        found = features(text)
+        sets.append(found[chosen[found]])
     flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     size = np.float32(np.sqrt(max(1.0, len(flat) / len(y))))
     scale = r[flat] / size
@@ -128,10 +156,12 @@ def fit(texts: list[str], labels: np.ndarray, odds: float, steps: int = 200, dec
         w = w - 0.1 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
         b -= 0.1 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
     # The classes weighed alike while training; the intercept takes their odds back in.
+    if not chosen.any():
+        return Model(w, float(np.log(odds)))
     return Model(w * r / size, b + 0.5 * float(np.log(odds)))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", hold_out: bool = True) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", hold_out: bool = True) -> Model:
     """A model from labelled texts; the fold crc32(id) mod 5 = 0 never trains."""
     one = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     if hold_out:
@@ -144,25 +174,30 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "d
     picked = [one.where(F.col("y") == y).orderBy(order, "doc_id").limit(most) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # At most 2 * most ids, whatever the table's size: safe to broadcast.
-    rows = texts.join(F.broadcast(picked), "doc_id").where("text is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "y").collect()
+    # At most 2 * most ids, whatever the table's size: safe to broadcast, and no more rows in the windows.
+    rows = texts.join(F.broadcast(picked), "doc_id").where("text is not null").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = rows.where(F.octet_length("text") <= most_bytes)
+    sofar = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(order, "doc_id"))
+    rows = rows.withColumn("sofar", sofar).where(F.col("sofar") <= most_bytes).orderBy("doc_id").select("text", "y").collect()
     return fit([r[0] for r in rows], np.array([r[1] for r in rows]), counts[1] / counts[0])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, after the columns named by carry."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row and, on request, row: all columns of the input as one struct."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*carry, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), *whole, F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(found, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "_score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    scored = rows.mapInArrow(run, f"{fields}, _score double")
-    held = (crc32_of_id("_id") % FOLDS == 0).alias("held_out")
-    own = [F.col("_id").alias("doc_id")] if "doc_id" not in carry else []
-    return scored.select(*carry, *own, held, F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+            last = batch.num_columns - 1
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = pa.array([own.score(t) for t in part.column(last).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(last)), found], names=[*part.schema.names[:-1], "score"])
+
+    schema = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())])
+    scored = rows.mapInArrow(run, schema)
+    held = (crc32_of_id() % FOLDS == 0).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(["row"] if carry else []))
