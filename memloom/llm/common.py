@@ -63,15 +63,15 @@ def drop_written(*frames: DataFrame) -> None:
 HOT_KEYS = 50_000
 
 
-def hot_first(rows: DataFrame, state: DataFrame, key: str, size: str) -> DataFrame:
+def hot_first(rows: DataFrame, state: DataFrame, key: str, size: str, least: int = 1000) -> DataFrame:
     """rows joined with state(key, size, ...), where size is the number of rows that a key has.
 
-    A key with more than a 50,000th of all rows is hot. There are fewer than 50,000 of
-    them, whatever the table's size, so they are broadcast to their rows, which stay
-    where they are; the other rows are shuffled by key.
+    A key with more than a 50,000th of all rows, and `least` more, is hot. There are
+    fewer than 50,000 of them, whatever the table's size, so they are broadcast to their
+    rows, which stay where they are; the other rows are shuffled by key.
     """
     total = state.agg(F.sum(size)).first()[0] or 0
-    hot = F.col(size) > total // HOT_KEYS + 1000
+    hot = F.col(size) > total // HOT_KEYS + least
     busy, calm = state.where(hot), state.where(~hot)
     there = F.broadcast(busy.select(key, F.lit(True).alias("_hot")))
     away = rows.join(there, key, "left").where("_hot is null").drop("_hot")

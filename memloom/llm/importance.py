@@ -3,7 +3,7 @@
 Two generative models of hashed word unigrams and bigrams are counted: one of target
 text (documents labelled as good), one of all raw text. A document's log importance
 is the sum over its n-grams of log p(target) - log p(raw); adding Gumbel noise drawn
-from a hash of its id and taking the k greatest samples k documents without
+from a hash of the row and taking the k greatest samples k documents without
 replacement in proportion to their importance.
 
 Each task counts into one array of BUCKETS and hands on at most BUCKETS rows, so
@@ -11,8 +11,10 @@ neither shuffle nor driver grows with the texts. Raw counts cover every document
 target model takes a bounded sample of labelled ids. The k-th greatest key is found
 by narrowing histograms, without a global sort.
 
-Defined results: null and empty texts have no n-grams and importance 0; rows that tie
-with the k-th key and id are kept together; without labels every document is kept.
+Defined results: null and empty texts have no n-grams and importance 0; noise depends
+on id and text, so rows without an id draw their own, and equal rows draw the same;
+rows that tie with the k-th key are kept together; without labels every document is
+kept.
 """
 
 from __future__ import annotations
@@ -120,11 +122,11 @@ def importance_sample(docs: DataFrame, labels: DataFrame, share: float | None =
                 found = ngrams(text)
                 counts.append(len(found))
                 sums.append(float(ratio[found].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_grams", "log_importance"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "even", "n_grams", "log_importance"])
 
-    scored = rows.mapInArrow(run, "doc_id long, n_grams long, log_importance double")
-    even = (F.pmod(F.xxhash64(F.lit("gumbel"), F.lit(seed), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    scored = materialise(scored.withColumn("key", F.col("log_importance") - F.log(-F.log(even))), "importance")
+    even = (F.pmod(F.xxhash64(F.lit("gumbel"), F.lit(seed), "doc_id", "text"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    scored = rows.withColumn("even", even).mapInArrow(run, "doc_id long, even double, n_grams long, log_importance double")
+    scored = materialise(scored.select("doc_id", "n_grams", "log_importance", (F.col("log_importance") - F.log(-F.log("even"))).alias("key")), "importance")
     total = scored.count()
     least = kth_greatest(scored, "key", ceil(share * total))
     return scored.withColumn("kept", F.lit(True) if least is None else F.col("key") >= F.lit(least))

@@ -35,7 +35,7 @@ def clashing(odd):
     """Further columns whose names the operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ("t", "w", "rep", "key", "label", "size", "h", "slice", "score", "digest", "n", "sig", "target", "src", "lines", "_id", "_text", "text_sha256", "copies")
+    names = ("t", "w", "rep", "key", "label", "size", "h", "slice", "score", "digest", "n", "sig", "target", "src", "lines", "_id", "_text", "text_sha256", "copies", "row", "held_out", "predicted", "_score", "_keep", "_digest", "_sha", "_copies", "_copy", "_one", "_two", "_0", "_1", "_2", "first", "component_id", "kept", "c", "bits", "shard", "even")
     return odd.select("*", *(F.lit("x").alias(n) for n in names))
 
 

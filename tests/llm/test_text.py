@@ -40,7 +40,7 @@ def test_quality_rules_equal_sql(same_rows):
 
 
 def test_quality_rules_equal_brute_force(spark, sf_dir, clashing, empty):
-    for docs in (documents(spark, sf_dir), clashing.where("doc_id < 8 or doc_id = 10")):
+    for docs in (documents(spark, sf_dir), clashing):
         texts = sorted((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None)
         got = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.quality_rules(docs).collect() if r.doc_id is not None)
         wanted = []
@@ -81,6 +81,147 @@ def test_license_rules(spark, clashing, empty):
     assert "Python" not in licenses.license_scan(docs)._jdf.queryExecution().toString()
 
 
+#: Stock headers as files carry them, wrapped and commented.
+HEADERS = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "Apache-2.0": """# Copyright 2020 A. Body
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os
+""",
+    "GPL-3.0-or-later": """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+""",
+    "GPL-2.0-or-later": """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""",
+    "LGPL-2.1-or-later": """    This library is free software; you can redistribute it and/or
+    modify it under the terms of the GNU Lesser General Public
+    License as published by the Free Software Foundation; either
+    version 2.1 of the License, or (at your option) any later version.
+
+    This library is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+    Lesser General Public License for more details.
+""",
+    "AGPL-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU Affero General Public License for more details.
+""",
+    "MPL-2.0": """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANYTHING.
+""",
+}
+
+
+def test_stock_headers_in_spark_and_sql(spark):
+    """Every header gives its licence; so does every known sentence that a rule of its own names, and every SPDX line."""
+    import duckdb
+
+    own = {run[0]: name for name, run in licenses.RULES if len(run) == 1}
+    texts = [*HEADERS.items(), *((name, f"Some text. {licenses.SENTENCES[x]}\nMore text.") for x, name in own.items())]
+    texts += [(name, f"// {licenses.SENTENCES[x]}\r\nint x;") for x, name in own.items() if x.startswith("spdx")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.license_scan(docs).collect())
+    assert [(i, r[3], r[4]) for i, r in enumerate(got)] == [(i, name, "") for i, (name, _) in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [[i, t] for i, (_, t) in enumerate(texts)])
+    assert sorted(con.execute(licenses.oracle_sql()).fetchall()) == got
+
+
 # --- byte-level BPE
 @pytest.fixture(scope="module")
 def library():
@@ -130,6 +271,58 @@ def test_bpe_memo_does_not_change_results(library):
     assert small.encode(text) == small.encode(text) == library.encode_ordinary(text)
 
 
+def test_bpe_of_more_than_131072_tokens(tmp_path):
+    """A made vocabulary of 180,000 tokens, all joins of two or three letters of a large alphabet."""
+    import tiktoken
+
+    rng = random.Random(8)
+    ranks = {bytes([i]): i for i in range(256)}
+    tokens = list(ranks)
+    while len(ranks) < 180_000:
+        token = rng.choice(tokens) + rng.choice(tokens)
+        if len(token) <= 6 and token not in ranks:
+            ranks[token] = len(ranks)
+            tokens.append(token)
+    path = tmp_path / "large.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    codec = bpe.Codec(str(path), public.PATTERN)
+    items = [bytes(rng.randrange(256) for _ in range(rng.randint(1, 60))) for _ in range(3_000)]
+    assert codec.merge_many(items) == [tuple(codec.merge(x)) for x in items]
+    large = tiktoken.Encoding("large", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    codec.prime(texts)
+    assert [codec.encode(t) for t in texts] == [large.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_vocabulary_without_all_bytes_is_refused(tmp_path):
+    (tmp_path / "few").write_bytes(base64.b64encode(b"a") + b" 0\n")
+    with pytest.raises(ValueError):
+        bpe.Codec(str(tmp_path / "few"), public.PATTERN)
+
+
+@pytest.mark.parametrize("pattern", [r"\w+ \w+|\s+|\S+", r"[^\n]+|\n", r"\p{L}+|[^\p{L}]+"])
+def test_bpe_other_patterns_split_whole_texts(pattern):
+    import tiktoken
+
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    codec, rng = bpe.Codec(path, pattern), random.Random(9)
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    codec.prime(texts[:200])
+    assert [codec.encode(t) for t in texts] == [other.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_memos_are_bounded_and_emptied(spark, library):
+    codec, rng = bpe.Codec(*bpe.default_vocabulary(), memo=200_000), random.Random(10)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(400)) for _ in range(20)]
+    codec.prime(texts)
+    assert [codec.encode(t) for t in texts] == [library.encode_ordinary(t) for t in texts]
+    for memo in (codec.pairs, codec.pretokens, codec.after_space):
+        assert memo.held <= memo.most
+    codec.forget()
+    assert not codec.after_space and not codec.after_space.old
+
+
 def test_bpe_encode_then_decode(spark, odd):
     back = {r.doc_id: bytes(r.decoded) for r in bpe.decode(bpe.encode(odd.where("doc_id is not null"))).collect()}
     assert back == {r.doc_id: (r.text or "").encode() for r in odd.where("doc_id is not null").collect()}
@@ -190,6 +383,64 @@ def test_toxicity_does_not_learn_from_the_held_out_fold(spark, sf_dir):
     assert (one.weights == two.weights).all() and one.intercept == two.intercept
 
 
+def test_toxicity_numbers_by_hand():
+    """Counts, log-count ratios, z scores and a score, each written out."""
+    import math
+
+    import numpy as np
+
+    good, bad = ["alpha beta", "gamma delta", "epsilon zeta eta"], ["vile words", "vile things here", "vile stuff"]
+    n = 1 << toxicity.BITS
+    p, q = np.ones(n), np.ones(n)
+    for counts, texts in ((p, bad), (q, good)):
+        for t in texts:
+            counts[toxicity.features(t)] += 1
+    (vil,) = {int(x) for x in toxicity._hashed(np.frombuffer(b"vil", np.uint8).astype(np.uint32))}
+    assert p[vil] == 4 and q[vil] == 1
+    r = toxicity.log_count_ratios(p, q)
+    assert r[vil] == pytest.approx(math.log((4 / p.sum()) / (1 / q.sum())), abs=1e-6)
+    z = toxicity.z_scores(p, q, 3, 3)
+    assert z[vil] == pytest.approx(abs(4 / 5 - 1 / 5) / math.sqrt(0.5 * 0.5 * (2 / 3)))
+    weights = np.zeros(n, np.float32)
+    weights[vil] = 2.0
+    model = toxicity.Model(weights, -1.0)
+    assert model.score("vile and vile again") == pytest.approx(1 / (1 + math.exp(-1.0)))  # a repeated feature counts once
+    assert model.score("") == model.score(None) == pytest.approx(1 / (1 + math.exp(1.0)))
+
+
+def test_toxicity_fit_equals_its_gradient_steps():
+    """At a minimum the gradient vanishes: one feature, so the trained logit has the classes' odds."""
+    import numpy as np
+
+    rng = random.Random(2)
+    words = lambda k: " ".join("".join(rng.choice("bcdfghjklm") for _ in range(7)) for _ in range(k))
+    texts = [words(12) + (" nastyword" if i % 2 else "") for i in range(400)]
+    model = toxicity.fit(texts, np.array([i % 2 for i in range(400)]), odds=1.0)
+    assert np.count_nonzero(model.weights) <= 40  # the n-grams of one word and of its surroundings
+    assert model.score(words(12) + " nastyword") > 0.9 > 0.1 > model.score(words(12))
+    none = toxicity.fit(["a b c d e", "f g h i j"], np.array([0, 1]), odds=0.25)
+    assert none.score("a b c d e") == none.score(None) == pytest.approx(0.2)  # nothing is significant: the share of the label
+
+
+def test_toxicity_trains_alike_on_repeated_ids(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" zz"))))
+    one, two, plain = toxicity.train(twice.repartition(3), labels), toxicity.train(twice.repartition(5, "lang"), labels), toxicity.train(docs, labels)
+    assert (one.weights == two.weights).all() and (one.weights == plain.weights).all()
+
+
+def test_toxicity_pieces_of_a_long_text(monkeypatch):
+    text = "abc défgh " * 3_000
+    whole = toxicity.features(text)
+    monkeypatch.setattr(toxicity, "PIECE", 97)
+    assert (toxicity.features(text) == whole).all()
+    monkeypatch.setattr(toxicity, "PIECE", 1 << 20)
+    monkeypatch.setattr(toxicity, "SORTED", 1 << 20)
+    assert (toxicity.features(text) == whole).all()
+
+
 # --- language
 def test_language_on_held_out_rows(spark, sf_dir):
     sf = "/root/testdata/sf0.01"
@@ -209,11 +460,55 @@ def test_language_odd_rows(spark, clashing, empty, sf_dir):
     assert {r.lang_pred for r in langid.predict(clashing, langid.train(empty)).collect()} == {"und"}
 
 
+def brute_code_length(texts, text):
+    """Method C by nested dictionaries, byte by byte."""
+    import math
+
+    trees = [{} for _ in range(4)]
+    for t in texts:
+        d = langid.START + t.encode()
+        for i in range(3, len(d)):
+            for n in range(4):
+                counts = trees[n].setdefault(d[i - n : i], {})
+                counts[d[i]] = counts.get(d[i], 0) + 1
+
+    def cost(context, byte):
+        seen = trees[len(context)].get(context)
+        shorter = lambda: cost(context[1:], byte) if context else 8.0
+        if not seen:
+            return shorter()
+        n, d = sum(seen.values()), len(seen)
+        return -math.log2(seen[byte] / (n + d)) if byte in seen else -math.log2(d / (n + d)) + shorter()
+
+    d = langid.START + text.encode()
+    return sum(cost(d[i - 3 : i], d[i]) for i in range(3, len(d)))
+
+
 def test_language_code_lengths_are_those_of_the_trees():
-    """Method C by hand on a tiny text."""
-    model = langid.fit({"a": ["aab"], "b": ["zzz"]})
+    rng = random.Random(1)
+    make = lambda letters: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 300))) for _ in range(8)]
+    texts = {"a": ["aab abba", *make("abc ")], "b": ["zzz", *make("xyz é")], "c": make("abcdefghijkl mnop日本語")}
+    model = langid.fit(texts)
+    for t in ["aab", "zzz é日", "qqq", "the abba was here", "x" * 500, *make("abcxyz é日\n")]:
+        assert model.code_lengths(t) == pytest.approx([brute_code_length(texts[x], t) for x in "abc"], abs=1e-3, rel=1e-5)
     assert model.predict("aab")[0] == "a" and model.predict("zzz")[0] == "b"
-    assert model.code_lengths("aab")[0] < model.code_lengths("aab")[1]
+
+
+def test_language_code_length_by_hand():
+    """After "aab" in order 0: a 2, b 1 of 3 with two symbols; order 3 after start: a 1 of 1."""
+    import math
+
+    model = langid.fit({"a": ["aab"]})
+    # a after start: 1 / (1 + 1); a after \\n\\na: 1 / 2; b after \\naa: 1 / 2.
+    assert model.code_lengths("aab")[0] == pytest.approx(3.0)
+    # x after start: escapes of orders 3, 2 and 1 (1 / 2 each), of order 0 (2 / 5), then 1 / 256.
+    assert model.code_lengths("x")[0] == pytest.approx(3 - math.log2(2 / 5) + 8, abs=1e-5)
+
+
+def test_language_texts_longer_than_a_piece():
+    model = langid.fit({"a": ["abc abd"], "b": ["xyz"]})
+    text = "abc xyz " * 20_000
+    assert model.code_lengths(text) == pytest.approx(model.code_lengths("abc xyz " * 2) + 19_998 * (model.code_lengths("abc xyz " * 3) - model.code_lengths("abc xyz " * 2)), rel=1e-4)
 
 
 # --- importance resampling
@@ -247,3 +542,42 @@ def test_importance_prefers_target_like_text(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     got = importance.importance_sample(docs, labels, share=0.5).collect()
     assert sum(r.kept for r in got) == 100 and sum(r.kept and r.doc_id % 2 for r in got) >= 95
+
+
+def test_importance_numbers_equal_brute_force(spark):
+    import math
+    import zlib as z
+
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choice(["red", "green", "blue", "odd", "even"]) for _ in range(rng.randint(0, 30))) for i in range(60)}
+    good = {i for i in range(0, 30, 3)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(30)], "doc_id long, quality int")
+
+    def buckets(text):
+        h = [z.crc32(w.encode()) for w in text.split()]
+        pairs = [(x * 0x9E3779B1 & 0xFFFFFFFF) ^ y for x, y in zip(h, h[1:])]
+        return [(x * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - importance.BITS for x in h + [x ^ x >> 16 for x in pairs]]
+
+    raw, target = [1] * importance.BUCKETS, [1] * importance.BUCKETS
+    for i, t in texts.items():
+        for b in buckets(t):
+            raw[b] += 1
+            target[b] += i in good
+    weight = lambda b: math.log(target[b] / sum(target)) - math.log(raw[b] / sum(raw))
+    memo = {}
+    got = importance.importance_sample(docs, labels, share=0.4).collect()
+    for r in got:
+        found = buckets(texts[r.doc_id])
+        assert r.n_grams == len(found)
+        assert r.log_importance == pytest.approx(sum(memo.setdefault(b, weight(b)) for b in found), abs=1e-9)
+    assert sum(r.kept for r in got) == 24 and min(r.key for r in got if r.kept) > max(r.key for r in got if not r.kept)
+
+
+def test_importance_samples_in_proportion(spark):
+    """Gumbel keys less the importance are Gumbel noise: mean 0.577, and rows without an id draw their own."""
+    docs = spark.createDataFrame([(i if i % 2 else None, f"text number {i}") for i in range(4_000)], "doc_id long, text string")
+    got = importance.importance_sample(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    noise = [r.key - r.log_importance for r in got]
+    assert len({round(x, 9) for x in noise}) == 4_000
+    assert sum(noise) / 4_000 == pytest.approx(0.5772, abs=0.08)
