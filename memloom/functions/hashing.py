@@ -1,9 +1,10 @@
-"""Stable hashes as built-in expressions, and one that needs Python."""
+"""Stable hashes, worked out an Arrow batch at a time."""
 
 from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,22 +13,44 @@ from pyspark.sql.types import LongType
 # Start, and the prime 2 ** 40 + 435 of the multiplicative hash.
 START = 1469598103934665603
 PRIME_LOW = 435
-MASK = (1 << 32) - 1
+PRIME = np.uint64((1 << 40) + PRIME_LOW)
+
+
+def fnv_many(texts: list[str | None]) -> np.ndarray:
+    """The 64-bit xor-and-multiply hash of the UTF-8 bytes of each text, byte place by byte place over all texts at once."""
+    data = [(t or "").encode() for t in texts]
+    lens = np.fromiter(map(len, data), np.int64, len(data))
+    order = np.argsort(-lens, kind="stable")
+    out = np.full(len(data), START, np.uint64)
+    at = 0
+    while at < len(data) and lens[order[at]]:
+        # Texts of falling length, as many as fill a bounded matrix; those long enough for a place come first.
+        longest = int(lens[order[at]])
+        part = order[at : at + max(1, (1 << 20) // longest)]
+        width, own = int(longest), lens[part]
+        cells = np.frombuffer(b"".join(data[i].ljust(width, b"\0") for i in part), np.uint8).reshape(len(part), width)
+        live = np.searchsorted(-own, -np.arange(width), "left")
+        h = out[part]
+        for j in range(width):
+            n = live[j]
+            h[:n] = (h[:n] ^ cells[:n, j]) * PRIME
+        out[part] = h
+        at += len(part)
+    return out
+
+
+def _fnv(texts: pd.Series) -> pd.Series:
+    return pd.Series(fnv_many(texts.tolist()).view(np.int64))
 
 
 def fnv(text: Column, modulo: int) -> Column:
-    """64-bit xor-and-multiply hash of the UTF-8 bytes, mod `modulo`, on two 32-bit limbs: nothing overflows under ANSI rules."""
-    latin = F.decode(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), "ISO-8859-1")
-    codes = F.transform(F.filter(F.split(latin, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    limb = lambda hi, lo: F.struct(hi.alias("hi"), lo.alias("lo"))
+    """The same as a column, mod `modulo`: an Arrow batch at a time, since Spark's expressions would fold it byte by byte uncompiled."""
+    return _unsigned(F.pandas_udf(_fnv, LongType())(text), modulo)
 
-    def step(h: Column, b: Column) -> Column:
-        x = h["lo"].bitwiseXOR(b)
-        carried = h["hi"] * PRIME_LOW + F.shiftright(x * PRIME_LOW, 32) + x.bitwiseAND(F.lit(0xFFFFFF)) * 256
-        return limb(carried.bitwiseAND(F.lit(MASK)), (x * PRIME_LOW).bitwiseAND(F.lit(MASK)))
 
-    first = limb(F.lit(START >> 32).cast("long"), F.lit(START & MASK).cast("long"))
-    return F.aggregate(codes, first, step, lambda h: ((h["hi"] % modulo) * ((1 << 32) % modulo) + h["lo"] % modulo) % modulo)
+def _unsigned(signed: Column, modulo: int) -> Column:
+    """A 64-bit number, read as unsigned, mod `modulo`."""
+    return F.when(signed >= 0, signed % modulo).otherwise((F.pmod(signed, F.lit(modulo)) + (1 << 64) % modulo) % modulo)
 
 
 def fnv_sql(text: str, modulo: int) -> str:
@@ -43,6 +66,4 @@ def _blake(texts: pd.Series) -> pd.Series:
 
 def blake(text: Column, modulo: int) -> Column:
     """BLAKE2b of 8 bytes, little-endian, mod `modulo`; Spark has no built-in for it."""
-    signed = F.pandas_udf(_blake, LongType())(text)
-    two64 = (1 << 64) % modulo
-    return F.when(signed >= 0, signed % modulo).otherwise((F.pmod(signed, F.lit(modulo)) + two64) % modulo)
+    return _unsigned(F.pandas_udf(_blake, LongType())(text), modulo)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as lex
 from ..functions import hashing
 from ..functions import text as T
+from ..functions.lineage import cut
 from . import states as S
 
 ADDRESSES, DIM, LANES = 4096, 256, 8
@@ -214,35 +215,50 @@ def finite_steps(events: DataFrame) -> DataFrame:
 
 
 # --- gates --------------------------------------------------------------------------------------------------------------
-def prototypes(features: DataFrame, dim: int = DIM, lanes: int = LANES) -> DataFrame:
-    """(feature, i, re, im): the unit prototype of each distinct feature, a few signed phases at hashed places."""
-    f = F.col("feature")
-    base = features.select("feature").distinct().withColumn("phase", hashing.fnv(F.concat(F.lit("phase::"), f), 8192))
-    rows = base.withColumn("lane", F.explode(F.array(*map(F.lit, range(lanes)))))
-    lane = F.col("lane").cast("string")
-    place = hashing.fnv(F.concat(f, F.lit("::lane::"), lane), dim)
-    sign = F.when(hashing.fnv(F.concat(f, F.lit("::sign::"), lane), 2) == 0, -1.0).otherwise(1.0)
-    angle = 2.0 * math.pi * F.col("phase") / 8192.0 + 2.0 * math.pi * F.col("lane") / float(lanes)
-    made = rows.select("feature", place.alias("i"), (sign * F.cos(angle)).alias("re"), (sign * F.sin(angle)).alias("im"))
-    summed = made.groupBy("feature", "i").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-    norm = F.sqrt(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")).over(Window.partitionBy("feature"))) + 1e-12
-    return summed.select("feature", "i", (F.col("re") / norm).alias("re"), (F.col("im") / norm).alias("im"))
+def prototypes(features: DataFrame, dim: int = DIM, lanes: int = LANES, addresses: int = ADDRESSES) -> DataFrame:
+    """(feature, address, i, re, im) of each distinct feature: its address, and its unit prototype, a few signed phases at hashed places."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["feature", "address", "i", "re", "im"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                texts = batch.column(0).slice(at, 4096).to_pylist()
+                n = len(texts)
+                per_lane = lambda name: hashing.fnv_many([f"{t}::{name}::{j}" for t in texts for j in range(lanes)]).reshape(n, lanes)  # noqa: E731, B023
+                phase = hashing.fnv_many([f"phase::{t}" for t in texts]) % np.uint64(8192)
+                place = (per_lane("lane") % np.uint64(dim)).astype(np.int64)
+                sign = np.where(per_lane("sign") % np.uint64(2) == 0, -1.0, 1.0)
+                z = sign * np.exp(1j * (2.0 * np.pi * phase.astype(float)[:, None] / 8192.0 + 2.0 * np.pi * np.arange(lanes)[None, :] / lanes))
+                # Lanes of a feature that share a place add up.
+                key, back = np.unique(np.arange(n)[:, None] * dim + place, return_inverse=True)
+                back = back.reshape(-1)
+                re, im = np.bincount(back, z.real.ravel(), len(key)), np.bincount(back, z.imag.ravel(), len(key))
+                own = key // dim
+                norm = np.sqrt(np.bincount(own, re * re + im * im, n))[own] + 1e-12
+                address = (hashing.fnv_many(texts) % np.uint64(addresses)).astype(np.int64)
+                cols = [pa.array(texts, pa.string()).take(pa.array(own)), pa.array(address[own]), pa.array(key % dim), pa.array(re / norm), pa.array(im / norm)]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return features.select("feature").distinct().mapInArrow(run, "feature string, address long, i long, re double, im double")
 
 
 def gated(items: DataFrame, context: DataFrame, addresses: int = ADDRESSES, top: int = 24) -> DataFrame:
     """(session_id, step_idx, address, weight, gate): gated address weights, the `top` strongest of each step."""
     merged = items.groupBy(*STEP, "feature").agg(F.sum("weight").alias("weight"))
-    protos = prototypes(items.select("feature").unionByName(context.select("feature")))
+    protos = cut(prototypes(items.select("feature").unionByName(context.select("feature")), addresses=addresses))
     ctx = context.join(protos, "feature").groupBy(*STEP, "i").agg(F.sum(F.col("weight") * F.col("re")).alias("a"), F.sum(F.col("weight") * F.col("im")).alias("b"))
     norm = F.sqrt(F.sum(F.col("a") * F.col("a") + F.col("b") * F.col("b")).over(Window.partitionBy(*STEP))) + 1e-12
     ctx = ctx.withColumns({"a": F.col("a") / norm, "b": F.col("b") / norm})
     met = merged.join(protos, "feature").join(ctx, [*STEP, "i"], "left")
     a, b, re, im = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0)), F.col("re"), F.col("im")
     # The first argument is conjugated.
-    score = met.groupBy(*STEP, "feature").agg(F.first("weight").alias("weight"), F.sum(a * re + b * im).alias("x"), F.sum(a * im - b * re).alias("y"))
+    score = met.groupBy(*STEP, "feature", "address").agg(F.first("weight").alias("weight"), F.sum(a * re + b * im).alias("x"), F.sum(a * im - b * re).alias("y"))
     x, y = F.col("x"), F.col("y")
     gate = sigmoid(3.2 * x + 1.4 * F.sqrt(x * x + y * y) + 0.6 * F.cos(F.atan2(y, x + 1e-12)))
-    rows = score.withColumn("gate", gate).withColumn("address", hashing.fnv(F.col("feature"), addresses))
+    rows = score.withColumn("gate", gate)
     summed = rows.groupBy(*STEP, "address").agg(F.sum(F.col("weight") * F.col("gate")).alias("weight"), F.max("gate").alias("gate"))
     return strongest(summed, top)
 

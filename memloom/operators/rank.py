@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lineage import cut
 
 
 def token_counts(rows: DataFrame, id_col: str, text_col: str, least: int = 3) -> DataFrame:
@@ -35,6 +36,51 @@ def top_k(scores: DataFrame, k: int, by: str = "lexical", group: str = "item_id"
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def nearest(asked: DataFrame, held: DataFrame, dim: int, k: int, name: str = "cosine", block: int = 1024) -> DataFrame:
+    """(item_id, session_id, name, rank): the k best sessions of each item by the product of their sparse vectors (id, bucket, w), rounded, of those that share a bucket.
+
+    The questions go over all sessions in blocks of about `block`, each a dense matrix of
+    block * dim numbers at most that is broadcast. A task multiplies it with a few hundred
+    sessions at a time and hands on those that reach the k-th best of the question so
+    far, so that no more than the best of each task are ranked.
+    """
+    spark = asked.sparkSession
+    vectors = cut(held.groupBy("session_id").agg(F.collect_list("bucket").alias("b"), F.collect_list("w").alias("w")))  # dim entries at most
+    blocks = -(-asked.select("item_id").distinct().count() // block)
+    found = None
+    for i in range(max(1, blocks)):
+        rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))) == i).select("item_id", "bucket", "w").toPandas()
+        made = vectors.mapInArrow(_best_of(spark.sparkContext.broadcast((rows.item_id.to_numpy(), rows.bucket.to_numpy(), rows.w.to_numpy())), dim, k), "item_id long, session_id long, score double")
+        found = made if found is None else found.unionByName(made)
+    return top_k(found.select("item_id", "session_id", F.round("score", 6).alias(name)), k, by=name)
+
+
+def _best_of(questions, dim: int, k: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, at, weights = questions.value
+        items, row = np.unique(ids, return_inverse=True)
+        asked = np.zeros((dim, len(items)))
+        asked[at.astype(np.int64), row] = weights
+        best = np.full((k, len(items)), -np.inf)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                b, w = part.column(1), part.column(2)
+                held = np.zeros((part.num_rows, dim))
+                held[np.repeat(np.arange(part.num_rows), np.diff(b.offsets.to_numpy())), b.flatten().to_numpy().astype(np.int64)] = w.flatten().to_numpy()
+                scores = held @ asked
+                scores[scores <= 0] = -np.inf  # no bucket in common
+                best = -np.partition(-np.vstack([best, scores]), k - 1, axis=0)[:k]
+                # What rounds to the k-th best may still be among the first by its id.
+                doc, item = np.nonzero((scores >= best.min(axis=0) - 1e-6) & (scores > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(items[item].astype(np.int64)), part.column(0).take(pa.array(doc)), pa.array(scores[doc, item])], names=["item_id", "session_id", "score"])
+
+    return run
+
+
 def two_stage(items: DataFrame, sessions: DataFrame, lexical: DataFrame, shadow: DataFrame, refine: int = 24) -> DataFrame:
     """(item_id, session_id, short, mix, rank) of every session for every item: the shortlists by mixed, lexical and volume scores first, then the rest, each by mixed score.
 

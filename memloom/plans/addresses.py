@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from ..functions.lineage import cut
 from ..operators import addresses as A
 from ..operators import rank
 from ..operators import states as S
@@ -61,9 +62,10 @@ SQL_EDGE_WEIGHTS = f"{SQL_STEPS},{sql_items()},{sql_gated()}"
 
 
 def edge_weights(rows: DataFrame) -> DataFrame:
-    """Gated addresses of constraint steps."""
-    edges = S.constraint_edges(rows)
-    return A.gated(A.edge_items(rows, edges), A.edge_context(rows, edges))
+    """Gated addresses of constraint steps; steps, edges and weights are each worked out once."""
+    rows = cut(rows)
+    edges = cut(S.constraint_edges(rows))
+    return cut(A.gated(A.edge_items(rows, edges), A.edge_context(rows, edges)))
 
 
 @query(
@@ -147,22 +149,18 @@ def edge_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("session_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.round("mass", 5).alias("mass"))
 
 
-def _prefilter(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Questions, documents as sessions, and the five best documents of each question by lexical overlap."""
+def _supports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The five best documents of each question by lexical overlap, and their support; both sides are encoded in one pass."""
     q = read(spark, sf_dir, "benchmark").select("item_id", "text")
     s = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), "text")
-    return q, s, rank.top_k(rank.lexical_scores(q, s), 5).select("item_id", "session_id", "lexical")
-
-
-def _supports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q, s, pool = _prefilter(spark, sf_dir)
-    wanted = pool.select("session_id").distinct()
-    one = S.lexical_steps(S.chunks(q.select(F.col("item_id").alias("session_id"), "text")))
-    two = S.lexical_steps(S.chunks(s.join(wanted, "session_id", "left_semi")))
-    asked, held = edge_weights(one), edge_weights(two)
-    item = lambda df: df.withColumnRenamed("session_id", "item_id")
-    support = A.support_similarity(item(A.address_mass(asked)), item(A.edge_mass(asked)), A.address_mass(held), A.edge_mass(held), pool.select("item_id", "session_id"))
-    return pool, support
+    pool = cut(rank.top_k(rank.lexical_scores(q, s), 5).select("item_id", "session_id", "lexical"))
+    held = s.join(pool.select("session_id").distinct(), "session_id", "left_semi")
+    side = lambda name, c: F.concat(F.lit(name), F.col(c).cast("string")).alias("session_id")
+    weights = edge_weights(S.lexical_steps(S.chunks(q.select(side("q", "item_id"), "text").unionByName(held.select(side("s", "session_id"), "text")))))
+    address, edge = cut(A.address_mass(weights)), cut(A.edge_mass(weights))
+    own = lambda df, name, c: df.where(F.col("session_id").startswith(name)).withColumn("session_id", F.substring("session_id", 2, 40).cast("long")).withColumnRenamed("session_id", c)
+    pairs = pool.select("item_id", "session_id")
+    return pool, A.support_similarity(own(address, "q", "item_id"), own(edge, "q", "item_id"), own(address, "s", "session_id"), own(edge, "s", "session_id"), pairs)
 
 
 def _sql_chunks_of(source: str, out: str) -> str:

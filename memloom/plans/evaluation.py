@@ -1,8 +1,8 @@
 """Evaluation queries: item metrics, roll-ups by task and protocol, deltas, sub-scores and the total.
 
 The driver's tables hold no benchmark of this kind, so items and predictions are made
-from the words of the first turn of each conversation: gold parts take them from the
-start, predictions of a variant from some words later, and some items lack a variant.
+from the words of every turn: gold parts take them from the start, predictions of a
+variant from some words later, and some items lack a variant.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ VARIANTS = (("fixed_budget", 0), ("weak_cue", 2), ("stage_weak_cue", 3), ("refin
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").where("turn = 0")
-    return rows.select(F.col("conv_id").alias("id"), F.split(T.normalise(F.col("text")), " ").alias("w"))
+    rows = read(spark, sf_dir, "conversations")
+    return rows.select((F.col("conv_id").cast("long") * 1_000_000 + F.col("turn")).alias("id"), F.split(T.normalise(F.col("text")), " ").alias("w"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ _mean = lambda a: f"(coalesce(list_sum({a}), 0) / greatest(len({a}), 1))"  # noq
 _iou = lambda a0, a1, b0, b1: f"greatest(least({a1}, {b1}) - greatest({a0}, {b0}) + 1, 0)::DOUBLE / greatest(greatest({a1}, {b1}) - least({a0}, {b0}) + 1, 1)"
 
 SQL_SCORED = f"""
-f AS (SELECT conv_id AS id, string_split({sql_normal('text')}, ' ') AS w FROM conversations WHERE turn = 0),
+f AS (SELECT conv_id::BIGINT * 1000000 + turn AS id, string_split({sql_normal('text')}, ' ') AS w FROM conversations),
 va(variant, k) AS (VALUES {', '.join(f"('{n}', {k})" for n, k in VARIANTS)}),
 g AS (SELECT id AS item_id, ([{', '.join(f"'{t}'" for t in TASKS)}])[id % 5 + 1] AS task_type, w, {_clean('w[1:5]')} AS ge, {_clean('w[2:4]')} AS ga, {_clean(f'CASE WHEN id % 3 = 0 THEN w[5:6] ELSE {_NONE} END')} AS gf, {_clean('w[8:9]')} AS gr,
   CASE WHEN id % 4 <> 0 THEN w[1] END AS gn, CASE WHEN id % 2 = 0 THEN 'satisfied' ELSE 'violated' END AS gs, len(w) % 4 AS g1,
@@ -192,7 +192,7 @@ def subscores_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(E.subscores(means), [*E.WEIGHTS, "total"])
 
 
-@query("WITH f AS (SELECT conv_id AS id FROM conversations WHERE turn = 0) SELECT id AS item_id FROM f WHERE id % 7 = 6")
+@query("WITH f AS (SELECT conv_id::BIGINT * 1000000 + turn AS id FROM conversations) SELECT id AS item_id FROM f WHERE id % 7 = 6")
 def missing_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items without a prediction in the run that counts."""
     fixed = runs(spark, sf_dir).where("variant = 'fixed_budget'").select("item_id")

@@ -32,16 +32,17 @@ def build_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT b.item_id, k, 'conv_' || ((b.item_id + k) % 20) AS session_id FROM benchmark b, range(3) r(k)), f AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY 'q' || item_id, k) AS nth FROM h)
+    """WITH h AS (SELECT b.item_id, k, 'conv_' || ((b.item_id + k) % n) AS session_id FROM benchmark b, range(3) r(k), (SELECT max(conv_id) + 1 AS n FROM conversations)), f AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY 'q' || item_id, k) AS nth FROM h)
 SELECT 'q' || item_id AS question_id, k AS pos, session_id, 'day' || k AS date, (SELECT count(*) FROM conversations c WHERE 'conv_' || c.conv_id = f.session_id) AS turns FROM f WHERE nth = 1"""
 )
 def haystack_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Haystack entries through JSON and back; of a repeated session the first entry's stays."""
     turns = catalogue.turns(read(spark, sf_dir, "conversations"))
-    few = turns.where(F.substring_index("session_id", "_", -1).cast("long") < 20)  # the sessions that the entries name
-    said = few.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("turns"))
+    said = turns.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("turns"))
+    n = read(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n"))
     asked = read(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
-    named = asked.withColumn("session_id", F.concat(F.lit("conv_"), ((F.col("item_id") + F.col("k")) % 20).cast("string"))).join(said, "session_id", "left")
+    # n is one row.
+    named = asked.join(F.broadcast(n)).withColumn("session_id", F.concat(F.lit("conv_"), ((F.col("item_id") + F.col("k")) % F.col("n")).cast("string"))).join(said, "session_id", "left")
     one = F.array_sort(F.collect_list(F.struct("k", "session_id", F.coalesce("turns", F.array().cast(f"array<{documents.TURN}>")).alias("turns"))))
     entries = named.groupBy("item_id", "text").agg(one.alias("h"))
     part = lambda field: F.transform("h", field)

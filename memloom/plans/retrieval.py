@@ -121,7 +121,7 @@ def stage_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT token, {hashing.fnv_sql('token', 4096)} AS h4096, {hashing.fnv_sql("'1::0::' || token", 2048)} AS h2048 FROM e"""
 )
 def stable_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The native stable hash of every token, with and without a prefix."""
+    """The stable hash of every token, with and without a prefix."""
     tokens = _sessions(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
     return tokens.select("token", hashing.fnv(F.col("token"), 4096).alias("h4096"), hashing.fnv(F.concat(F.lit("1::0::"), "token"), 2048).alias("h2048"))
 
@@ -178,11 +178,10 @@ sc AS (SELECT q.id AS item_id, d.id AS session_id, round(sum(q.w * d.w), 6) AS c
 SELECT item_id, session_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, session_id) AS rank FROM sc) WHERE rank <= 10"""
 )
 def hashed_tfidf_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten best documents of each question by the cosine of hashed tf-idf vectors: a join on buckets and a sum."""
+    """Ten best documents of each question by the cosine of hashed tf-idf vectors."""
     docs, idf = hashed_vectors(_sessions(spark, sf_dir), "session_id")
     asked, _ = hashed_vectors(_questions(spark, sf_dir), "item_id", idf)
-    scores = asked.withColumnRenamed("w", "v").join(docs, "bucket").groupBy("item_id", "session_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("cosine"))
-    return rank.top_k(scores, 10, by="cosine")
+    return rank.nearest(asked, docs, DIM, 10)
 
 
 @query(
