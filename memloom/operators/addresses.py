@@ -488,6 +488,33 @@ def support_similarity(q_address: DataFrame, q_edge: DataFrame, s_address: DataF
     return rows.select("item_id", "session_id", (F.coalesce("shared", F.lit(0.0)) / F.sqrt(floor(F.col("item_id_total")) * floor(F.col("session_id_total")))).alias("support"))
 
 
+def edge_weights(rows: DataFrame) -> DataFrame:
+    """Gated addresses of constraint steps; steps, edges and weights are each worked out once."""
+    rows = cut(rows)
+    edges = cut(S.constraint_edges(rows))
+    return cut(gated(edge_items(rows, edges), edge_context(rows, edges)))
+
+
+def encoded(asked: DataFrame, held: DataFrame, steps_of=S.fallback_steps) -> tuple[DataFrame, DataFrame]:
+    """(address mass, edge mass) of asked (item_id, text) and held (session_id, text), both sides encoded in one pass; their session_id starts with q or s."""
+    side = lambda name, c: F.concat(F.lit(name), F.col(c).cast("string")).alias("session_id")
+    texts = asked.select(side("q", "item_id"), "text").unionByName(held.select(side("s", "session_id"), "text"))
+    weights = edge_weights(steps_of(S.chunks(texts)))
+    return cut(address_mass(weights)), cut(edge_mass(weights))
+
+
+def support_of(masses: tuple[DataFrame, DataFrame], pairs: DataFrame) -> DataFrame:
+    """(item_id, session_id, support) of pairs (item_id, session_id) from the masses of encoded()."""
+    kind = {c: pairs.schema[c].dataType for c in ("item_id", "session_id")}
+
+    def own(df: DataFrame, name: str, c: str) -> DataFrame:
+        rows = df.where(F.col("session_id").startswith(name)).withColumn("session_id", F.expr("substring(session_id, 2)").cast(kind[c]))
+        return rows.withColumnRenamed("session_id", c)
+
+    address, edge = masses
+    return support_similarity(own(address, "q", "item_id"), own(edge, "q", "item_id"), own(address, "s", "session_id"), own(edge, "s", "session_id"), pairs)
+
+
 def hybrid(lexical: DataFrame, support: DataFrame) -> DataFrame:
     """(item_id, session_id, score, rank): 0.7 of the lexical score and 0.3 of the support, ties by id."""
     rows = lexical.join(support, ["item_id", "session_id"], "left")

@@ -30,6 +30,17 @@ def lexical_scores(questions: DataFrame, sessions: DataFrame) -> DataFrame:
     return pairs.select("item_id", "session_id", F.round(F.col("shared") / F.col("total"), 6).alias("lexical"))
 
 
+def pair_lexical(pairs: DataFrame, questions: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(item_id, session_id, lexical) of the given pairs only, 0 where they share no token."""
+    q = token_counts(questions, "item_id", "text")
+    q = q.withColumn("total", F.sum("n").over(Window.partitionBy("item_id")))
+    wanted = pairs.select("session_id").distinct()
+    s = token_counts(sessions.join(wanted, "session_id", "left_semi"), "session_id", "text").withColumnRenamed("n", "m")
+    met = pairs.select("item_id", "session_id").join(q, "item_id").join(s, ["session_id", "token"])
+    shared = met.groupBy("item_id", "session_id").agg((F.sum(F.least("n", "m")) / F.max("total")).alias("l"))
+    return pairs.join(shared, ["item_id", "session_id"], "left").select("item_id", "session_id", F.round(F.coalesce("l", F.lit(0.0)), 6).alias("lexical"))
+
+
 def top_k(scores: DataFrame, k: int, by: str = "lexical", group: str = "item_id", tie: str = "session_id") -> DataFrame:
     """The k best of each group with their rank; ties by the id. row_number <= k lets Spark cut each partition first."""
     order = Window.partitionBy(group).orderBy(F.desc(by), F.asc(tie))

@@ -131,6 +131,17 @@ def lexical_steps(rows: DataFrame) -> DataFrame:
     )
 
 
+def fields_of_steps(steps: DataFrame) -> DataFrame:
+    """Relation keys, turn and causal markers and flags of constraint steps, for what reads states."""
+    tag = lambda prefix, a, n: F.transform(first(a, n), lambda x: F.concat(F.lit(prefix), x))
+    relation = F.array_distinct(F.concat(tag("allow::", F.col("preferred"), 3), tag("require::", F.col("required"), 3), tag("block::", F.col("forbidden"), 2)))
+    flags = F.concat(_if(F.size("forbidden") > 0, "CONSTRAINT"), _if(has("triggers", "reframe", "topic_shift", "turn"), "PIVOT"), _if(has("triggers", "resolution", "cause_to_decision"), "DECISION"))
+    return steps.select(
+        *steps.columns, filled(first(relation, 6), "allow::persistence").alias("relation_keys"), flags.alias("flags"), F.array_distinct(first(F.col("required"), 3)).alias("causal_markers"),
+        F.array_distinct(tag("trigger::", F.col("triggers"), 3)).alias("turn_markers"), F.array_distinct(tag("require::", F.col("required"), 4)).alias("causal_schemas"),
+    )
+
+
 def step_weight() -> Column:
     return 1.0 + 0.7 * F.col("confidence") + 0.08 * F.size("preferred") + 0.05 * F.size("forbidden")
 

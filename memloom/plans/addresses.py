@@ -61,13 +61,6 @@ def sql_masses(p: str = "") -> str:
 SQL_EDGE_WEIGHTS = f"{SQL_STEPS},{sql_items()},{sql_gated()}"
 
 
-def edge_weights(rows: DataFrame) -> DataFrame:
-    """Gated addresses of constraint steps; steps, edges and weights are each worked out once."""
-    rows = cut(rows)
-    edges = cut(S.constraint_edges(rows))
-    return cut(A.gated(A.edge_items(rows, edges), A.edge_context(rows, edges)))
-
-
 @query(
     f"""WITH {SQL_CHUNKS}, k0 AS (SELECT session_id, step_idx, {sql_tokens('chunk')} AS k FROM ch),
 g AS (SELECT session_id, step_idx, 1 AS n, unnest(k) AS gram FROM k0 UNION ALL SELECT session_id, step_idx, 2, unnest(list_transform(range(1, len(k)), lambda i: array_to_string(k[i:i+1], '__'))) FROM k0 UNION ALL SELECT session_id, step_idx, 3, unnest(list_transform(range(1, len(k) - 1), lambda i: array_to_string(k[i:i+2], '__'))) FROM k0),
@@ -96,14 +89,14 @@ def _shown(weights: DataFrame) -> DataFrame:
 @query(f"WITH {SQL_EDGE_WEIGHTS} SELECT session_id, step_idx, address, round(weight, 5) AS weight, round(gate, 5) AS gate FROM wt")
 def edge_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gated addresses of constraint edges, the 24 strongest of each step."""
-    return _shown(edge_weights(steps(spark, sf_dir)))
+    return _shown(A.edge_weights(steps(spark, sf_dir)))
 
 
 @query()
 def edge_address_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the strongest addresses of each step carried into the next: a recurrence, so SQL has no form of it."""
     rows = steps(spark, sf_dir)
-    found = edge_weights(rows).groupBy(*A.STEP).agg(F.array_sort(F.collect_list(F.struct("address", "weight"))).alias("addresses"))  # 24 at most
+    found = A.edge_weights(rows).groupBy(*A.STEP).agg(F.array_sort(F.collect_list(F.struct("address", "weight"))).alias("addresses"))  # 24 at most
     return A.carried(rows.select(*A.STEP, F.col("current").alias("state"), S.step_weight().alias("step_weight")).join(found, A.STEP))
 
 
@@ -139,13 +132,13 @@ def canonical_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_EDGE_WEIGHTS}, {sql_masses()} SELECT session_id, address, round(mass, 5) AS mass FROM am")
 def address_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = A.address_mass(edge_weights(steps(spark, sf_dir)))
+    made = A.address_mass(A.edge_weights(steps(spark, sf_dir)))
     return made.select("session_id", F.col("address").cast("long").alias("address"), F.round("mass", 5).alias("mass"))
 
 
 @query(f"WITH {SQL_EDGE_WEIGHTS}, {sql_masses()} SELECT session_id, src, dst, round(mass, 5) AS mass FROM em")
 def edge_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = A.edge_mass(edge_weights(steps(spark, sf_dir)))
+    made = A.edge_mass(A.edge_weights(steps(spark, sf_dir)))
     return made.select("session_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.round("mass", 5).alias("mass"))
 
 
@@ -155,12 +148,8 @@ def _supports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), "text")
     pool = cut(rank.top_k(rank.lexical_scores(q, s), 5).select("item_id", "session_id", "lexical"))
     held = s.join(pool.select("session_id").distinct(), "session_id", "left_semi")
-    side = lambda name, c: F.concat(F.lit(name), F.col(c).cast("string")).alias("session_id")
-    weights = edge_weights(S.lexical_steps(S.chunks(q.select(side("q", "item_id"), "text").unionByName(held.select(side("s", "session_id"), "text")))))
-    address, edge = cut(A.address_mass(weights)), cut(A.edge_mass(weights))
-    own = lambda df, name, c: df.where(F.col("session_id").startswith(name)).withColumn("session_id", F.substring("session_id", 2, 40).cast("long")).withColumnRenamed("session_id", c)
-    pairs = pool.select("item_id", "session_id")
-    return pool, A.support_similarity(own(address, "q", "item_id"), own(edge, "q", "item_id"), own(address, "s", "session_id"), own(edge, "s", "session_id"), pairs)
+    masses = A.encoded(q, held, S.lexical_steps)
+    return pool, A.support_of(masses, pool.select("item_id", "session_id"))
 
 
 def _sql_chunks_of(source: str, out: str) -> str:
@@ -196,7 +185,7 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw and stored bytes of each session; deflate has no SQL form."""
     rows = steps(spark, sf_dir)
-    weights = edge_weights(rows)
+    weights = A.edge_weights(rows)
     texts = chunks(spark, sf_dir).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_idx", "chunk"))), lambda x: x["chunk"]), "\n").alias("text"))
     return A.archive_stats(texts, A.address_mass(weights), A.edge_mass(weights))
 

@@ -20,7 +20,7 @@ ITEM = (
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def parse_entries(texts: DataFrame, schema: str, field: str = "items", column: str = "value") -> DataFrame:
