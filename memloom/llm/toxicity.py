@@ -4,9 +4,9 @@ Features are the hashed n-grams of the lower-cased UTF-8 bytes that a text holds
 least once. With p and q the smoothed counts of texts of either class that hold a
 feature, r = log((p / |p|) / (q / |q|)); a logistic regression is trained on the
 features scaled by r. A feature is trained if its rates in the two classes differ by
-LEAST_Z standard errors or more, a test that is the same at every size; where none
-does, all scores are the share of toxic labels. Scoring is one pass over whole texts
-without a shuffle.
+LEAST_Z standard errors or more, or if it is among the FIRST that differ most: a few
+examples have few significant features, and many have more than FIRST. Scoring is one
+pass over whole texts without a shuffle.
 
 Training takes a bounded sample of labelled texts, the driver holds no more: of each
 class those with the least hash of their id, `most` texts and `most_bytes` bytes in
@@ -39,8 +39,8 @@ PIECE, SORTED = 1 << 16, 1 << 11
 #: Texts of each class that train at most, and their bytes in all.
 MOST, MOST_BYTES = 2500, 12 << 20
 FOLDS = 5
-#: The least z score of a trained feature: by chance hardly any of 2 ** BITS reaches it.
-LEAST_Z = 4.5
+#: The z score from which on every feature trains, by chance hardly any of 2 ** BITS reaches it; and how many train in any case.
+LEAST_Z, FIRST = 4.5, 100
 
 
 def _hashed(x: np.ndarray) -> np.ndarray:
@@ -135,7 +135,9 @@ def fit(texts: list[str], labels: np.ndarray, odds: float, steps: int = 200, dec
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BITS, np.float32), -30.0, False)
     r = log_count_ratios(p, q)
-    chosen = z_scores(p, q, y.sum(), len(y) - y.sum()) >= least_z
+    z = z_scores(p, q, y.sum(), len(y) - y.sum())
+    chosen = z >= least_z
+    chosen[np.argsort(-z, kind="stable")[:FIRST]] = True
     sets = []
     for text in kept:
         found = features(text)
@@ -156,8 +158,6 @@ def fit(texts: list[str], labels: np.ndarray, odds: float, steps: int = 200, dec
         w = w - 0.1 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
         b -= 0.1 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
     # The classes weighed alike while training; the intercept takes their odds back in.
-    if not chosen.any():
-        return Model(w, float(np.log(odds)))
     return Model(w * r / size, b + 0.5 * float(np.log(odds)))
 
 
