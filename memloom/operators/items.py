@@ -42,6 +42,12 @@ def overridden(rows: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
     return met.select(*(put(c) for c in rows.columns))
 
 
+def without_derived(entries: DataFrame, derived: DataFrame) -> DataFrame:
+    """entries (question_id, ...) that no derived item (source_question_id) was made of."""
+    used = derived.select(F.col("source_question_id").alias("question_id")).where("question_id is not null").distinct()
+    return entries.join(used, "question_id", "left_anti")
+
+
 def source_question(item_id: Column) -> Column:
     """What follows the last underscore of an item's id."""
     return F.substring_index(item_id, "_", -1)

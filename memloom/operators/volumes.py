@@ -225,7 +225,28 @@ def retrieve_tubes(tubes: DataFrame, queries: DataFrame, top: int = 3, least: fl
     score = along * (0.6 + 0.4 * time) * F.when(F.col("q_modality") == F.col("modality"), 1.0).otherwise(0.4) * (0.4 + 0.6 * F.least("importance", F.lit(1.0)))
     rows = met.withColumn("score", F.round(score, 6)).where(F.col("score") > least)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "dir", *AXES))
-    return rows.withColumn("rank", nth).where(F.col("rank") <= top).select("query_id", "id", "dir", "score", "rank")
+    return rows.withColumn("rank", nth).where(F.col("rank") <= top).select("query_id", "id", "dir", "score", "rank", *AXES, "dt", "du", "dv")
+
+
+def query_decode(archive: DataFrame, queries: DataFrame, top: int = 3, margin: int = 2, shape: Sequence[int] = SHAPE) -> DataFrame:
+    """(query_id, id, t, u, v, value): of each query's volume the voxels in the box of its best tubes, widened by a margin.
+
+    Only volumes that a query asks are decoded. A query that finds no tube has no voxels.
+    """
+    found = retrieve_tubes(archive.select("id", F.explode("tubes").alias("x")).select("id", "x.*"), queries, top)
+    points = found.withColumn("k", F.explode(F.sequence(F.lit(-codec.HALF), F.lit(codec.HALF))))
+    for a in AXES:
+        points = points.withColumn(f"p{a}", F.col(a) + F.col("k") * F.col(f"d{a}"))
+    inside = F.lit(True)
+    for a, n in zip(AXES, shape, strict=True):
+        inside = inside & F.col(f"p{a}").between(0, n - 1)
+    ends = [f(F.col(f"p{a}")).alias(f"{name}{a}") for a in AXES for f, name in ((F.min, "low"), (F.max, "top"))]
+    box = points.where(inside).groupBy("query_id", "id").agg(*ends)
+    voxels = decode(archive.join(box.select("id").distinct(), "id", "left_semi"), shape)
+    near = F.lit(True)
+    for a in AXES:
+        near = near & F.col(a).between(F.col(f"low{a}") - margin, F.col(f"top{a}") + margin)
+    return voxels.join(box, "id").where(near).select("query_id", "id", *AXES, "value")
 
 
 def synthetic(spark: SparkSession, seeds: Sequence[int] = (0, 1, 2), shape: Sequence[int] = SHAPE, noise: float = 0.08) -> tuple[DataFrame, DataFrame]:

@@ -24,3 +24,9 @@ def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_step_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: the event before each event of a user, by a stateful stream over the events."""
     return sessions.run_once(sessions.step_lag(sessions.source(spark, f"{sf_dir}/events.parquet")))
+
+
+@query("SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events")
+def step_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: the same of the whole table, by a window."""
+    return sessions.lagged(read(spark, sf_dir, "events"))

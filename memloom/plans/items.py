@@ -64,6 +64,14 @@ def curated_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.overridden(rows, other, "item_id")
 
 
+@query("SELECT 'q' || item_id AS question_id, text AS question FROM benchmark WHERE 'q' || item_id NOT IN (SELECT 'q' || (item_id * 3) FROM benchmark)")
+def underived_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that may still be sampled: those that no derived item stands for."""
+    b = read(spark, sf_dir, "benchmark")
+    name = lambda x: F.concat(F.lit("q"), x.cast("string"))
+    return I.without_derived(b.select(name(F.col("item_id")).alias("question_id"), F.col("text").alias("question")), b.select(name(F.col("item_id") * 3).alias("source_question_id")))
+
+
 @query(
     """WITH i AS (SELECT 'item_q' || item_id AS item_id, item_id AS n FROM benchmark), h AS (SELECT item_id AS n, 's' || (item_id % 7) AS session_id FROM benchmark WHERE item_id % 4 <> 0 UNION SELECT item_id, 's' || (item_id % 5) FROM benchmark WHERE item_id % 4 <> 0),
 s AS (SELECT 's' || x AS session_id FROM range(7) r(x)) SELECT i.item_id, session_id FROM i JOIN h USING (n) UNION ALL SELECT i.item_id, session_id FROM i, s WHERE n % 4 = 0"""

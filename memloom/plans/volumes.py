@@ -218,6 +218,15 @@ def synthetic_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("id").agg(F.avg("hit").alias("recall"), F.count(F.lit(1)).alias("tubes"))
 
 
+@query()
+def box_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each session's archived volume the box around the three best tubes for its time axis: voxels and their energy."""
+    archive = cut(V.encode(cut(volume(spark, sf_dir))))
+    asked = archive.select(F.col("id").alias("query_id"), "id", F.lit(1).alias("qt"), F.lit(0).alias("qu"), F.lit(0).alias("qv"), F.lit(0).alias("q0"), F.lit(T0 - 1).alias("q1"), V.modality(F.lit(0)).alias("q_modality"))
+    found = V.query_decode(archive, asked)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("voxels"), F.round(F.sum(F.col("value") * F.col("value")), 4).alias("energy"))
+
+
 @query()
 def shortlist_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-stage ranking of all documents: shortlists by mixed, lexical and volume scores, the rest as an ordered tail; without semantic and structure scores and the rescoring."""
