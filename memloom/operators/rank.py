@@ -48,7 +48,9 @@ def top_k(scores: DataFrame, k: int, by: str = "lexical", group: str = "item_id"
 
 
 def nearest(asked: DataFrame, held: DataFrame, dim: int, k: int, name: str = "cosine", block: int = 1024) -> DataFrame:
-    """(item_id, session_id, name, rank): the k best sessions of each item by the product of their sparse vectors (id, bucket, w), rounded, of those that share a bucket.
+    """(item_id, session_id, name, rank): the k best sessions of each item by the product of their sparse vectors, rounded, of those that share a bucket.
+
+    asked: item_id, bucket, w; held: the same of session_id, or session_id with arrays b and w.
 
     The questions go over all sessions in blocks of about `block`, each a dense matrix of
     block * dim numbers at most that is broadcast. A task multiplies it with a few hundred
@@ -56,7 +58,8 @@ def nearest(asked: DataFrame, held: DataFrame, dim: int, k: int, name: str = "co
     far, so that no more than the best of each task are ranked.
     """
     spark = asked.sparkSession
-    vectors = cut(held.groupBy("session_id").agg(F.collect_list("bucket").alias("b"), F.collect_list("w").alias("w")))  # dim entries at most
+    vectors = held if "b" in held.columns else held.groupBy("session_id").agg(F.collect_list("bucket").alias("b"), F.collect_list("w").alias("w"))  # dim entries at most
+    vectors = cut(vectors.select("session_id", "b", "w"))
     blocks = -(-asked.select("item_id").distinct().count() // block)
     found = None
     for i in range(max(1, blocks)):

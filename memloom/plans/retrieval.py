@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions import text as T
+from ..functions.lineage import cut
 from ..operators import rank
 from ..sources import catalogue
 from .registry import query, read
@@ -136,28 +137,79 @@ def blake_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIM = 2048
 
 
-def features(rows: DataFrame, id_col: str) -> DataFrame:
-    """(id, feature, n): tokens and pairs of neighbouring tokens."""
-    k = T.tokens(F.col("text"))
-    both = T.let(k, lambda a: F.concat(a, F.when(F.size(a) > 1, F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.concat_ws("__", F.element_at(a, i), F.element_at(a, i + 1)))).otherwise(T.empty())))
-    return rows.select(id_col, F.explode(both).alias("feature")).groupBy(id_col, "feature").agg(F.count(F.lit(1)).alias("n"))
+def hashed_counts(rows: DataFrame, id_col: str) -> DataFrame:
+    """(id, b array<int>, tf array<int>): how often the tokens and pairs of neighbouring tokens of a row fall into each bucket.
 
+    One row for each text, nothing is shuffled; a feature is hashed once for 128 texts.
+    """
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                place: dict[str, int] = {}
+                owner, codes = [], []
+                for n, k in enumerate(part.column(1).to_pylist()):
+                    own = [place.setdefault(f, len(place)) for f in (*k, *(f"{x}__{y}" for x, y in zip(k, k[1:])))]
+                    owner.append(np.full(len(own), n))
+                    codes.append(np.array(own, np.int64))
+                buckets = (hashing.fnv_many(list(place)) % np.uint64(DIM)).astype(np.int64)
+                key, tf = np.unique(np.concatenate(owner) * DIM + buckets[np.concatenate(codes)], return_counts=True)
+                ends = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) * DIM).astype(np.int32))
+                lists = lambda x: pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32)))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(key % DIM), lists(tf)], names=[id_col, "b", "tf"])
+
+    return rows.select(id_col, T.tokens(F.col("text")).alias("k")).mapInArrow(run, f"{id_col} {kind}, b array<int>, tf array<int>")
+
+
+def bucket_idf(counts: DataFrame) -> DataFrame:
+    """(bucket, idf) over the rows of hashed_counts, DIM rows at most."""
+    n = counts.agg(F.count(F.lit(1)).alias("n"))
+    df = counts.select(F.explode("b").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    return df.join(F.broadcast(n)).select("bucket", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def weighed(counts: DataFrame, id_col: str, idf: DataFrame) -> DataFrame:
+    """(id, b array<int>, w array<double>): unit vectors of ln(1 + tf) * idf; buckets without an idf drop out."""
+    spark, kind = counts.sparkSession, counts.schema[id_col].dataType.simpleString()
+    shared = spark.sparkContext.broadcast([(r.bucket, r.idf) for r in idf.collect()])  # DIM rows at most
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        of = np.zeros(DIM)
+        for bucket, value in shared.value:
+            of[bucket] = value
+        for batch in batches:
+            b, tf, n = batch.column(1), batch.column(2), batch.num_rows
+            owner = np.repeat(np.arange(n), np.diff(b.offsets.to_numpy()))
+            at = b.flatten().to_numpy()
+            x = np.log1p(tf.flatten().to_numpy()) * of[at]
+            keep = x > 0
+            at, owner, x = at[keep], owner[keep], x[keep]
+            x = x / np.sqrt(np.bincount(owner, x * x, n))[owner]
+            ends = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, pa.array(x))], names=[id_col, "b", "w"])
+
+    return counts.mapInArrow(run, f"{id_col} {kind}, b array<int>, w array<double>")
+
+
+def unfolded(vectors: DataFrame, id_col: str) -> DataFrame:
+    """Long vectors (id, bucket, w)."""
+    pair = F.explode(F.arrays_zip("b", "w")).alias("x")
+    return vectors.select(id_col, pair).select(id_col, F.col("x.b").cast("long").alias("bucket"), "x.w")
 
-def hashed_vectors(rows: DataFrame, id_col: str, idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Long unit vectors (id, bucket, w) of ln(1 + tf) * idf, and the idf of the buckets.
 
-    Each distinct feature is hashed once; counts of a bucket are summed after that.
-    """
-    own = features(rows, id_col)
-    hashed = own.select("feature").distinct().withColumn("bucket", hashing.fnv(F.col("feature"), DIM))
-    tf = own.join(hashed, "feature").groupBy(id_col, "bucket").agg(F.sum("n").alias("tf"))
-    if idf is None:
-        n = rows.agg(F.count(F.lit(1)).alias("n"))
-        df = tf.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-        idf = df.join(F.broadcast(n)).select("bucket", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weighed = tf.join(idf, "bucket").withColumn("x", F.log1p("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(id_col)))
-    return weighed.select(id_col, "bucket", (F.col("x") / norm).alias("w")), idf
+def hashed_vectors(rows: DataFrame, id_col: str, idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Long unit vectors (id, bucket, w) of ln(1 + tf) * idf, and the idf of the buckets."""
+    counts = cut(hashed_counts(rows, id_col))
+    idf = cut(bucket_idf(counts)) if idf is None else idf
+    return unfolded(weighed(counts, id_col, idf), id_col), idf
 
 
 def _sql_vectors(name: str, table: str, id_col: str, idf: str | None) -> str:
@@ -179,9 +231,9 @@ SELECT item_id, session_id, cosine, rank FROM (SELECT *, row_number() OVER (PART
 )
 def hashed_tfidf_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best documents of each question by the cosine of hashed tf-idf vectors."""
-    docs, idf = hashed_vectors(_sessions(spark, sf_dir), "session_id")
-    asked, _ = hashed_vectors(_questions(spark, sf_dir), "item_id", idf)
-    return rank.nearest(asked, docs, DIM, 10)
+    counts = cut(hashed_counts(_sessions(spark, sf_dir), "session_id"))
+    asked, idf = hashed_vectors(_questions(spark, sf_dir), "item_id", cut(bucket_idf(counts)))
+    return rank.nearest(asked, weighed(counts, "session_id", idf), DIM, 10)
 
 
 @query(
