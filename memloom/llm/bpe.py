@@ -32,7 +32,6 @@ import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
-from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +41,12 @@ from pyspark.sql import functions as F
 
 from .common import runs
 
-#: Bytes that the memos of a worker hold at most, in all.
+#: Bytes that the memos of a worker hold at most, in all, beside what one run of texts adds.
 MEMO = 64 << 20
 #: Bytes of a pre-token that is merged together with others, and of all that share one queue.
 SHORT, QUEUE = 64, 256 << 10
 #: Texts whose new pre-tokens are merged together, by number and by bytes.
-TOGETHER, BYTES = 1024, 2 << 20
+TOGETHER, BYTES = 1024, 1 << 20
 #: Split patterns of which no match crosses a place between a character that isn't white space and a space.
 CUT_AT_SPACES = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
 
@@ -60,10 +59,14 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 class _Memo(dict):
-    """key -> make(key). When full it becomes the older half, of which only what is asked for again is kept."""
+    """key -> make(key). When full it becomes the older half, of which only what is asked for again is kept.
 
-    #: Bytes of an entry beside its key and value: the slots of a dict that is a third to two thirds full.
-    ENTRY = 110
+    It is only cut back by trim(), between runs of texts, so that a run finds all that
+    was encoded for it in advance.
+    """
+
+    #: Bytes of an entry beside four for a character of its key and its packed ids: two objects, and slots of a dict that is a third to two thirds full.
+    ENTRY = 192
 
     def __init__(self, make, most: int):
         self.make, self.most, self.old, self.held = make, most // 2, {}, 0
@@ -76,12 +79,14 @@ class _Memo(dict):
         return made
 
     def put(self, key, made) -> None:
-        self.held += getsizeof(key) + getsizeof(made) + self.ENTRY
+        self[key] = made
+        self.held += self.ENTRY if isinstance(made, int) else self.ENTRY + 4 * len(key) + len(made)
+
+    def trim(self) -> None:
         if self.held > self.most:
             self.old = dict(self)
             self.clear()
             self.held = 0
-        self[key] = made
 
     def forget(self) -> None:
         self.clear()
@@ -105,6 +110,7 @@ class Codec:
         for token, rank in self.ranks.items():
             self.vocabulary[rank] = token
         self.digits = [str(i) for i in range(len(self.vocabulary))]
+        self.packed = [_packed([i]) for i in range(len(self.vocabulary))]
         self.bytes = [self.ranks[bytes([i])] for i in range(256)]
         self.byte_ids = np.array(self.bytes, np.int64)
         # The greatest number in a pair is the sentinel, one above the last id.
@@ -127,7 +133,7 @@ class Codec:
     def _pretoken(self, text: str) -> bytes:
         data = text.encode()
         whole = self.ranks.get(data)
-        return _packed([whole] if whole is not None else self.merge(data))
+        return self.packed[whole] if whole is not None else _packed(self.merge(data))
 
     def _whole(self, text: str) -> bool:
         """Whether a text is split as a whole."""
@@ -251,6 +257,8 @@ class Codec:
 
     def prime(self, texts: list[str]) -> None:
         """Encode what the texts hold for the first time, all short pre-tokens at once."""
+        for memo in (self.pairs, self.pretokens, self.after_space):
+            memo.trim()
         segments: set[str] = set()
         pretokens: set[str] = set()
         for text in texts:
@@ -261,35 +269,44 @@ class Codec:
                 segments.update(rest)
                 pretokens.update(self.find(first))
         known, parts = self.after_space, self.pretokens
-        fresh: list[tuple[_Memo, str, bytes]] = []
-        for x in segments:
-            if x not in known and x not in known.old:
-                found = self.find(" " + x)
-                if len(found) == 1:
-                    fresh.append((known, x, (" " + x).encode()))
-                else:
-                    pretokens.update(found)
-        fresh += [(parts, x, x.encode()) for x in pretokens if x not in parts and x not in parts.old]
-        queue, waiting = [], 0
-        for item in fresh:
-            memo, key, data = item
-            whole = self.ranks.get(data)
+        find, rank_of, packed = self.find, self.ranks.get, self.packed
+        queue: list[tuple[_Memo, str, bytes]] = []
+        waiting = 0
+
+        def take(memo: _Memo, key: str, data: bytes) -> None:
+            nonlocal waiting
+            whole = rank_of(data)
             if whole is not None:
-                memo.put(key, _packed([whole]))
+                memo.put(key, packed[whole])
             elif len(data) > SHORT:
                 memo.put(key, _packed(self.merge(data)))
             else:
-                queue.append(item)
+                queue.append((memo, key, data))
                 waiting += len(data)
                 if waiting > QUEUE:
                     self._serve(queue)
-                    queue, waiting = [], 0
+                    queue.clear()
+                    waiting = 0
+
+        for x in segments:
+            if x not in known and x not in known.old:
+                said = " " + x
+                found = find(said)
+                if len(found) == 1:
+                    take(known, x, said.encode())
+                else:
+                    pretokens.update(found)
+        for x in pretokens:
+            if x not in parts and x not in parts.old:
+                take(parts, x, x.encode())
         self._serve(queue)
 
     def _serve(self, queue: list[tuple[_Memo, str, bytes]]) -> None:
         ids, ends = self._merged([data for _, _, data in queue])
-        for (memo, key, _), x, y in zip(queue, [0, *ends], ends):
-            memo.put(key, ids[x:y].tobytes())
+        whole, at = ids.tobytes(), 0
+        for (memo, key, _), end in zip(queue, ends):
+            memo.put(key, whole[4 * at : 4 * end])
+            at = end
 
     def merge(self, data: bytes) -> list[int]:
         n, pairs = len(data), self.pairs

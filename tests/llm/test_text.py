@@ -317,8 +317,11 @@ def test_bpe_memos_are_bounded_and_emptied(spark, library):
     texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(400)) for _ in range(20)]
     codec.prime(texts)
     assert [codec.encode(t) for t in texts] == [library.encode_ordinary(t) for t in texts]
+    codec.prime([])  # the next run of texts begins
     for memo in (codec.pairs, codec.pretokens, codec.after_space):
         assert memo.held <= memo.most
+    codec.prime(texts[:1])
+    assert len(codec.after_space) <= 400
     codec.forget()
     assert not codec.after_space and not codec.after_space.old
 
