@@ -137,7 +137,7 @@ def blake_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIM = 2048
 
 
-def hashed_counts(rows: DataFrame, id_col: str) -> DataFrame:
+def hashed_counts(rows: DataFrame, id_col: str, dim: int = DIM) -> DataFrame:
     """(id, b array<int>, tf array<int>): how often the tokens and pairs of neighbouring tokens of a row fall into each bucket.
 
     One row for each text, nothing is shuffled; a feature is hashed once for 128 texts.
@@ -157,32 +157,32 @@ def hashed_counts(rows: DataFrame, id_col: str) -> DataFrame:
                     own = [place.setdefault(f, len(place)) for f in (*k, *(f"{x}__{y}" for x, y in zip(k, k[1:])))]
                     owner.append(np.full(len(own), n))
                     codes.append(np.array(own, np.int64))
-                buckets = (hashing.fnv_many(list(place)) % np.uint64(DIM)).astype(np.int64)
-                key, tf = np.unique(np.concatenate(owner) * DIM + buckets[np.concatenate(codes)], return_counts=True)
-                ends = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) * DIM).astype(np.int32))
+                buckets = (hashing.fnv_many(list(place)) % np.uint64(dim)).astype(np.int64)
+                key, tf = np.unique(np.concatenate(owner) * dim + buckets[np.concatenate(codes)], return_counts=True)
+                ends = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) * dim).astype(np.int32))
                 lists = lambda x: pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32)))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([part.column(0), lists(key % DIM), lists(tf)], names=[id_col, "b", "tf"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(key % dim), lists(tf)], names=[id_col, "b", "tf"])
 
     return rows.select(id_col, T.tokens(F.col("text")).alias("k")).mapInArrow(run, f"{id_col} {kind}, b array<int>, tf array<int>")
 
 
 def bucket_idf(counts: DataFrame) -> DataFrame:
-    """(bucket, idf) over the rows of hashed_counts, DIM rows at most."""
+    """(bucket, idf) over the rows of hashed_counts, one for each bucket at most."""
     n = counts.agg(F.count(F.lit(1)).alias("n"))
     df = counts.select(F.explode("b").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
     return df.join(F.broadcast(n)).select("bucket", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def weighed(counts: DataFrame, id_col: str, idf: DataFrame) -> DataFrame:
-    """(id, b array<int>, w array<double>): unit vectors of ln(1 + tf) * idf; buckets without an idf drop out."""
+def weighed(counts: DataFrame, id_col: str, idf: DataFrame, dim: int = DIM, other: float = 0.0) -> DataFrame:
+    """(id, b array<int>, w array<double>): unit vectors of ln(1 + tf) * idf; buckets without an idf have `other`, and drop out at 0."""
     spark, kind = counts.sparkSession, counts.schema[id_col].dataType.simpleString()
-    shared = spark.sparkContext.broadcast([(r.bucket, r.idf) for r in idf.collect()])  # DIM rows at most
+    shared = spark.sparkContext.broadcast([(r.bucket, r.idf) for r in idf.collect()])  # dim rows at most
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        of = np.zeros(DIM)
+        of = np.full(dim, other)
         for bucket, value in shared.value:
             of[bucket] = value
         for batch in batches:
