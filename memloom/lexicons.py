@@ -137,3 +137,18 @@ TEST_PHRASE_RULES = (
     (("que", "les"), "required", "keep_accents", ("é", "ó"), ()),
 )
 TEST_TONES = (("the", "assertive"), ("and", "contrastive"), ("que", "uncertain"), ("lich", "tense"), ("ing", "reflective"))
+
+# Families of relations and the words that a relation's label holds, the first that fits.
+FAMILIES = (
+    ("decision", ("decision", "choose", "prefer", "switch", "replace", "commit")), ("transition", ("transition", "pivot", "change", "redirect", "turn")),
+    ("origin", ("origin", "genesis", "start", "create", "founded", "born")), ("question", ("question", "ask", "uncertain", "inquiry")),
+    ("principle", ("principle", "core", "fundamental", "essential")), ("causal", ("cause", "effect", "condition", "because", "since", "thus")),
+    ("action", ("build", "implement", "update", "deploy", "migrate", "fix")),
+)
+
+# Kinds inside a family, by words of the label, and the kind without any of them.
+FAMILY_KINDS = (
+    ("decision", ((("prefer", "choose"), "preference"), (("switch", "replace", "migrate"), "switch")), "commit"),
+    ("transition", ((("pivot", "turn"), "pivot"), (("contrast", "however", "but"), "contrast")), "shift"),
+    ("origin", (), "setup"), ("question", (), "inquiry"), ("principle", (), "principle"), ("causal", (), "causal"), ("action", (), "implementation"),
+)

@@ -167,16 +167,9 @@ def _fold_rows(rows: DataFrame, now: Column, before: Column, own: Column, linked
 
 def canonical_tokens(states: DataFrame) -> DataFrame:
     """(session_id, step_idx, tokens): relation families, roles, schemas, acts and flags without their words."""
-    families = (
-        ("decision", ("decision", "choose", "prefer", "switch", "replace", "commit")), ("transition", ("transition", "pivot", "change", "redirect", "turn")),
-        ("origin", ("origin", "genesis", "start", "create", "founded", "born")), ("question", ("question", "ask", "uncertain", "inquiry")),
-        ("principle", ("principle", "core", "fundamental", "essential")), ("causal", ("cause", "effect", "condition", "because", "since", "thus")),
-        ("action", ("build", "implement", "update", "deploy", "migrate", "fix")),
-    )
-
     def family(x: Column) -> Column:
         made = F.lit("context")
-        for name, words in reversed(families):
+        for name, words in reversed(lex.FAMILIES):
             made = F.when(x.rlike("|".join(words)), name).otherwise(made)
         return made
 
