@@ -4,17 +4,13 @@ Features are rows (session_id, step_idx, feature, weight). A feature is hashed t
 address, weighed by a gate that compares its prototype with a context vector of the
 steps so far, and the strongest addresses of a step stay. All of it is joins and sums
 on long tables; only the carry of addresses from step to step is a true recurrence and
-streams each session in order through a small fold. The encoders of rule states and of
-finite events gate what they carry, so their gates are worked out inside that fold.
+streams each session in order through a small fold. Encoders that gate what they carry
+are in `encoders`.
 """
 
 from __future__ import annotations
 
-import cmath
-import functools
-import math
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,62 +105,6 @@ def gram_idf(chunks: DataFrame, orders=(2, 3)) -> DataFrame:
     return df.join(F.broadcast(n)).select("gram", (F.log((1.0 + F.col("total")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def state_items(states: DataFrame) -> DataFrame:
-    """Items of rule states: nodes, roles, schemas, acts, markers, bundles, flags, and edges to the state before."""
-    return state_steps(states).select(*STEP, F.explode("items").alias("i")).select(*STEP, "i.feature", "i.weight")
-
-
-def state_steps(states: DataFrame) -> DataFrame:
-    """(session_id, step_idx, items, own, linked, key, carry_weight, phase) of rule states: what the fold of their encoder reads."""
-    cols = ("semantic_keys", "relation_keys", "event_roles", "causal_schemas", "narrative_acts", "causal_markers", "turn_markers")
-    rows = states.withColumn("p", F.lag(F.struct(*cols)).over(S.by_step()))
-    w = F.col("weight")
-    first = lambda c, n: F.slice(F.col(c), 1, n)
-    item = lambda name, weight: F.struct(name.alias("feature"), weight.cast("double").alias("weight"))
-    tag = lambda prefix, x: F.concat(F.lit(prefix), x)
-    each = lambda c, n, prefix, weight: F.transform(first(c, n), lambda x: item(tag(prefix, x), weight))
-    product = lambda a, b, body: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: body(x, y))))
-    edge = lambda c, n, prefix, differ, same: product(F.slice(F.col(f"p.{c}"), 1, n), first(c, n), lambda x, y: item(F.concat(F.lit(prefix), x, F.lit("=>"), y), F.when(x != y, differ).otherwise(same)))
-    bundle = F.concat(F.lit("state::"), F.array_join(F.array_sort(first("semantic_keys", 2)), "+"), F.lit("::"), F.array_join(F.array_sort(first("relation_keys", 2)), "+"))
-    now = F.concat(
-        product(first("semantic_keys", 3), first("relation_keys", 3), lambda s, r: item(F.concat(F.lit("node::"), s, F.lit("::"), r), 2.8 * w)),
-        each("event_roles", 8, "role::", 2.2 * w), each("causal_schemas", 4, "schema::", 2.4 * w), each("narrative_acts", 4, "act::", 2.3 * w),
-        each("causal_markers", 3, "cause::", 2.1 * w), each("turn_markers", 3, "turn::", 2.1 * w), F.array(item(bundle, 2.2 * w)),
-        product(first("flags", 3), first("relation_keys", 2), lambda f, r: item(F.concat(F.lit("flagrel::"), f, F.lit("::"), r), 1.9 * w)),
-    )
-    one = lambda c: F.get(F.col(c), F.lit(0))
-    same_sem, same_rel = one("p.semantic_keys") == one("semantic_keys"), one("p.relation_keys") == one("relation_keys")
-    node = F.concat(F.lit("edge_node::"), one("p.semantic_keys"), F.lit("/"), one("p.relation_keys"), F.lit("=>"), one("semantic_keys"), F.lit("/"), one("relation_keys"))
-    shared = F.slice(F.array_sort(F.array_intersect(F.slice("p.semantic_keys", 1, 3), first("semantic_keys", 3))), 1, 2)
-    reframe = F.transform(shared, lambda s: item(F.concat(F.lit("reframe::"), s, F.lit("::"), one("p.relation_keys"), F.lit("=>"), one("relation_keys")), F.when(same_rel, 2.1).otherwise(2.6)))
-    before = F.concat(
-        edge("relation_keys", 2, "edge_rel::", 2.4 * 1.15, 2.4), edge("semantic_keys", 2, "edge_sem::", 2.1, 2.1 * 1.2),
-        F.array(item(node, F.when(same_sem & ~same_rel, 3.75).otherwise(3.0))), reframe,
-        edge("causal_markers", 2, "edge_cause::", 2.3, 2.3), edge("turn_markers", 2, "edge_turn::", 2.4, 2.0), edge("event_roles", 2, "edge_role::", 2.5, 2.5),
-        edge("causal_schemas", 2, "edge_schema::", 2.7, 2.7), edge("narrative_acts", 2, "edge_act::", 2.6, 2.2),
-    )
-    plus = lambda c, n, prefix, weight: each(c, n, prefix, F.lit(weight))
-    own = F.concat(
-        plus("semantic_keys", 3, "ctx_sem::", 1.2), plus("relation_keys", 3, "ctx_rel::", 1.4),
-        product(first("semantic_keys", 2), first("relation_keys", 2), lambda s, r: item(F.concat(F.lit("ctx_node::"), s, F.lit("::"), r), F.lit(1.8))),
-        plus("flags", 2, "ctx_flag::", 1.5), plus("causal_markers", 2, "ctx_cause::", 1.7), plus("turn_markers", 2, "ctx_turn::", 1.7),
-        plus("event_roles", 4, "ctx_role::", 1.9), plus("causal_schemas", 3, "ctx_schema::", 2.0), plus("narrative_acts", 3, "ctx_act::", 1.8),
-    )
-    linked = F.concat(
-        edge("relation_keys", 2, "ctx_edge_rel::", 2.0, 2.0), edge("semantic_keys", 2, "ctx_edge_sem::", 1.7, 1.7), F.array(item(F.concat(F.lit("ctx_"), node), F.lit(2.4))),
-        edge("event_roles", 2, "ctx_edge_role::", 2.2, 2.2), edge("causal_schemas", 2, "ctx_edge_schema::", 2.4, 2.4), edge("narrative_acts", 2, "ctx_edge_act::", 2.3, 2.3),
-    )
-    return _fold_rows(rows, now, before, own, linked, F.array_join(F.array_sort(first("relation_keys", 2)), "+"), 0.7 * w, F.lit(0.0))
-
-
-def _fold_rows(rows: DataFrame, now: Column, before: Column, own: Column, linked: Column, key: Column, carry_weight: Column, phase: Column) -> DataFrame:
-    new = F.col("p").isNull()
-    return rows.select(
-        "session_id", F.col("step_idx").cast("long").alias("step_idx"), F.when(new, now).otherwise(F.concat(now, before)).alias("items"),
-        own.alias("own"), F.when(new, F.slice(own, 1, 0)).otherwise(linked).alias("linked"), key.alias("key"), carry_weight.cast("double").alias("carry_weight"), phase.cast("double").alias("phase"),
-    )
-
-
 def canonical_tokens(states: DataFrame) -> DataFrame:
     """(session_id, step_idx, tokens): relation families, roles, schemas, acts and flags without their words."""
     def family(x: Column) -> Column:
@@ -187,26 +127,6 @@ def canonical_tokens(states: DataFrame) -> DataFrame:
     return rows.select(*STEP, F.array_distinct(tokens).alias("tokens"))
 
 
-def finite_items(events: DataFrame) -> DataFrame:
-    """Items of the finite event alphabet."""
-    return finite_steps(events).select(*STEP, F.explode("items").alias("i")).select(*STEP, "i.feature", "i.weight")
-
-
-def finite_steps(events: DataFrame) -> DataFrame:
-    """(session_id, step_idx, items, own, linked, key, carry_weight, phase) of finite events: what the fold of their encoder reads."""
-    rows = events.withColumn("p", F.lag(F.struct("event", "relation_signature")).over(S.by_step()))
-    c = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
-    e, r = F.col("event"), F.col("relation_signature")
-    item = lambda name, weight: F.struct(name.alias("feature"), weight.alias("weight"))
-    strength = F.col("event_strength")
-    now = F.array(item(c("finite_event::", e), 3.0 + strength), item(c("finite_relation::", e, "::", r), F.lit(2.6)), item(c("finite_topic::", e, "::", F.col("topic_shift")), F.lit(2.2)), item(c("finite_causal::", e, "::", F.col("causal_shift")), F.lit(2.1)))
-    before = F.array(item(c("finite_edge::", F.col("p.event"), "=>", e), 3.6 + 0.4 * strength), item(c("finite_pair::", F.col("p.event"), "/", F.col("p.relation_signature"), "=>", e, "/", r), F.lit(3.0)))
-    own = F.array(item(c("ctx_finite_event::", e), 2.4 + strength), item(c("ctx_finite_relation::", e, "::", r), F.lit(2.2)), item(c("ctx_finite_topic::", e, "::", F.col("topic_shift")), F.lit(1.6)))
-    linked = F.array(item(c("ctx_finite_edge::", F.col("p.event"), "=>", e), F.lit(2.8)))
-    bucket = F.array_position(F.array(*(F.lit(name) for name, _ in lex.EVENT_STRENGTH)), e) - 1
-    return _fold_rows(rows, now, before, own, linked, e, F.lit(1.0), 2.0 * math.pi * (bucket + 0.5) / len(lex.EVENT_STRENGTH))
-
-
 # --- gates --------------------------------------------------------------------------------------------------------------
 def prototypes(features: DataFrame, dim: int = DIM, lanes: int = LANES, addresses: int = ADDRESSES) -> DataFrame:
     """(feature, address, i, re, im) of each distinct feature: its address, and its unit prototype, a few signed phases at hashed places."""
@@ -303,110 +223,6 @@ def carried(rows: DataFrame, carry: str = "carry_constraint::{address}::{state}"
     return placed.mapInPandas(fold, "session_id string, step_idx long, address long, weight double")
 
 
-def _fnv_from(value: int, text: str) -> int:
-    for byte in text.encode():
-        value = ((value ^ byte) * ((1 << 40) + hashing.PRIME_LOW)) & ((1 << 64) - 1)
-    return value
-
-
-@functools.lru_cache(1 << 15)
-def _prototype(feature: str) -> tuple[int, tuple[tuple[int, complex], ...]]:
-    """The address of a feature and the entries of its unit prototype, as prototypes() makes them."""
-    at = _fnv_from(hashing.START, feature)
-    lane_at, sign_at = _fnv_from(at, "::lane::"), _fnv_from(at, "::sign::")
-    phase = 2.0 * math.pi * _fnv(f"phase::{feature}", 8192) / 8192.0
-    sums: dict[int, complex] = {}
-    for lane in range(LANES):
-        i = _fnv_from(lane_at, str(lane)) % DIM
-        sign = -1.0 if _fnv_from(sign_at, str(lane)) % 2 == 0 else 1.0
-        sums[i] = sums.get(i, 0.0) + sign * cmath.exp(1j * (phase + 2.0 * math.pi * lane / LANES))
-    norm = math.sqrt(sum(abs(z) ** 2 for z in sums.values())) + 1e-12
-    return at % ADDRESSES, tuple((i, z / norm) for i, z in sums.items())
-
-
-def _state_recency(k: int, n: int) -> float:
-    return 1.0 + 0.45 * k / n
-
-
-def _state_signal(z: complex) -> float:
-    return 3.2 * z.real + 1.4 * abs(z) + 0.6 * math.cos(math.atan2(z.imag, z.real + 1e-12))
-
-
-def _finite_recency(k: int, n: int) -> float:
-    return math.exp(-0.22 * (n - 1 - k))
-
-
-def _finite_signal(z: complex) -> float:
-    return 3.4 * z.real + 2.0 * abs(z)
-
-
-def state_gated(states: DataFrame) -> DataFrame:
-    """Gated addresses of rule states, those carried from the step before included."""
-    return folded(state_steps(states), _state_recency, _state_signal, "carry_state::{address}::{key}", 8)
-
-
-def finite_gated(events: DataFrame) -> DataFrame:
-    """Gated addresses of finite events; prototypes are turned by the phase of their event, and the context holds carried addresses too."""
-    return folded(finite_steps(events), _finite_recency, _finite_signal, "finite_carry::{address}::{key}", 6, ("ctx_finite_carry::{address}", 0.6))
-
-
-def folded(rows: DataFrame, recency: Callable[[int, int], float], signal: Callable[[complex], float], carry: str, most: int, context_carry: tuple[str, float] | None = None, span: int = 8, top: int = 24) -> DataFrame:
-    """(session_id, step_idx, address, weight, gate): each item weighed by the gate of its prototype in the context of the last `span` steps.
-
-    rows: those of state_steps or finite_steps. A step's own context features count by
-    recency and are turned by its phase; linked ones (from the step before) count once,
-    not at the first step of a window. The strongest addresses of a step are items, and
-    context features where named, of the next. Each partition holds whole sessions in
-    order and is read as a stream: what is kept is `span` vectors and ten addresses.
-    """
-
-    def fold(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        schema = pa.schema([("session_id", pa.string()), ("step_idx", pa.int64()), ("address", pa.int64()), ("weight", pa.float64()), ("gate", pa.float64())])
-
-        def vector(features) -> np.ndarray:
-            out = np.zeros(DIM, complex)
-            for feature, weight in features:
-                for i, z in _prototype(feature)[1]:
-                    out[i] += weight * z
-            return out
-
-        pairs = lambda found: [(x["feature"], x["weight"]) for x in found]
-        session, before, window = None, [], deque(maxlen=span)
-        for batch in batches:
-            out = []
-            for start in range(0, batch.num_rows, 256):
-                for row in batch.slice(start, 256).to_pylist():
-                    if row["session_id"] != session:
-                        session, before = row["session_id"], []
-                        window.clear()
-                    turn = cmath.exp(1j * row["phase"])
-                    window.append((turn * vector(pairs(row["own"])), vector(pairs(row["linked"]))))
-                    n = len(window)
-                    context = sum(recency(k, n) * own + (linked if k else 0.0) for k, (own, linked) in enumerate(window))
-                    if context_carry:
-                        context = context + vector((context_carry[0].format(address=a), context_carry[1]) for a in before[:8])
-                    context = context / (np.linalg.norm(context) + 1e-12)
-                    seen = (context.conj() * turn).tolist()
-                    sums: dict[int, float] = {}
-                    gates: dict[int, float] = {}
-                    for feature, weight in [*pairs(row["items"]), *((carry.format(address=a, key=row["key"]), row["carry_weight"]) for a in before[:most])]:
-                        address, entries = _prototype(feature)
-                        x = signal(sum(seen[i] * z for i, z in entries))
-                        gate = 1.0 / (1.0 + math.exp(-max(min(x, 20.0), -20.0)))
-                        sums[address] = sums.get(address, 0.0) + weight * gate
-                        gates[address] = max(gates.get(address, 0.0), gate)
-                    ranked = sorted(sums, key=lambda a: (-round(sums[a], 9), a))[:top]
-                    before = ranked[:10]
-                    out += [(session, row["step_idx"], a, sums[a], gates[a]) for a in ranked]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(schema), schema, strict=True)], schema=schema)
-
-    placed = rows.repartition("session_id").sortWithinPartitions("session_id", "step_idx")
-    return placed.mapInArrow(fold, "session_id string, step_idx long, address long, weight double, gate double")
-
-
 def naive_context(chunks: DataFrame, idf: DataFrame, orders=(2, 3), last: int = 64) -> DataFrame:
     """(session_id, step_idx, context map<int,double>): a unit vector of the tokens and n-grams among the last 64 tokens up to each chunk.
 

@@ -60,6 +60,8 @@ class Feature:
     times: str | None = None
     more: float = 0.0
     plus: str | None = None
+    #: Of a pair of values, the weight where both are equal.
+    same: float | None = None
 
 
 def feature(*parts, weight: float, times: str | None = None, more: float = 0.0, plus: str | None = None) -> Feature:
@@ -71,12 +73,24 @@ def _with_part(texts: Column, part) -> Column:
     if not isinstance(part, Each):
         value = F.col(part.column) if isinstance(part, Of) else F.lit(part)
         return F.transform(texts, lambda head: F.concat(head, value))
+    return F.flatten(F.transform(texts, lambda head: F.transform(_values(part), lambda x: F.concat(head, x))))
+
+
+def _values(part: Each) -> Column:
     values = F.coalesce(F.col(part.column), T.empty())
-    values = values if part.n is None else F.slice(values, 1, part.n)
-    return F.flatten(F.transform(texts, lambda head: F.transform(values, lambda x: F.concat(head, x))))
+    return values if part.n is None else F.slice(values, 1, part.n)
+
+
+def _pair(f: Feature) -> Column:
+    """Features of two array columns whose weight depends on the equality of their values."""
+    head, one, glue, two = f.parts
+    both = lambda x: F.transform(_values(two), lambda y: F.struct(F.concat(F.lit(head), x, F.lit(glue), y).alias("feature"), F.when(x == y, f.same).otherwise(f.weight).cast("double").alias("weight")))
+    return F.flatten(F.transform(_values(one), both))
 
 
 def _texts_of(f: Feature) -> Column:
+    if f.same is not None:
+        return _pair(f)
     texts = F.array(F.lit(""))
     for part in f.parts:
         texts = _with_part(texts, part)
@@ -120,9 +134,9 @@ SEM, REL, EMO, TUR, CAU = "semantic_keys", "relation_keys", "emotions", "turn_ma
 ROLES, SCHEMAS, ACTS, FLAGS = "event_roles", "causal_schemas", "narrative_acts", "flags"
 
 
-def _pairs(prefix: str, column: str, weight: float, glue: str = "=>", n: int = 2) -> Feature:
+def _pairs(prefix: str, column: str, weight: float, same: float | None = None, n: int = 2) -> Feature:
     """A feature of each pair of values of the step before and of this one."""
-    return feature(prefix, Each(f"p.{column}", n), glue, Each(column, n), weight=weight)
+    return Feature((prefix, Each(f"p.{column}", n), "=>", Each(column, n)), weight, same=same)
 
 
 def _heads(*parts, weight: float, times: str | None = None) -> Feature:
@@ -131,6 +145,28 @@ def _heads(*parts, weight: float, times: str | None = None) -> Feature:
     return feature(*parts[:at], Each("heads"), *parts[at + 1 :], weight=weight / 4, times=times)
 
 
+STATE = Encoder(
+    "state",
+    now=(
+        feature("node::", Each(SEM, 3), "::", Each(REL, 3), weight=2.8, times="weight"), feature("role::", Each(ROLES, 8), weight=2.2, times="weight"), feature("schema::", Each(SCHEMAS, 4), weight=2.4, times="weight"),
+        feature("act::", Each(ACTS, 4), weight=2.3, times="weight"), feature("cause::", Each(CAU, 3), weight=2.1, times="weight"), feature("turn::", Each(TUR, 3), weight=2.1, times="weight"),
+        feature("state::", Of("bundle"), weight=2.2, times="weight"), feature("flagrel::", Each(FLAGS, 3), "::", Each(REL, 2), weight=1.9, times="weight"),
+    ),
+    before=(
+        _pairs("edge_rel::", REL, 2.4 * 1.15, 2.4), _pairs("edge_sem::", SEM, 2.1, 2.1 * 1.2), feature("edge_node::", Each("node_edge"), weight=1.0, times="node_weight"), feature("reframe::", Each("reframes"), weight=1.0, times="reframe_weight"),
+        _pairs("edge_cause::", CAU, 2.3), _pairs("edge_turn::", TUR, 2.4, 2.0), _pairs("edge_role::", ROLES, 2.5), _pairs("edge_schema::", SCHEMAS, 2.7), _pairs("edge_act::", ACTS, 2.6, 2.2),
+    ),
+    own=(
+        feature("ctx_sem::", Each(SEM, 3), weight=1.2), feature("ctx_rel::", Each(REL, 3), weight=1.4), feature("ctx_node::", Each(SEM, 2), "::", Each(REL, 2), weight=1.8), feature("ctx_flag::", Each(FLAGS, 2), weight=1.5),
+        feature("ctx_cause::", Each(CAU, 2), weight=1.7), feature("ctx_turn::", Each(TUR, 2), weight=1.7), feature("ctx_role::", Each(ROLES, 4), weight=1.9), feature("ctx_schema::", Each(SCHEMAS, 3), weight=2.0), feature("ctx_act::", Each(ACTS, 3), weight=1.8),
+    ),
+    linked=(
+        _pairs("ctx_edge_rel::", REL, 2.0), _pairs("ctx_edge_sem::", SEM, 1.7), feature("ctx_edge_node::", Each("node_edge"), weight=2.4), _pairs("ctx_edge_role::", ROLES, 2.2),
+        _pairs("ctx_edge_schema::", SCHEMAS, 2.4), _pairs("ctx_edge_act::", ACTS, 2.3),
+    ),
+    carry="carry_state::{address}::{key}", carry_weight=(0.7, "weight"),
+)
+
 RELATION = Encoder(
     "relation",
     now=(
@@ -181,15 +217,17 @@ _PHASED = dict(
     fade=0.22, link_fade=0.22, carry="carry_state::{address}::{key}", carry_weight=(0.7, "weight"),
 )
 
-ROTATING = Encoder("rotating", now=(), signal=(2.9, 1.7, 0.9), **_PHASED)
+ROTATING = Encoder("rotating", now=STATE.now, before=STATE.before, signal=(2.9, 1.7, 0.9), **_PHASED)
 
 EVENT_PHASE = Encoder(
     "event_phase",
     now=(
+        *STATE.now,
         feature("phase_node::", Of("bucket"), "::", Each(SEM, 2), "::", Each(REL, 2), weight=2.7, times="weight"), feature("phase_turn::", Of("bucket"), "::", Each(TUR, 3), weight=2.4, times="weight"),
         feature("phase_tone::", Of("bucket"), "::", Each(EMO, 3), weight=2.2, times="weight"), feature("phase_act::", Of("bucket"), "::", Each(ACTS, 2), weight=2.3, times="weight"),
         feature("phase_jump::", Each("jump"), weight=3.0, times="weight"),
     ),
+    before=STATE.before,
     extra=(
         feature("ctx_phasebucket::", Of("bucket"), weight=1.3), feature("ctx_phase_turn::", Of("bucket"), "::", Each(TUR, 2), weight=1.7), feature("ctx_phase_tone::", Of("bucket"), "::", Each(EMO, 2), weight=1.6),
         feature("ctx_phase_rel::", Of("bucket"), "::", Each(REL, 2), weight=1.5),
@@ -218,6 +256,25 @@ TRANSITION = Encoder(
 )
 
 
+FINITE = Encoder(
+    "finite",
+    now=(
+        feature("finite_event::", Of("event"), weight=3.0, more=1.0, plus="event_strength"), feature("finite_relation::", Of("event"), "::", Of("relation_signature"), weight=2.6),
+        feature("finite_topic::", Of("event"), "::", Of("topic_shift"), weight=2.2), feature("finite_causal::", Of("event"), "::", Of("causal_shift"), weight=2.1),
+    ),
+    before=(
+        feature("finite_edge::", Of("p.event"), "=>", Of("event"), weight=3.6, more=0.4, plus="event_strength"),
+        feature("finite_pair::", Of("p.event"), "/", Of("p.relation_signature"), "=>", Of("event"), "/", Of("relation_signature"), weight=3.0),
+    ),
+    own=(
+        feature("ctx_finite_event::", Of("event"), weight=2.4, more=1.0, plus="event_strength"), feature("ctx_finite_relation::", Of("event"), "::", Of("relation_signature"), weight=2.2),
+        feature("ctx_finite_topic::", Of("event"), "::", Of("topic_shift"), weight=1.6),
+    ),
+    linked=(feature("ctx_finite_edge::", Of("p.event"), "=>", Of("event"), weight=2.8),),
+    rise=0.0, fade=0.22, signal=(3.4, 2.0, 0.0), carry="finite_carry::{address}::{key}", carry_weight=(1.0, None), carried=6, context_carry=("ctx_finite_carry::{address}", 0.6),
+)
+
+
 # --- columns that templates name ----------------------------------------------------------------------------------------
 def relation_family(x: Column) -> Column:
     made = F.lit("context")
@@ -285,8 +342,30 @@ def _joined_key() -> Column:
     return F.array(F.array_join(F.array_sort(F.slice(REL, 1, 2)), "+"))
 
 
+def state_columns(states: DataFrame) -> DataFrame:
+    """Adds the bundle of a state, its edge to the one before as one node pair, and the keys that both share under new relations."""
+    rows = states.withColumn("_p", F.lag(F.struct(SEM, REL)).over(S.by_step()))
+    one = lambda c: F.get(F.col(c), F.lit(0))
+    plus = lambda c: F.array_join(F.array_sort(F.slice(F.col(c), 1, 2)), "+")
+    same_sem, same_rel = one(f"_p.{SEM}") == one(SEM), one(f"_p.{REL}") == one(REL)
+    edge = F.concat(one(f"_p.{SEM}"), F.lit("/"), one(f"_p.{REL}"), F.lit("=>"), one(SEM), F.lit("/"), one(REL))
+    shared = F.slice(F.array_sort(F.array_intersect(F.slice(f"_p.{SEM}", 1, 3), F.slice(SEM, 1, 3))), 1, 2)
+    reframes = F.transform(shared, lambda x: F.concat(x, F.lit("::"), one(f"_p.{REL}"), F.lit("=>"), one(REL)))
+    new = F.col("_p").isNull()
+    return rows.withColumns({
+        "bundle": F.concat(plus(SEM), F.lit("::"), plus(REL)), "node_edge": F.when(new, T.empty()).otherwise(F.array(edge)), "node_weight": F.when(same_sem & ~same_rel, 3.75).otherwise(3.0),
+        "reframes": F.when(new, T.empty()).otherwise(reframes), "reframe_weight": F.when(same_rel, 2.1).otherwise(2.6), "keys": _joined_key(),
+    }).drop("_p")
+
+
+def finite_columns(events: DataFrame) -> DataFrame:
+    """Of rows of states.events: the event as key, and the phase of its place in the alphabet; links aren't turned."""
+    place = F.array_position(F.array(*(F.lit(name) for name, _ in lex.EVENT_STRENGTH)), F.col("event")) - 1
+    return events.withColumns({"keys": F.array("event"), "phase": 2.0 * math.pi * (place + 0.5) / len(lex.EVENT_STRENGTH), "link_phase": F.lit(0.0)})
+
+
 def rotating_columns(states: DataFrame, decay: float = 0.22) -> DataFrame:
-    return states.withColumn("keys", _joined_key()).join(S.phases(states, decay).select(*A.STEP, "phase"), A.STEP)
+    return state_columns(states).join(S.phases(states, decay).select(*A.STEP, "phase"), A.STEP)
 
 
 def _signature(*parts: Column) -> Column:
@@ -304,7 +383,7 @@ def event_buckets(states: DataFrame, buckets: int = 8) -> DataFrame:
 
 def event_phase_columns(states: DataFrame, decay: float = 0.22, buckets: int = 8) -> DataFrame:
     """Phases that grow with the strength of events, their buckets, and jumps between buckets."""
-    rows = event_buckets(states, buckets).join(S.events(states).select(*A.STEP, "strength"), A.STEP)
+    rows = event_buckets(state_columns(states), buckets).join(S.events(states).select(*A.STEP, "strength"), A.STEP)
     angle = 2.0 * math.pi * (F.col("event_bucket") + 0.5) / buckets
     grown = F.exp(-decay * F.col("step_idx")) * F.when(F.col("strength") <= 1e-6, 0.05).otherwise(0.12 + 0.55 * F.col("strength") + 0.18 * angle)
     rows = rows.withColumn("phase", F.sum(grown).over(S.by_step().rowsBetween(Window.unboundedPreceding, 0)))
@@ -312,7 +391,7 @@ def event_phase_columns(states: DataFrame, decay: float = 0.22, buckets: int = 8
     rows = rows.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((turn - F.floor(turn)) * buckets)).cast("string"))
     was = F.lag("alone_bucket").over(S.by_step()).cast("string")
     rows = rows.withColumn("_w", was)
-    return rows.withColumns({"jump": F.when(F.col("_w").isNotNull() & (F.col("_w") != F.col("bucket")), F.array(F.concat("_w", F.lit("=>"), "bucket"))).otherwise(T.empty()), "keys": _joined_key()}).drop("_w")
+    return rows.withColumns({"jump": F.when(F.col("_w").isNotNull() & (F.col("_w") != F.col("bucket")), F.array(F.concat("_w", F.lit("=>"), "bucket"))).otherwise(T.empty())}).drop("_w")
 
 
 def transition_columns(states: DataFrame, buckets: int = 8) -> DataFrame:
@@ -324,10 +403,10 @@ def transition_columns(states: DataFrame, buckets: int = 8) -> DataFrame:
 
 
 COLUMNS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "relation": relation_columns, "canonical": canonical_columns, "semicanonical": lambda s: canonical_columns(s, True),
+    "state": state_columns, "finite": finite_columns, "relation": relation_columns, "canonical": canonical_columns, "semicanonical": lambda s: canonical_columns(s, True),
     "rotating": rotating_columns, "event_phase": event_phase_columns, "transition": transition_columns,
 }
-ENCODERS = {e.name: e for e in (RELATION, CANONICAL, SEMICANONICAL, ROTATING, EVENT_PHASE, TRANSITION)}
+ENCODERS = {e.name: e for e in (STATE, FINITE, RELATION, CANONICAL, SEMICANONICAL, ROTATING, EVENT_PHASE, TRANSITION)}
 
 
 def encoder_rows(states: DataFrame, name: str) -> DataFrame:
@@ -345,12 +424,8 @@ def encoder_rows(states: DataFrame, name: str) -> DataFrame:
     made = rows.select(
         *A.STEP, items.alias("items"), array_of(e.rooted).alias("rooted"), array_of(e.own).alias("own"), F.when(new, none).otherwise(array_of(e.linked)).alias("linked"), array_of(e.later).alias("later"), array_of(e.opening).alias("opening"),
         array_of(e.extra).alias("extra"), "keys", (F.lit(e.carry_weight[0]) * (F.col(e.carry_weight[1]) if e.carry_weight[1] else F.lit(1.0))).cast("double").alias("carry_weight"), F.col("boost").cast("double").alias("boost"),
-        F.col("phase").cast("double").alias("phase"), F.coalesce((F.col("p.phase") + F.col("phase")) / 2, F.lit(0.0)).alias("link_phase"),
+        F.col("phase").cast("double").alias("phase"), (F.col("link_phase") if "link_phase" in has else F.coalesce((F.col("p.phase") + F.col("phase")) / 2, F.lit(0.0))).alias("link_phase"),
     )
-    if name in ("rotating", "event_phase"):
-        # The items of rule states come first.
-        base = A.state_steps(states).select("session_id", "step_idx", F.col("items").alias("_base"))
-        made = made.join(base, A.STEP).withColumn("items", F.concat("_base", "items")).drop("_base")
     return made.withColumn("step_idx", F.col("step_idx").cast("long"))
 
 
@@ -565,6 +640,11 @@ def _fold(part, e: Encoder, carry: bool, session, steps: int, tail, before: np.n
     return found, ids[-1], int(place[-1]) + 1, tail, tops[-1]
 
 
+def ungated(rows: DataFrame) -> DataFrame:
+    """(session_id, step_idx, address, weight): sums of the items of encoder_rows, the TOP strongest of each step."""
+    return A.plain(rows.select(*A.STEP, F.explode("items").alias("i")).select(*A.STEP, "i.feature", "i.weight")).drop("gate")
+
+
 def addresses_of(states: DataFrame, name: str, carry: bool = True) -> DataFrame:
-    """Gated addresses of an encoder by its name."""
+    """Gated addresses of an encoder by its name; states are rule states, events for the finite one."""
     return folded(encoder_rows(states, name), ENCODERS[name], carry)

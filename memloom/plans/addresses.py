@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..functions.lineage import cut
 from ..operators import addresses as A
+from ..operators import encoders as E
 from ..operators import rank
 from ..operators import states as S
 from ..sources import catalogue
@@ -103,7 +104,7 @@ def edge_address_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def state_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gated addresses of rule states: nodes, roles, schemas, acts, edges to the state before and what it carries over."""
-    return _shown(A.state_gated(rule_rows(spark, sf_dir)))
+    return _shown(E.addresses_of(rule_rows(spark, sf_dir), "state"))
 
 
 @query(
@@ -115,13 +116,13 @@ s AS (SELECT session_id, step_idx, {hashing.fnv_sql('feature', N)} AS address, s
 )
 def finite_event_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of the finite event alphabet."""
-    return _shown(A.plain(A.finite_items(S.events(rule_rows(spark, sf_dir))))).drop("gate")
+    return _shown(E.ungated(E.encoder_rows(S.events(rule_rows(spark, sf_dir)), "finite")).withColumn("gate", F.lit(1.0))).drop("gate")
 
 
 @query()
 def finite_event_address_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The finite event encoder whole: gated, with what the step before carries over; a recurrence, so SQL has no form of it."""
-    return _shown(A.finite_gated(S.events(rule_rows(spark, sf_dir))))
+    return _shown(E.addresses_of(S.events(rule_rows(spark, sf_dir)), "finite"))
 
 
 @query()

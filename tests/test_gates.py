@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as T
 from memloom.operators import addresses as A
+from memloom.operators import encoders as E
 from memloom.operators import states as S
 from memloom.plans import states as P
 
@@ -28,6 +29,10 @@ def proto(name):
     return v / np.linalg.norm(v)
 
 
+def items_of(rows, name):
+    return E.encoder_rows(rows, name).select("session_id", "step_idx", F.explode("items").alias("i")).select("session_id", "step_idx", "i.feature", "i.weight")
+
+
 def sigmoid(x):
     return 1 / (1 + math.exp(-max(min(x, 20), -20)))
 
@@ -110,7 +115,7 @@ def listed(made, sid=None):
 def test_state_gates_equal_dense_vectors(longest):
     st = longest.orderBy("step_idx").collect()
     items = defaultdict(list)
-    for r in A.state_items(longest).collect():
+    for r in items_of(longest, "state").collect():
         items[r.step_idx].append((r.feature, r.weight))
 
     def context(first, i):
@@ -132,7 +137,7 @@ def test_state_gates_equal_dense_vectors(longest):
     signal = lambda z: 3.2 * z.real + 1.4 * abs(z) + 0.6 * math.cos(math.atan2(z.imag, z.real + 1e-12))
     carry = lambda a, i: (f"carry_state::{a}::{'+'.join(sorted(st[i].relation_keys[:2]))}", 0.7 * st[i].weight)
     wanted = dense_steps(lambda i: items[i], context, [0.0] * len(st), signal, carry, 8)
-    got = listed(A.state_gated(longest))
+    got = listed(E.addresses_of(longest, "state"))
     assert len(st) > 1 and got.keys() == wanted.keys()
     for k, pair in wanted.items():
         assert got[k] == pytest.approx(pair, rel=1e-6)
@@ -145,7 +150,7 @@ def test_finite_gates_equal_dense_vectors(longest):
     alphabet = ["persistence", "turn", "reframe", "topic_shift", "question", "resolution", "cause_to_decision", "tone_flip"]
     phases = [2 * np.pi * (alphabet.index(e.event) + 0.5) / 8 for e in ev]
     items = defaultdict(list)
-    for r in A.finite_items(events).collect():
+    for r in items_of(events, "finite").collect():
         items[r.step_idx].append((r.feature, r.weight))
 
     def context(first, i):
@@ -158,7 +163,7 @@ def test_finite_gates_equal_dense_vectors(longest):
                 yield f"ctx_finite_edge::{ev[k - 1].event}=>{e.event}", 2.8
 
     wanted = dense_steps(lambda i: items[i], context, phases, lambda z: 3.4 * z.real + 2.0 * abs(z), lambda a, i: (f"finite_carry::{a}::{ev[i].event}", 1.0), 6, "ctx_finite_carry::{}")
-    got = listed(A.finite_gated(events))
+    got = listed(E.addresses_of(events, "finite"))
     assert got.keys() == wanted.keys()
     for k, pair in wanted.items():
         assert got[k] == pytest.approx(pair, rel=1e-6)
