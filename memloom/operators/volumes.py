@@ -1,8 +1,7 @@
-"""Small 3-D volumes as voxel tables (id, t, u, v, value): projection, filters, tubes, codec, retrieval.
+"""Small 3-D volumes as voxel tables (id, t, u, v, value): projection, filters, tubes, retrieval.
 
 Absent voxels are 0. Everything is joins with small tables of offsets or kernels and
-sums by voxel; a corpus of volumes is parallel over (id, voxel), not over volumes. Only
-the greedy choice of tubes is a recurrence: the codec runs volume by volume in tasks.
+sums by voxel; a corpus of volumes is parallel over (id, voxel), not over volumes.
 """
 
 from __future__ import annotations
@@ -10,13 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as lex
 from ..functions import hashing
 from ..functions import text as T
-from . import codec
 
 SHAPE = (12, 12, 12)
 VOXEL = ["id", "t", "u", "v"]
@@ -192,15 +190,6 @@ def residual_top(volume: DataFrame, budget: int = 96) -> DataFrame:
     return volume.withColumn("nth", nth).where(F.col("nth") <= budget)
 
 
-def encode(volume: DataFrame, shape: Sequence[int] = SHAPE) -> DataFrame:
-    """The archive of each volume, one row: quantised blurred base, tubes, junctions, quantised sparse residual."""
-    return codec.encode(volume, shape)
-
-
-def decode(archive: DataFrame, shape: Sequence[int] = SHAPE) -> DataFrame:
-    return codec.decode(archive, shape)
-
-
 def error(volume: DataFrame, decoded: DataFrame, shape: Sequence[int] = SHAPE) -> DataFrame:
     """(id, rel_l2, psnr) of decoded volumes; 120 dB where they are equal."""
     size = math.prod(shape)
@@ -228,42 +217,6 @@ def retrieve_tubes(tubes: DataFrame, queries: DataFrame, top: int = 3, least: fl
     return rows.withColumn("rank", nth).where(F.col("rank") <= top).select("query_id", "id", "dir", "score", "rank", *AXES, "dt", "du", "dv")
 
 
-def query_decode(archive: DataFrame, queries: DataFrame, top: int = 3, margin: int = 2, shape: Sequence[int] = SHAPE) -> DataFrame:
-    """(query_id, id, t, u, v, value): of each query's volume the voxels in the box of its best tubes, widened by a margin.
-
-    Only volumes that a query asks are decoded. A query that finds no tube has no voxels.
-    """
-    found = retrieve_tubes(archive.select("id", F.explode("tubes").alias("x")).select("id", "x.*"), queries, top)
-    points = found.withColumn("k", F.explode(F.sequence(F.lit(-codec.HALF), F.lit(codec.HALF))))
-    for a in AXES:
-        points = points.withColumn(f"p{a}", F.col(a) + F.col("k") * F.col(f"d{a}"))
-    inside = F.lit(True)
-    for a, n in zip(AXES, shape, strict=True):
-        inside = inside & F.col(f"p{a}").between(0, n - 1)
-    ends = [f(F.col(f"p{a}")).alias(f"{name}{a}") for a in AXES for f, name in ((F.min, "low"), (F.max, "top"))]
-    box = points.where(inside).groupBy("query_id", "id").agg(*ends)
-    voxels = decode(archive.join(box.select("id").distinct(), "id", "left_semi"), shape)
-    near = F.lit(True)
-    for a in AXES:
-        near = near & F.col(a).between(F.col(f"low{a}") - margin, F.col(f"top{a}") + margin)
-    return voxels.join(box, "id").where(near).select("query_id", "id", *AXES, "value")
-
-
-def synthetic(spark: SparkSession, seeds: Sequence[int] = (0, 1, 2), shape: Sequence[int] = SHAPE, noise: float = 0.08) -> tuple[DataFrame, DataFrame]:
-    """(volumes, tubes): a smooth field, three tubes for each seed, and noise that a hash of the voxel fixes."""
-    t, u, v = shape
-    grid = spark.range(len(seeds) * t * u * v).select((F.col("id") % t).cast("int").alias("t"), (F.floor(F.col("id") / t) % u).cast("int").alias("u"), (F.floor(F.col("id") / (t * u)) % v).cast("int").alias("v"), F.element_at(F.array(*map(F.lit, seeds)), (F.floor(F.col("id") / (t * u * v)) + 1).cast("int")).cast("long").alias("id"))
-    x = {a: F.col(a) / float(n - 1) for a, n in zip(AXES, shape, strict=True)}
-    base = 0.25 * F.sin(2 * math.pi * x["t"]) + 0.15 * F.cos(2 * math.pi * x["u"]) + 0.10 * F.sin(3 * math.pi * x["v"]) + 0.05 * (x["t"] + x["u"] + x["v"])
-    even = lambda k: (F.pmod(F.xxhash64("id", "t", "u", "v", F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    normal = F.sqrt(-2.0 * F.log(even(1))) * F.cos(2 * math.pi * even(2))
-    field = grid.select(*VOXEL, (base + noise * normal).alias("value"))
-    specs = [(i, (t // 3 + s) % t, (u // 4 + 3 * s) % u, (v // 6 + 4 * s) % v, (3 * i + s) % 13, 1.8 - 0.15 * s) for i in seeds for s in range(3)]
-    rows = [(i, a, b, c, d, *lex.DIRECTIONS[d], 3, 1, amp) for i, a, b, c, d, amp in specs]
-    tubes = spark.createDataFrame(rows, "id long, t int, u int, v int, dir int, dt int, du int, dv int, half int, radius int, signal double")
-    return plus(field, render_tubes(tubes, shape)), tubes
-
-
 # --- volumes of constraint edges and of semantic events
 def edge_tubes(edges: DataFrame, shape: Sequence[int] = SHAPE, half: int = 2, radius: int = 1) -> DataFrame:
     """A tube for each edge, placed by hashes of its ends; amplitude, length and radius by its type and status."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as lex
 from ..functions import hashing
 from ..functions.lineage import cut
+from ..operators import codec as C
 from ..operators import rank
 from ..operators import states as S
 from ..operators import volumes as V
@@ -199,31 +200,111 @@ def semantic_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(V.semantic_volume(V.semantic_events(rule_rows(spark, sf_dir))))
 
 
-@query()
+def _quantised(rows: str, by: str, keep: str) -> str:
+    """SELECT keep, q, scale of rows with a value."""
+    return f"SELECT {keep}, round_even(round(value / scale, 4), 0)::INT AS q, scale FROM (SELECT *, greatest(max(abs(value)) OVER (PARTITION BY {by}) / 32767.0, 1e-8)::DOUBLE AS scale FROM {rows})"
+
+
+_IN = lambda t, u, v: f"{t} BETWEEN 0 AND {T0 - 1} AND {u} BETWEEN 0 AND {U0 - 1} AND {v} BETWEEN 0 AND {V0 - 1}"
+_CUBE = lambda rows, keep, r=1: f"SELECT {keep}, (t + a)::INT AS t, (u + b)::INT AS u, (v + c)::INT AS v FROM {rows}, range({-r}, {r + 1}) x(a), range({-r}, {r + 1}) y(b), range({-r}, {r + 1}) z(c) WHERE {_IN('t + a', 'u + b', 'v + c')}"
+_LESS = lambda one, two: f"SELECT id, t, u, v, sum(value) AS value FROM (SELECT id, t, u, v, value FROM {one} UNION ALL SELECT id, t, u, v, -value FROM {two}) GROUP BY ALL"
+
+
+def sql_codec() -> str:
+    """CTEs from vol and blur to base, tubes, points, cells, residual and parts: the rounds of the codec unrolled."""
+    steps = [
+        f"kb AS MATERIALIZED (SELECT * FROM ({_quantised('blur', 'id', 'id, t, u, v')}) WHERE q <> 0)",
+        f"l1 AS MATERIALIZED ({_LESS('vol', '(SELECT id, t, u, v, q * scale AS value FROM kb)')})",
+        f"bank(dir, dt, du, dv) AS (VALUES {_BANK})",
+        f"r0 AS (SELECT id, dir, t + s * dt AS t, u + s * du AS u, v + s * dv AS v, sum(value * value) AS response FROM l1, bank, range(-4, 5) r(s) WHERE {_IN('t + s * dt', 'u + s * du', 'v + s * dv')} GROUP BY ALL)",
+        "b0 AS (SELECT id, dir, max(response) AS best FROM r0 GROUP BY ALL), n0 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY best DESC, dir DESC) AS nth, max(best) OVER (PARTITION BY id) AS top FROM b0)",
+        "m0 AS (SELECT *, best >= 0.25 * greatest(top, 1e-8) AS near, sum((best >= 0.25 * greatest(top, 1e-8))::INT) OVER (PARTITION BY id) < 4 AS few FROM n0)",
+        f"act AS MATERIALIZED (SELECT id, dir, row_number() OVER (PARTITION BY id ORDER BY round(best, 9) DESC, dir) AS nth FROM m0 WHERE nth <= {C.ROUNDS} AND (near OR (few AND nth <= 4)))",
+    ]
+    for r in range(1, C.ROUNDS + 1):
+        steps += [
+            f"q{r} AS (SELECT id, dir, (t + s * dt)::INT AS t, (u + s * du)::INT AS u, (v + s * dv)::INT AS v, sum(value * value) AS response FROM l{r} JOIN act USING (id) JOIN bank USING (dir), range(-4, 5) r(s) WHERE nth = {r} AND {_IN('t + s * dt', 'u + s * du', 'v + s * dv')} GROUP BY ALL)",
+            f"t{r} AS MATERIALIZED (SELECT * FROM q{r} JOIN bank USING (dir) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(response, 9) DESC, t, u, v) = 1)",
+            f"o{r} AS (SELECT id, dir, s, (t + s * dt)::INT AS t, (u + s * du)::INT AS u, (v + s * dv)::INT AS v FROM t{r}, range(-4, 5) r(s) WHERE {_IN('t + s * dt', 'u + s * du', 'v + s * dv')})",
+            f"c{r} AS ({_CUBE(f'o{r}', 'id, dir, s, t AS pt, u AS pu, v AS pv')})",
+            f"s{r} AS (SELECT c.id, dir, s, pt AS t, pu AS u, pv AS v, coalesce(sum(value), 0) / 27 AS value FROM c{r} c LEFT JOIN l{r} l ON l.id = c.id AND l.t = c.t AND l.u = c.u AND l.v = c.v GROUP BY ALL)",
+            f"p{r} AS MATERIALIZED (SELECT * FROM ({_quantised(f's{r}', 'id', 'id, dir, s, t, u, v')}) QUALIFY max(abs(q)) OVER (PARTITION BY id) > 0)",
+            f"k{r} AS MATERIALIZED (SELECT t.id, t.dir, t.t, t.u, t.v, dt, du, dv, t0, t1, CASE WHEN t.v < {V0 // 3} THEN 'text' WHEN t.v < {2 * V0 // 3} THEN 'image' ELSE 'video' END AS modality, norm / (whole + 1e-8) AS importance FROM t{r} t JOIN (SELECT id, min(t) AS t0, max(t) AS t1, sqrt(sum((q * scale) * (q * scale))) AS norm FROM p{r} GROUP BY id) USING (id) JOIN (SELECT id, sqrt(sum(value * value)) AS whole FROM l{r} GROUP BY id) USING (id))",
+            f"l{r + 1} AS MATERIALIZED ({_LESS(f'l{r}', '(' + _CUBE(f'(SELECT id, t, u, v, q * scale AS value FROM p{r})', 'id, value') + ')')})",
+        ]
+    last = f"l{C.ROUNDS + 1}"
+    union = lambda name: " UNION ALL ".join(f"SELECT * FROM {name}{r}" for r in range(1, C.ROUNDS + 1))
+    return ",\n".join([
+        *steps,
+        f"tubes AS MATERIALIZED ({union('k')}), points AS MATERIALIZED ({union('p')})",
+        f"cov AS (SELECT id, t, u, v FROM (SELECT DISTINCT id, dir, t, u, v FROM ({_CUBE('points', 'id, dir')})) GROUP BY ALL HAVING count(*) >= 2)",
+        f"cro AS (SELECT id, t, u, v, row_number() OVER (PARTITION BY id ORDER BY round(coalesce(value, 0) * coalesce(value, 0), 9) DESC, t, u, v) AS nth FROM cov LEFT JOIN {last} USING (id, t, u, v) QUALIFY nth <= {C.CROSSINGS})",
+        f"see AS (SELECT id, t, u, v, min(nth) AS best FROM ({_CUBE('cro', 'id, nth', 2)}) GROUP BY ALL)",
+        f"joi AS MATERIALIZED (SELECT id, t, u, v FROM cro JOIN see USING (id, t, u, v) WHERE nth = best QUALIFY row_number() OVER (PARTITION BY id ORDER BY nth) <= {C.JOINTS})",
+        f"pat AS (SELECT p.*, coalesce(value, 0) AS value FROM ({_CUBE('joi', 'id, t AS jt, u AS ju, v AS jv')}) p LEFT JOIN {last} USING (id, t, u, v))",
+        f"cells AS MATERIALIZED ({_quantised('pat', 'id, jt, ju, jv', 'id, jt, ju, jv, t, u, v')})",
+        f"rest AS MATERIALIZED ({_LESS(last, '(SELECT id, t, u, v, q * scale AS value FROM cells)')})",
+        f"top AS (SELECT * FROM rest QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(abs(value), 9) DESC, t, u, v) <= {C.BUDGET})",
+        f"residual AS MATERIALIZED ({_quantised('top', 'id', 'id, t, u, v')})",
+        f"parts AS MATERIALIZED (SELECT id, t, u, v, q * scale AS value FROM kb UNION ALL SELECT id, t, u, v, value FROM ({_CUBE('(SELECT id, t, u, v, q * scale AS value FROM points)', 'id, value')}) UNION ALL SELECT id, t, u, v, q * scale FROM cells UNION ALL SELECT id, t, u, v, q * scale FROM residual)",
+    ])
+
+
+_SIZE = T0 * U0 * V0
+SQL_STORED = " UNION ALL ".join(f"SELECT id, {C.COST[n]} AS b FROM {rows}" for n, rows in (("base", "kb"), ("tubes", "tubes"), ("points", "points"), ("joints", "joi"), ("cells", "cells"), ("residual", "residual")))
+
+
+@query(
+    f"""WITH {SQL_VOLUME}, {SQL_BLUR}, {sql_codec()},
+gap AS (SELECT id, sum(value * value) AS sq FROM ({_LESS('vol', 'parts')}) GROUP BY id), own AS (SELECT id, sqrt(sum(value * value)) AS norm, greatest(max(value), 0) - least(min(value), 0) AS span FROM vol GROUP BY id), sto AS (SELECT id, sum(b)::BIGINT AS stored_bytes FROM ({SQL_STORED}) GROUP BY id)
+SELECT id, round(sqrt(sq) / greatest(norm, 1e-12), 6) AS rel_l2, round(CASE WHEN sq / {_SIZE} <= 1e-12 THEN 120 ELSE 20 * log10(greatest(span, 1e-6) / sqrt(sq / {_SIZE})) END, 4) AS psnr, {4 * _SIZE}::BIGINT AS raw_bytes, stored_bytes, round({4.0 * _SIZE} / stored_bytes, 6)::DOUBLE AS ratio FROM own JOIN gap USING (id) JOIN sto USING (id)"""
+)
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error of encoding and decoding each session's volume: blurred base, greedy tubes, junctions, sparse residual."""
+    """Error, stored bytes and ratio of encoding each session's volume: blurred base, tubes, junctions, sparse residual."""
     rows = cut(volume(spark, sf_dir))
-    return V.error(rows, V.decode(V.encode(rows))).select("id", F.round("rel_l2", 6).alias("rel_l2"), F.round("psnr", 4).alias("psnr"))
+    archive = C.encode(rows)
+    sizes = C.stored_bytes(archive).select("id", F.lit(4 * _SIZE).cast("long").alias("raw_bytes"), F.col("stored").cast("long").alias("stored_bytes"), F.round(4.0 * _SIZE / F.col("stored"), 6).alias("ratio"))
+    return V.error(rows, C.decode(archive)).select("id", F.round("rel_l2", 6).alias("rel_l2"), F.round("psnr", 4).alias("psnr")).join(sizes, "id")
 
 
-@query()
+_DIR = f"bk AS (SELECT * FROM (VALUES {_BANK}) b(dir, dt, du, dv))"
+_PLANT = f"""pl0 AS (SELECT id, 1.5 * max(abs(value)) AS signal FROM v0 GROUP BY id), {_DIR},
+pl AS MATERIALIZED (SELECT id, {hashing.fnv_sql("'t::' || id", T0)} AS t, {hashing.fnv_sql("'u::' || id", U0)} AS u, {hashing.fnv_sql("'v::' || id", V0)} AS v, {hashing.fnv_sql("'dir::' || id", len(lex.DIRECTIONS))} AS dir, signal FROM pl0),
+plp AS (SELECT id, t + s * dt AS t, u + s * du AS u, v + s * dv AS v, signal AS value FROM pl JOIN bk USING (dir), range(-3, 4) r(s) WHERE {_IN('t + s * dt', 'u + s * du', 'v + s * dv')}),
+vol AS MATERIALIZED (SELECT id, t, u, v, sum(value) AS value FROM (SELECT id, t, u, v, value FROM v0 UNION ALL SELECT id, t, u, v, value FROM ({_CUBE('plp', 'id, value')})) GROUP BY ALL)"""
+_RANKED = """met AS (SELECT ask.query_id, tubes.*, abs(qt * dt + qu * du + qv * dv) / (sqrt((qt * qt + qu * qu + qv * qv)::DOUBLE) * sqrt((dt * dt + du * du + dv * dv)::DOUBLE)) * (0.6 + 0.4 * (greatest(0, least(q1, t1) - greatest(q0, t0) + 1) / greatest(q1 - q0 + 1, 1))) * CASE WHEN q_modality = modality THEN 1.0 ELSE 0.4 END * (0.4 + 0.6 * least(importance, 1.0)) AS score FROM ask JOIN tubes USING (id)),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, dir, t, u, v) AS rank FROM met WHERE round(score, 6) > 0.05 QUALIFY rank <= 3)"""
+
+
+@query(
+    f"""WITH {_SS}, src AS (SELECT session_id AS id, text FROM ss), {sql_volume('src', None).replace('vol AS (', 'v0 AS MATERIALIZED (').replace('v0 AS (SELECT id, list', 'v00 AS (SELECT id, list').replace('FROM v0 UNION', 'FROM v00 UNION').replace('FROM v0)', 'FROM v00)')}, {_PLANT}, {SQL_BLUR}, {sql_codec()},
+ask AS (SELECT id AS query_id, id, dt AS qt, du AS qu, dv AS qv, greatest(t - 3, 0) AS q0, least(t + 3, {T0 - 1}) AS q1, CASE WHEN v < {V0 // 3} THEN 'text' WHEN v < {2 * V0 // 3} THEN 'image' ELSE 'video' END AS q_modality, dir AS wanted FROM pl JOIN bk USING (dir)), {_RANKED}
+SELECT ask.id, coalesce(max((dir = wanted)::INT), 0)::INT AS hit, min(CASE WHEN dir = wanted THEN rank END) AS rank FROM ask LEFT JOIN ranked USING (query_id) GROUP BY ask.id""",
+    small=True,
+)
 def synthetic_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of the tubes put into synthetic volumes are found again among the first three for their direction and time."""
-    field, planted = V.synthetic(spark)
-    tubes = cut(V.encode(field)).select("id", F.explode("tubes").alias("x")).select("id", "x.*")
-    asked = planted.select(F.monotonically_increasing_id().alias("query_id"), "id", F.col("dt").alias("qt"), F.col("du").alias("qu"), F.col("dv").alias("qv"), F.greatest(F.col("t") - 3, F.lit(0)).alias("q0"), F.least(F.col("t") + 3, F.lit(T0 - 1)).alias("q1"), V.modality(F.col("v")).alias("q_modality"), F.col("dir").alias("wanted"))
-    asked = cut(asked)
-    ranked = V.retrieve_tubes(tubes, asked)
-    hits = asked.join(ranked.select("query_id", "dir", "rank"), "query_id", "left").groupBy("id", "query_id").agg(F.coalesce(F.max((F.col("dir") == F.col("wanted")).cast("int")), F.lit(0)).alias("hit"))
-    return hits.groupBy("id").agg(F.avg("hit").alias("recall"), F.count(F.lit(1)).alias("tubes"))
+    """Whether the tube that is planted into each session's volume is found again among the first three for its direction and time."""
+    field, planted = C.planted(cut(volume(spark, sf_dir)))
+    tubes = C.encode(field).tubes
+    asked = cut(planted.select(F.col("id").alias("query_id"), "id", F.col("dt").alias("qt"), F.col("du").alias("qu"), F.col("dv").alias("qv"), F.greatest(F.col("t") - 3, F.lit(0)).alias("q0"), F.least(F.col("t") + 3, F.lit(T0 - 1)).alias("q1"), V.modality(F.col("v")).alias("q_modality"), F.col("dir").alias("wanted")))
+    ranked = V.retrieve_tubes(tubes, asked).select("query_id", "dir", "rank")
+    same = F.col("dir") == F.col("wanted")
+    return asked.join(ranked, "query_id", "left").groupBy("id").agg(F.coalesce(F.max(same.cast("int")), F.lit(0)).alias("hit"), F.min(F.when(same, F.col("rank"))).cast("long").alias("rank"))
 
 
-@query()
+@query(
+    f"""WITH {SQL_VOLUME}, {SQL_BLUR}, {sql_codec()},
+ask AS (SELECT DISTINCT id AS query_id, id, 1 AS qt, 0 AS qu, 0 AS qv, 0 AS q0, {T0 - 1} AS q1, 'text' AS q_modality FROM vol), {_RANKED},
+box AS (SELECT query_id, r.id, min(p.t) - 2 AS lt, max(p.t) + 2 AS ht, min(p.u) - 2 AS lu, max(p.u) + 2 AS hu, min(p.v) - 2 AS lv, max(p.v) + 2 AS hv FROM ranked r JOIN points p ON p.id = r.id AND p.dir = r.dir GROUP BY ALL),
+vox AS (SELECT query_id, p.t, p.u, p.v, sum(value) AS value FROM parts p JOIN box ON box.id = p.id AND p.t BETWEEN lt AND ht AND p.u BETWEEN lu AND hu AND p.v BETWEEN lv AND hv GROUP BY ALL)
+SELECT query_id, count(*) AS voxels, round(sum(value * value), 4) AS energy FROM vox GROUP BY query_id"""
+)
 def box_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each session's archived volume the box around the three best tubes for its time axis: voxels and their energy."""
-    archive = cut(V.encode(cut(volume(spark, sf_dir))))
-    asked = archive.select(F.col("id").alias("query_id"), "id", F.lit(1).alias("qt"), F.lit(0).alias("qu"), F.lit(0).alias("qv"), F.lit(0).alias("q0"), F.lit(T0 - 1).alias("q1"), V.modality(F.lit(0)).alias("q_modality"))
-    found = V.query_decode(archive, asked)
+    rows = cut(volume(spark, sf_dir))
+    archive = C.encode(rows)
+    asked = rows.select(F.col("id").alias("query_id"), "id", F.lit(1).alias("qt"), F.lit(0).alias("qu"), F.lit(0).alias("qv"), F.lit(0).alias("q0"), F.lit(T0 - 1).alias("q1"), V.modality(F.lit(0)).alias("q_modality")).distinct()
+    found = C.decode_boxes(archive, asked)
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("voxels"), F.round(F.sum(F.col("value") * F.col("value")), 4).alias("energy"))
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memloom import lexicons as lex
 from memloom import plans
+from memloom.operators import codec as C
 from memloom.operators import volumes as V
 
 SHAPE = (7, 8, 9)
@@ -37,51 +39,43 @@ def response(x, d):
 
 
 def plain_codec(x):
-    """Decoded volume, number of tubes and of junctions."""
+    """Decoded volume, directions of the tubes in their order, and junctions."""
     base = x
     for axis in range(3):
         base = np.array([[[np.mean([base[tuple(min(max(c + (e if a == axis else 0), 0), SHAPE[a] - 1) for a, c in enumerate((t, u, v)))] for e in range(-2, 3)]) for v in range(SHAPE[2])] for u in range(SHAPE[1])] for t in range(SHAPE[0])])
-    left = x - base
     out = np.array(stored(base.ravel())).reshape(SHAPE)
-    best = sorted(((max(response(left, d).values()), d) for d in range(13)), reverse=True)
-    near_best = [d for s, d in best if s >= 0.25 * max(best[0][0], 1e-8)]
-    dirs = sorted((near_best if len(near_best) >= 4 else [d for _, d in best[:4]])[:8])
-    floor, used, masks = 0.01 * ((left**2).sum() + 1e-8) / left.size, [], []
-    while len(used) < 14:
-        tried = []
-        for d in dirs:
-            r = response(left, d)
-            c = max(PLACES, key=lambda p: (r[p], [-a for a in p]))  # noqa: B023
-            score = r[c] * (1 if d in used else 1.9) / ((1 + 0.35 * used.count(d)) * (9 * len(line(c, d))) ** 0.35)
-            tried.append((round(score, 9), -d, c))
-        score, d, c = max(tried, key=lambda x: x[:2])
-        signal = stored([sum(left[q] for q in near(p)) / 27 for p in line(c, -d)])
-        if score < floor or not any(signal):
-            break
+    left = x - out
+    best = {d: max(response(left, d).values()) for d in range(13)}
+    ranked = sorted(best, key=lambda d: (best[d], d), reverse=True)
+    near_best = [d for d in ranked[:8] if best[d] >= 0.25 * max(best[ranked[0]], 1e-8)]
+    active = near_best if sum(b >= 0.25 * max(best[ranked[0]], 1e-8) for b in best.values()) >= 4 else ranked[:4]
+    used, masks = [], []
+    for d in sorted(active, key=lambda d: (-round(best[d], 9), d)):
+        r = response(left, d)
+        centre = min(PLACES, key=lambda p: (-r[p], p))  # noqa: B023
+        signal = stored([sum(left[q] for q in near(p)) / 27 for p in line(centre, d)])
+        if not any(signal):
+            continue
         mask = set()
-        for p, s in zip(line(c, -d), signal, strict=True):
+        for p, s in zip(line(centre, d), signal, strict=True):
             for q in near(p):
-                left[q] -= s
                 out[q] += s
+                left[q] -= s
                 mask.add(q)
-        used.append(-d)
+        used.append(d)
         masks.append(mask)
-        if set(used) == set(dirs) and len(used) >= len(dirs):
-            break
-    joints = []
-    crossing = sorted(((round(left[p] ** 2, 9), p) for p in PLACES if sum(p in m for m in masks) >= 2), reverse=True)
-    for _, c in crossing:
-        if len(joints) < 10 and all(sum(abs(a - b) for a, b in zip(c, j, strict=True)) > 3 for j in joints):
-            joints.append(c)
-    taken = [stored([left[q] for q in near(c)]) for c in joints]
-    for c, patch in zip(joints, taken, strict=True):
+    crossing = sorted((p for p in PLACES if sum(p in m for m in masks) >= 2), key=lambda p: (-round(left[p] ** 2, 9), p))[:64]
+    first = {p: i for i, p in enumerate(crossing)}
+    joints = [p for i, p in enumerate(crossing) if all(first.get(tuple(a + b for a, b in zip(p, o, strict=True)), i) >= i for o in itertools.product(range(-2, 3), repeat=3))][:10]
+    for c in joints:
+        patch = stored([left[q] for q in near(c)])
         for q, s in zip(near(c), patch, strict=True):
             left[q] -= s
             out[q] += s
     kept = sorted(PLACES, key=lambda p: (-round(abs(left[p]), 9), p))[:512]
     for p, s in zip(kept, stored([left[p] for p in kept]), strict=True):
         out[p] += s
-    return out, len(used), len(joints)
+    return out, used, joints
 
 
 @pytest.fixture(scope="module")
@@ -100,27 +94,51 @@ def dense():
     return made
 
 
-def test_codec_equals_plain_one(spark, dense):
+@pytest.fixture(scope="module")
+def archived(spark, dense):
     rows = [(i, *p, float(x[p])) for i, x in dense.items() for p in PLACES if x[p] != 0]
     volume = spark.createDataFrame(rows, "id long, t int, u int, v int, value double")
-    archive = V.encode(volume, SHAPE).cache()
-    sizes = {r.id: (r.tubes, r.junctions) for r in archive.selectExpr("id", "size(tubes) tubes", "size(junctions) junctions").collect()}
+    return volume, C.encode(volume, SHAPE)
+
+
+def test_codec_equals_plain_one(dense, archived):
+    volume, archive = archived
+    tubes, joints = defaultdict(set), defaultdict(set)
+    for r in archive.tubes.collect():
+        tubes[r.id].add(r.dir)
+    for r in archive.cells.collect():
+        joints[r.id].add((r.jt, r.ju, r.jv))
     got = {i: np.zeros(SHAPE) for i in dense}
-    for r in V.decode(archive, SHAPE).collect():
+    for r in C.decode(archive, SHAPE).collect():
         got[r.id][r.t, r.u, r.v] = r.value
-    errors = {r.id: r for r in V.error(volume, V.decode(archive, SHAPE), SHAPE).collect()}
+    errors = {r.id: r for r in V.error(volume, C.decode(archive, SHAPE), SHAPE).collect()}
     for i, x in dense.items():
-        wanted, tubes, joints = plain_codec(x.copy())
-        assert sizes[i] == (tubes, joints) and tubes >= 4 and joints >= 1
+        wanted, used, points = plain_codec(x.copy())
+        assert tubes[i] == set(used) and joints[i] == set(points) and len(used) >= 4 and points
         assert np.abs(got[i] - wanted).max() < 1e-6
         assert errors[i].rel_l2 == pytest.approx(math.sqrt(((x - wanted) ** 2).sum() / (x**2).sum()), abs=1e-6)
 
 
+def test_a_box_is_decoded_alone(spark, archived):
+    _, archive = archived
+    asked = spark.createDataFrame([(7, 1, 1, 0, 0, 0, 6, "text"), (8, 2, 0, 0, 1, 2, 3, "video"), (9, 2, 1, 1, 0, 0, 6, "image")], "query_id long, id long, qt int, qu int, qv int, q0 int, q1 int, q_modality string")
+    whole = {(r.id, r.t, r.u, r.v): r.value for r in C.decode(archive, SHAPE).collect()}
+    points = defaultdict(list)
+    for r in archive.points.collect():
+        points[r.id, r.dir].append((r.t, r.u, r.v))
+    wanted = {}
+    best = V.retrieve_tubes(archive.tubes, asked).collect()
+    assert best
+    for q in {r.query_id for r in best}:
+        own = [p for r in best if r.query_id == q for p in points[r.id, r.dir]]
+        low, top = np.min(own, axis=0) - 2, np.max(own, axis=0) + 2
+        vid = next(r.id for r in best if r.query_id == q)
+        wanted |= {(q, *p): x for (i, *p), x in whole.items() if i == vid and (low <= p).all() and (p <= top).all()}
+    got = {(r.query_id, r.t, r.u, r.v): r.value for r in C.decode_boxes(archive, asked, shape=SHAPE).collect()}
+    assert got.keys() == wanted.keys()
+    assert max(abs(got[k] - wanted[k]) for k in got) < 1e-9
+
+
 def test_registered_roundtrip_is_close(spark, sf_dir):
     got = plans.QUERIES["codec_roundtrip"](spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.max("rel_l2").alias("worst")).first()
     assert got.n > 0 and got.worst < 0.5
-
-
-def test_synthetic_tubes_are_asked_for(spark, sf_dir):
-    rows = plans.QUERIES["synthetic_recall"](spark, sf_dir).collect()
-    assert len(rows) == 3 and all(r.tubes == 3 and 0 <= r.recall <= 1 for r in rows)

@@ -1,11 +1,9 @@
-"""Streams against batches, the decoding of a box and the exact cosine ranking against plain numpy."""
+"""Streams against batches and the exact cosine ranking against plain numpy."""
 
 import numpy as np
 import pytest
 
-from memloom import lexicons as lex
-from memloom.operators import codec, rank
-from memloom.operators import volumes as V
+from memloom.operators import rank
 from memloom.plans import QUERIES
 
 
@@ -14,26 +12,6 @@ def test_the_stream_gives_the_rows_of_the_window(spark, sf_dir):
     assert rows("stream_step_lag") == rows("step_lag")
 
 
-def test_query_decode_equals_numpy(spark):
-    field, _ = V.synthetic(spark, seeds=(0, 1))
-    archive = V.encode(field).cache()
-    asked = spark.createDataFrame([(10, 0, 1, 0, 0, 0, 11, "text"), (11, 1, 0, 1, 1, 2, 6, "image"), (12, 1, 1, 1, 0, 0, 3, "text")], "query_id long, id long, qt int, qu int, qv int, q0 int, q1 int, q_modality string")
-    got = {}
-    for r in V.query_decode(archive, asked).collect():
-        got.setdefault(r.query_id, {})[r.t, r.u, r.v] = r.value
-    stored = {r["id"]: r.asDict(recursive=True) for r in archive.collect()}
-    best = {}
-    for r in V.retrieve_tubes(archive.selectExpr("id", "explode(tubes) x").select("id", "x.*"), asked).collect():
-        best.setdefault((r.query_id, r["id"]), []).append(r)
-    assert set(got) == {q for q, _ in best}
-    for (q, i), tubes in best.items():
-        points = np.array([p for r in tubes for p in codec._points(V.SHAPE, (r.t, r.u, r.v), lex.DIRECTIONS[r.dir])])
-        low, top = np.maximum(points.min(0) - 2, 0), np.minimum(points.max(0) + 3, V.SHAPE)
-        whole = codec.decode_one(stored[i], V.SHAPE)
-        wanted = {(t, u, v): whole[t, u, v] for t in range(low[0], top[0]) for u in range(low[1], top[1]) for v in range(low[2], top[2])}
-        assert got[q].keys() == wanted.keys() and all(got[q][p] == pytest.approx(wanted[p]) for p in wanted)
-
-
 @pytest.mark.parametrize("block", [2, 1000])
 def test_nearest_equals_numpy(spark, block):
     rng = np.random.Generator(np.random.PCG64(1))

@@ -4,9 +4,6 @@ import pytest
 
 from memloom import plans
 
-SLOW = {"codec_roundtrip", "synthetic_recall"}
-
-
 SQL = plans.ORACLES | plans.registry.SMALL_ORACLES
 
 
@@ -15,7 +12,7 @@ def test_query_equals_sql(same_rows, name):
     same_rows(plans.QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, sf_dir, name):
     made = plans.QUERIES[name](spark, sf_dir)
     assert made.count() > 0 and len(made.columns) == len(set(made.columns))
