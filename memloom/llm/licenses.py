@@ -7,17 +7,19 @@ a run of identifiers stands for. A rule takes its identifiers out of the sequenc
 a later, more general rule can't count them again. What is left over is reported.
 
 Cutting is the same on both sides: a known sentence that holds ". ", "; " or ": " is
-cut there too, and a rule asks for its pieces in sequence. Texts are read twice: line
+cut there too, and a rule asks for its pieces in sequence. "This program is free software"
+is not part of any known sentence, since a program's own name may stand there. Texts are read twice: line
 by line, and paragraph by paragraph with wrapped lines joined (comment marks vanish
 with the other signs), so neither headings nor wrapped comments hide a sentence.
 Known sentences and rules are two small tables compiled into the projection; nothing
 is shuffled and no user function runs.
 
 Scope: the notices, headers or permission texts below, word for word, of MIT, ISC,
-0BSD, BSD-2-Clause, BSD-3-Clause (with "the copyright holder"), Apache-2.0, MPL-2.0,
-EPL-2.0, GPL-2.0 and GPL-3.0, LGPL-2.1 and LGPL-3.0, AGPL-3.0, Unlicense, CC0-1.0,
-CC-BY, -SA and -NC 4.0, reserved rights, and SPDX lines of these. Other licences, and
-names of holders inside a sentence, aren't recognised; pass tables of your own.
+0BSD, BSD-2-Clause, BSD-3-Clause (whoever its last clause names), Apache-2.0, MPL-2.0, EPL-2.0, GPL-2.0
+and GPL-3.0, LGPL-2.1 and LGPL-3.0, AGPL-3.0 (whatever the program is called), Unlicense,
+CC0-1.0, CC-BY, -SA and -NC 4.0, reserved rights, and SPDX lines of these, old names and
+expressions with OR, AND and WITH included: each licence of an expression is reported.
+Other licences aren't recognised; pass tables of your own.
 
 Defined results: null and empty texts give no identifiers and no licences; repeated
 rows and null ids give one row each; a sentence seen twice counts twice; pieces of
@@ -59,14 +61,14 @@ SENTENCES = {
     "mpl2_copy_2": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "epl2_notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
     "gpl3_notice": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl3_or_later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl3_only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
-    "gpl2_or_later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "gpl2_only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
-    "gpl2_only_2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
-    "lgpl21_or_later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-    "lgpl3_or_later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "agpl3_or_later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl3_or_later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl3_only": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.",
+    "gpl2_or_later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2_only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl2_only_2": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+    "lgpl21_or_later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3_or_later": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3_or_later": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl_warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "lgpl_warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl_copy": "See the GNU General Public License for more details.",
@@ -88,7 +90,9 @@ SPDX = (
     "MIT ISC 0BSD BSD-2-Clause BSD-3-Clause Apache-2.0 MPL-2.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later "
     "LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0"
 ).split()
-SENTENCES |= {f"spdx_{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
+#: Names that such lines had before, and what they stand for.
+SPDX_OLD = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
+SENTENCES |= {f"spdx_{x}": f"SPDX-License-Identifier: {x}" for x in (*SPDX, *SPDX_OLD)}
 
 #: (licence, run of identifiers), the first that fits wins.
 RULES = (
@@ -144,6 +148,7 @@ RULES = (
     ("CC-BY-4.0", ("cc_by_notice",)),
     ("CC-BY-4.0", ("cc_by_full",)),
     *((x, (f"spdx_{x}",)) for x in SPDX),
+    *((new, (f"spdx_{x}",)) for x, new in SPDX_OLD.items()),
     ("Proprietary", ("all_rights",)),
 )
 
@@ -157,6 +162,13 @@ END = r"[.!?:;]+[ \t\r]+"
 GAP = r"\n[ \t\r*#;/%-]*\n"
 MARK = "\x01"
 LEAST_WORDS = 4
+#: Any sentence that forbids endorsement in these words, whoever is named, stands for the one of the three-clause text.
+ENDORSEMENT = "to endorse or promote products derived from this software"
+#: A licence that is part of another one: where one reading finds the longer only, the other one has missed a clause.
+PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
+SPDX_HEAD = "spdx license identifier "
+#: The plus sign of an old name.
+PLUS, OR_LATER = r"(?i)(GPL-[0-9.]*[0-9])\+", "{0}1-or-later"
 
 
 def normal(sentence: str) -> str:
@@ -182,7 +194,13 @@ def compiled(sentences: dict[str, str], rules) -> tuple[dict[str, str], list[tup
 
 
 def _normalised(parts: Column) -> Column:
-    return F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    """Sentences in plain form; an SPDX line gives one for each licence of its expression, without exceptions."""
+    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    named = F.transform(plain, lambda s: F.when(F.contains(s, F.lit(ENDORSEMENT)), normal(SENTENCES["bsd_names"])).otherwise(s))
+    rest = lambda s: F.split(F.replace(F.substring(s, len(SPDX_HEAD) + 1, 1 << 30), F.lit(" or later"), F.lit(" orlater")), " (?:or|and) ")
+    one = lambda x: F.concat(F.lit(SPDX_HEAD), F.replace(F.regexp_replace(x, " with .*$", ""), F.lit(" orlater"), F.lit(" or later")))
+    each = F.transform(named, lambda s: F.when(F.startswith(s, F.lit(SPDX_HEAD)), F.transform(rest(s), one)).otherwise(F.array(s)))
+    return F.when(F.exists(named, lambda s: F.startswith(s, F.lit(SPDX_HEAD))), F.flatten(each)).otherwise(named)
 
 
 def _by_line(text: Column) -> Column:
@@ -216,7 +234,7 @@ def license_scan(docs: DataFrame, sentences=None, rules=RULES, id_col: str = "do
     known, runs = compiled(SENTENCES if sentences is None else sentences, rules)
     text = F.coalesce(F.col(text_col), F.lit(""))
     hinted = F.lower(text).rlike("|".join(HINTS))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(hinted, F.regexp_replace(text, SPDX_COLON, SPDX_PLAIN.format("$"))).alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(hinted, F.regexp_replace(F.regexp_replace(text, SPDX_COLON, SPDX_PLAIN.format("$")), PLUS, OR_LATER.format("$"))).alias("t"))
     none = F.array().cast("array<string>")
     ids = rows.select(
         "doc_id",
@@ -224,13 +242,19 @@ def license_scan(docs: DataFrame, sentences=None, rules=RULES, id_col: str = "do
         F.when(F.col("t").isNull(), none).otherwise(_identifiers(_by_paragraph(F.col("t")), known)).alias("joined"),
     )
     matched = ids.select("doc_id", "lines", "joined", _match(F.col("lines"), runs).alias("a"), _match(F.col("joined"), runs).alias("b"))
+    def whole(own: Column, other: Column) -> Column:
+        for part, more in PART_OF.items():
+            own = F.when(F.array_contains(other, more) & ~F.array_contains(other, part), F.array_remove(own, part)).otherwise(own)
+        return own
+
+    found = F.array_union(whole(F.col("a.found"), F.col("b.found")), whole(F.col("b.found"), F.col("a.found")))
     longer = F.when(F.size("joined") > F.size("lines"), F.col("joined")).otherwise(F.col("lines"))
     left = F.when(F.size("joined") > F.size("lines"), F.col("b.left")).otherwise(F.col("a.left"))
     return matched.select(
         "doc_id",
         F.size(longer).cast("long").alias("n_known"),
         F.array_join(longer, ",").alias("sentence_ids"),
-        F.array_join(F.array_sort(F.array_union("a.found", "b.found")), ",").alias("licenses"),
+        F.array_join(F.array_sort(found), ",").alias("licenses"),
         F.array_join(F.filter(F.split(F.translate(left, "/", "|"), r"\|"), lambda x: x != ""), ",").alias("unmatched"),
     )
 
@@ -240,8 +264,11 @@ def oracle_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     sentences = ", ".join(f"({n}, {quote(name)}, {quote(text)})" for n, (name, text) in enumerate(SENTENCES.items()))
     rules = ", ".join(f"({n}, {quote(name)}, [{', '.join(map(quote, run))}])" for n, (name, run) in enumerate(RULES))
-    plain = lambda t: f"regexp_replace({t}, 'SPDX-License-Identifier:', 'SPDX-License-Identifier', 'gi')"
-    each = lambda parts: f"list_transform({parts}, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')))"
+    plain = lambda t: f"regexp_replace(regexp_replace({t}, 'SPDX-License-Identifier:', 'SPDX-License-Identifier', 'gi'), '(GPL-[0-9.]*[0-9])\\+', '\\1-or-later', 'gi')"
+    low = lambda parts: f"list_transform({parts}, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')))"
+    named = "CASE WHEN contains(s, 'to endorse or promote products derived from this software') THEN 'neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission' ELSE s END"
+    spdx = "list_transform(string_split_regex(replace(s[25:], ' or later', ' orlater'), ' (?:or|and) '), lambda x: 'spdx license identifier ' || replace(regexp_replace(x, ' with .*$', ''), ' orlater', ' or later'))"
+    each = lambda parts: f"flatten(list_transform(list_transform({low(parts)}, lambda s: {named}), lambda s: CASE WHEN starts_with(s, 'spdx license identifier ') THEN {spdx} ELSE [s] END))"
     end = r"'[.!?:;]+[ \t\r]+'"
     by_line = lambda t: each(f"string_split(regexp_replace({t}, {end}, chr(10), 'g'), chr(10))")
     gap = r"'\n[ \t\r*#;/%-]*\n'"
@@ -255,6 +282,7 @@ def oracle_sql() -> str:
             "THEN struct_pack(n := '', r := '', l := replace(a.l, q.r, '/'), f := list_append(a.f, q.n)) ELSE a END)"
         )
 
+    whole = lambda own, other: f"CASE WHEN list_contains({other}, 'BSD-3-Clause') AND NOT list_contains({other}, 'BSD-2-Clause') THEN list_filter({own}, lambda x: x <> 'BSD-2-Clause') ELSE {own} END"
     return f"""
 WITH sent(o, name, s) AS (VALUES {sentences}),
 cut AS (SELECT o, name, unnest({by_line(plain('s'))}) AS p, generate_subscripts({by_line(plain('s'))}, 1) AS i FROM sent),
@@ -274,7 +302,7 @@ j AS (SELECT doc_id, coalesce(a.ids, CAST([] AS VARCHAR[])) AS la, coalesce(b.id
 m AS (SELECT j.*, {fold('la')} AS ma, {fold('lb')} AS mb FROM j, rr)
 SELECT doc_id, greatest(len(la), len(lb))::BIGINT AS n_known,
   coalesce(array_to_string(CASE WHEN len(lb) > len(la) THEN lb ELSE la END, ','), '') AS sentence_ids,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(ma.f, mb.f))), ','), '') AS licenses,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat({whole('ma.f', 'mb.f')}, {whole('mb.f', 'ma.f')}))), ','), '') AS licenses,
   coalesce(array_to_string(list_filter(string_split(replace(CASE WHEN len(lb) > len(la) THEN mb.l ELSE ma.l END, '/', '|'), '|'), lambda x: x <> ''), ','), '') AS unmatched
 FROM m
 """

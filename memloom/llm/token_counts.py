@@ -9,8 +9,9 @@ only on the text before it and the tokens after it only on the text after it. Wh
 overlap has no such place, or the encodings disagree about it, the overlap is
 widened, up to the whole rest of the text; the result is then the plain encoding's.
 
-A chunk is cut at its own stable places too: each distinct segment goes to the
-library once for each worker, and a bounded memo keeps its count.
+A text is cut at its own stable places too: each distinct segment goes to the library
+once for each run of texts, and a memo that is bounded in bytes keeps its count until the
+task ends.
 
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens; every row
 gives one row; special strings inside a text are what the library's default makes
@@ -28,10 +29,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import runs
+
 LIMIT = 1024
 #: Characters of a chunk and of its overlap with the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
-MEMO = 400_000
+#: Bytes that the memo of a worker holds at most, and bytes of texts counted together.
+MEMO, TOGETHER = 32 << 20, 2 << 20
+#: What an entry of the memo takes beside its characters, of up to four bytes each.
+ENTRY = 160
 #: Before the space stands nothing that any engine takes for white space.
 STABLE = regex.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
 
@@ -48,6 +54,7 @@ class Counter:
         spaced = any(t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) for t in said.get("added_tokens", []))
         self.provable = plain and not spaced and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
         self.counts: dict[str, int] = {}
+        self.held = 0
         self.widened = 0
 
     def whole(self, text: str) -> int:
@@ -59,13 +66,19 @@ class Counter:
             return [len(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
         cut = [[t] if len(t) > self.chunk else self._segments(t) for t in texts]
         known = self.counts
-        if len(known) > self.memo:
-            known.clear()
         fresh = list({s for parts, t in zip(cut, texts, strict=True) if len(t) <= self.chunk for s in parts if s not in known})
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             known.update(zip(part, (len(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return [sum(map(known.__getitem__, parts)) if len(t) <= self.chunk else self.long(t) for parts, t in zip(cut, texts, strict=True)]
+        found = [sum(map(known.__getitem__, parts)) if len(t) <= self.chunk else self.long(t) for parts, t in zip(cut, texts, strict=True)]
+        self.held += 4 * sum(map(len, fresh)) + ENTRY * len(fresh)
+        if self.held > self.memo:
+            self.forget()
+        return found
+
+    def forget(self) -> None:
+        self.counts.clear()
+        self.held = 0
 
     @staticmethod
     def _segments(text: str) -> list[str]:
@@ -124,11 +137,14 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, chunk, overlap)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = own.count_batch([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        try:
+            for batch in batches:
+                for at, texts in runs(batch.column(1), 512, TOGETHER):
+                    part = batch.slice(at, len(texts))
+                    found = own.count_batch(texts)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        finally:
+            own.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     counted = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

@@ -62,6 +62,42 @@ def test_license_scan_equals_sql(same_rows):
     same_rows(Q.op4_license_scan, licenses.oracle_sql())
 
 
+def test_licences_of_named_holders_and_spdx_expressions(spark):
+    """Texts that the tables don't hold as they are, with their licences written out."""
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+    gnu = """{0} is free software{1} you can redistribute it and/or modify
+it under the terms of the GNU {2}General Public License as published by
+the Free Software Foundation{3} either version {4} of the License, or
+(at your option) any later version.
+"""
+    texts = {
+        bsd: "BSD-2-Clause",
+        bsd + "3. Neither the name of Google LLC nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-3-Clause",
+        bsd + "   * Neither the name of the University nor the names of any\n     contributors may be used to endorse or promote products derived\n     from this software without specific prior written permission.": "BSD-3-Clause",
+        bsd + "3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-3-Clause",
+        gnu.format("Foo", ":", "", ",", "3"): "GPL-3.0-or-later",
+        gnu.format("GNU Bar 2", ";", "", ";", "2"): "GPL-2.0-or-later",
+        gnu.format("libbaz", ":", "Lesser ", ",", "3"): "LGPL-3.0-or-later",
+        gnu.format("This library", ";", "Lesser ", ";", "2.1"): "LGPL-2.1-or-later",
+        gnu.format("This program", ":", "Affero ", ",", "3"): "AGPL-3.0-or-later",
+        "// SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only",
+        "/* SPDX-License-Identifier: GPL-2.0+ */": "GPL-2.0-or-later",
+        "# SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+        "// SPDX-License-Identifier: (GPL-2.0-or-later WITH Linux-syscall-note) AND BSD-3-Clause": "BSD-3-Clause,GPL-2.0-or-later",
+        "// SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note": "GPL-2.0-only",
+        "SPDX-License-Identifier: LicenseRef-Own": "",
+        "This program is free software, said the author.": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.license_scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    assert "Python" not in licenses.license_scan(docs)._jdf.queryExecution().toString()
+
+
 def test_license_rules(spark, clashing, empty):
     mit = "\n".join(licenses.SENTENCES[k] for k in ("mit_grant", "mit_notice_kept", "mit_warranty"))
     wrapped = "# " + licenses.SENTENCES["gpl_copy"].replace("General", "\n# General")
@@ -355,6 +391,21 @@ def test_resynchronisation_of_chunks(chunk, overlap):
     assert counter.widened > 0
 
 
+def test_memo_of_counts_is_bounded_in_bytes():
+    """Texts without spaces are one segment each; the memo stays under its bound and counts stay right."""
+    counter = token_counts.Counter(public.path("byte_bpe_50k.json"), memo=4 << 20)
+    rng = random.Random(4)
+    most = 0
+    for _ in range(40):
+        texts = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60)) for _ in range(250)]
+        found = counter.count_batch(texts)
+        assert found[:2] == [counter.whole(t) for t in texts[:2]]
+        most = max(most, sum(4 * len(t) + token_counts.ENTRY for t in counter.counts))
+    assert most <= 4 << 20 and counter.held <= 4 << 20
+    counter.forget()
+    assert not counter.counts
+
+
 # --- toxicity
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
