@@ -5,8 +5,9 @@ least once. With p and q the smoothed counts of texts of either class that hold
 feature, r = log((p / |p|) / (q / |q|)); a logistic regression is trained on the
 features scaled by r. A feature is trained if its rates in the two classes differ by
 LEAST_Z standard errors or more, or if it is among the FIRST that differ most: a few
-examples have few significant features, and many have more than FIRST. Scoring is one
-pass over whole texts without a shuffle.
+examples have few significant features, and many have more than FIRST. The cut between the classes
+is set by scores that models of the other parts of the training texts give each
+text. Scoring is one pass over whole texts without a shuffle.
 
 Training takes a bounded sample of labelled texts, the driver holds no more: of each
 class those with the least hash of their id, `most` texts and `most_bytes` bytes in
@@ -32,13 +33,15 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc32_of_id
 
-BITS = 18
-NGRAMS = (3, 4, 5)
+BITS = 20
+NGRAMS = (4, 5, 6, 7)
 #: Bytes hashed at once, and bytes of a text up to which its features are sorted instead of marked.
 PIECE, SORTED = 1 << 16, 1 << 11
 #: Texts of each class that train at most, and their bytes in all.
 MOST, MOST_BYTES = 2500, 12 << 20
 FOLDS = 5
+#: Parts of the training texts whose cross-wise scores set the decision cut.
+INNER = 5
 #: The z score from which on every feature trains, by chance hardly any of 2 ** BITS reaches it; and how many train in any case.
 LEAST_Z, FIRST = 4.5, 100
 
@@ -115,50 +118,99 @@ def z_scores(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int) -> np.ndarray:
     return np.abs(rate - rate0) / np.sqrt(every * (1 - np.minimum(every, 0.999999)) * (1 / n_p + 1 / n_q))
 
 
+def _regression(flat: np.ndarray, row: np.ndarray, y: np.ndarray, r: np.ndarray, steps: int, decay: float) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of a logistic regression on features 0 .. len(r) - 1, present in rows and scaled by r; classes weigh alike. Full-batch Adam."""
+    size = np.float32(np.sqrt(max(1.0, len(flat) / len(y))))
+    scale = r[flat] / size
+    n, k = len(y), len(r)
+    w, b = np.zeros(k, np.float32), 0.0
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum())).astype(np.float32)
+    for step in range(1, steps + 1):
+        z = np.bincount(row, w[flat] * scale, n).astype(np.float32) + b
+        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        gw, gb = np.bincount(flat, g[row] * scale, k).astype(np.float32) + decay * w, float(g.sum())
+        m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
+        w = w - 0.1 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
+        b -= 0.1 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
+    return w * r / size, b
+
+
+def best_cut(z: np.ndarray, y: np.ndarray, odds: float) -> float:
+    """The cut of scores z at which F1 is greatest, with the classes at the given odds; the middle between the two scores beside it."""
+    order = np.argsort(-z, kind="stable")
+    z, y = z[order], y[order]
+    other = (y.sum() / (len(y) - y.sum())) / odds
+    hits, false = np.cumsum(y), np.cumsum((1 - y) * other)
+    f1 = 2 * hits / (hits + false + y.sum())
+    f1[:-1][z[:-1] == z[1:]] = -1.0  # equal scores aren't parted
+    at = int(f1.argmax())
+    return float((z[at] + z[at + 1]) / 2) if at + 1 < len(z) else float(z[at]) - 1.0
+
+
+def _chosen(p: np.ndarray, q: np.ndarray, n_p: float, n_q: float, least_z: float) -> np.ndarray:
+    z = z_scores(p, q, n_p, n_q)
+    chosen = z >= least_z
+    chosen[np.argsort(-z, kind="stable")[:FIRST]] = True
+    return chosen
+
+
 def fit(texts: list[str], labels: np.ndarray, odds: float, steps: int = 200, decay: float = 1e-4, least_z: float = LEAST_Z) -> Model:
-    """Full-batch Adam on the scaled presence features. odds: of the classes before sampling.
+    """A model of the texts. odds: of the classes before sampling.
 
-    Two passes over the texts, one to count and one to keep the chosen features, so
-    that the features of no more than one text are held in full.
+    The decision cut is the one of greatest F1 among scores that models of the other
+    INNER - 1 parts give each text; with fewer than INNER texts of a class the intercept takes
+    half the log odds in instead. Two passes over the texts, one to count and one to keep
+    the chosen features, so that the features of no more than one text are held in full.
     """
-    p, q = np.ones(1 << BITS), np.ones(1 << BITS)
-    kept, y = [], []
-    for label, counts in ((0, q), (1, p)):
-        told = Distinct(len(texts))
+    counts = np.zeros((INNER, 2, 1 << BITS), np.int32)
+    sizes = np.zeros((INNER, 2), int)
+    kept, y, parts = [], [], []
+    for label in (0, 1):
+        told, n = Distinct(len(texts)), 0
         for text in (t for t, own in zip(texts, labels, strict=True) if own == label):
             found = features(text)
             if told.new(found):
-                counts[found] += 1  # a set holds each feature once
+                counts[n % INNER, label, found] += 1  # a set holds each feature once
+                sizes[n % INNER, label] += 1
                 kept.append(text)
                 y.append(label)
-    y = np.array(y, np.float32)
+                parts.append(n % INNER)
+                n += 1
+    y, parts = np.array(y, np.float32), np.array(parts)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(1 << BITS, np.float32), -30.0, False)
-    r = log_count_ratios(p, q)
-    z = z_scores(p, q, y.sum(), len(y) - y.sum())
-    chosen = z >= least_z
-    chosen[np.argsort(-z, kind="stable")[:FIRST]] = True
+    every, total = counts.sum(axis=0, dtype=np.int32), sizes.sum(axis=0)
+    inner = INNER if sizes.min() > 0 else 0
+    plans = []
+    for i in range(inner + 1):
+        # The last model is that of all texts.
+        less, fewer, own = (counts[i], sizes[i], parts != i) if i < inner else (np.int32(0), 0, np.ones(len(y), bool))
+        (q, p), (n_q, n_p) = every - less + 1.0, total - fewer
+        plans.append((_chosen(p, q, n_p, n_q, least_z), log_count_ratios(p, q), own))
+    del counts, every
+    used = np.flatnonzero(np.logical_or.reduce([chosen for chosen, _, _ in plans]))
+    plans = [(chosen[used], r[used], own) for chosen, r, own in plans]
+    place = np.full(1 << BITS, -1, np.int64)
+    place[used] = np.arange(len(used))
     sets = []
     for text in kept:
-        found = features(text)
-        sets.append(found[chosen[found]])
-    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-    size = np.float32(np.sqrt(max(1.0, len(flat) / len(y))))
-    scale = r[flat] / size
-    w, b = np.zeros(1 << BITS, np.float32), 0.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())).astype(np.float32)
-    for step in range(1, steps + 1):
-        z = np.bincount(row, w[flat] * scale, len(y)).astype(np.float32) + b
-        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gw, gb = np.bincount(flat, g[row] * scale, 1 << BITS).astype(np.float32) + decay * w, float(g.sum())
-        m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
-        w = w - 0.1 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
-        b -= 0.1 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
-    # The classes weighed alike while training; the intercept takes their odds back in.
-    return Model(w * r / size, b + 0.5 * float(np.log(odds)))
+        at = place[features(text)]
+        sets.append(at[at >= 0])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    cross = np.zeros(len(y))
+    for i, (chosen, r, own) in enumerate(plans):
+        number = np.cumsum(own) - 1
+        live = chosen[flat] & own[row]
+        w, b = _regression(flat[live], number[row[live]], y[own], r * chosen, steps, decay)
+        if i < inner:
+            z = np.bincount(row, w[flat], len(y)) + b
+            cross[~own] = z[~own]
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = w
+    return Model(weights, b - best_cut(cross, y, odds) if inner else b + 0.5 * float(np.log(odds)))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", hold_out: bool = True) -> Model:

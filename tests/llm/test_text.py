@@ -413,8 +413,8 @@ def test_toxicity_on_held_out_rows(spark):
     got = [r for r in Q.op7_toxicity(spark, sf).collect() if r.held_out and r.doc_id in truth]
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     hits = sum(r.predicted and truth[r.doc_id] for r in got)
-    # 352 toxic texts train here; on tables of the check tool's size held-out recall is 0.99 at precision 1.
-    assert hits >= 0.7 * sum(truth[r.doc_id] for r in got) and hits >= 0.8 * sum(r.predicted for r in got)
+    # 352 toxic texts train here; on tables of the check tool's size recall and precision are 0.99 and more.
+    assert hits >= 0.85 * sum(truth[r.doc_id] for r in got) and hits >= 0.9 * sum(r.predicted for r in got)
 
 
 def test_toxicity_folds_and_odd_rows(spark, clashing, empty, sf_dir):
@@ -437,6 +437,31 @@ def test_toxicity_does_not_learn_from_the_held_out_fold(spark, sf_dir):
     assert (one.weights == two.weights).all() and one.intercept == two.intercept
 
 
+def test_toxicity_cut_and_regression_by_hand():
+    """The cut of greatest F1, and a regression that reaches what slow plain gradient steps reach."""
+    import numpy as np
+
+    z, y = np.array([3.0, 2.0, 2.0, 1.0, -1.0]), np.array([1.0, 1.0, 0.0, 1.0, 0.0])
+    # with the sample's own odds: cuts below 3, 2, 1, -1 give F1 of 1/2, 2*2/(2+1+3), 2*3/(3+1+3), 2*3/(3+2+3)
+    assert toxicity.best_cut(z, y, 1.5) == 0.0
+    # where the other class is a hundred times as frequent only the first is worth it
+    assert toxicity.best_cut(z, y, 0.015) == 2.5
+    rng = np.random.default_rng(1)
+    x = (rng.random((60, 5)) < 0.4).astype(float)
+    y = (x[:, 0] + x[:, 1] - x[:, 2] + rng.normal(0, 0.3, 60) > 0.5).astype(np.float32)
+    row, flat = np.nonzero(x)
+    r, decay = np.array([1.0, 0.8, -0.9, 0.2, 0.4], np.float32), 0.01
+    w, b = toxicity._regression(flat, row, y, r, 2000, decay)
+    size = np.sqrt(x.sum() / 60)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (60 - y.sum()))
+    u, c = np.zeros(5), 0.0
+    for _ in range(30_000):
+        g = share * (1 / (1 + np.exp(-(x @ (u * r / size) + c))) - y)
+        u -= 0.5 * ((x.T @ g) * r / size + decay * u)
+        c -= 0.5 * g.sum()
+    assert np.abs(w - u * r / size).max() < 0.02 and abs(b - c) < 0.02
+
+
 def test_toxicity_numbers_by_hand():
     """Counts, log-count ratios, z scores and a score, each written out."""
     import math
@@ -449,7 +474,7 @@ def test_toxicity_numbers_by_hand():
     for counts, texts in ((p, bad), (q, good)):
         for t in texts:
             counts[toxicity.features(t)] += 1
-    (vil,) = {int(x) for x in toxicity._hashed(np.frombuffer(b"vil", np.uint8).astype(np.uint32))}
+    (vil,) = {int(x) for x in toxicity._hashed(np.frombuffer(b"vile", np.uint8).astype(np.uint32))}
     assert p[vil] == 4 and q[vil] == 1
     r = toxicity.log_count_ratios(p, q)
     assert r[vil] == pytest.approx(math.log((4 / p.sum()) / (1 / q.sum())), abs=1e-6)
