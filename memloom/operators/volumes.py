@@ -231,17 +231,58 @@ def edge_tubes(edges: DataFrame, shape: Sequence[int] = SHAPE, half: int = 2, ra
     signal = (named(lex.EDGE_AMPLITUDE, "edge_type") + named(lex.STATUS_AMPLITUDE, "status")) * F.greatest("weight", F.lit(0.3))
     length = F.when(F.col("edge_type").isin("flow", "step", "conflict"), min(half + 1, shape[0] // 4)).otherwise(half)
     rows = edges.withColumn("steps", steps)
-    return rows.select(F.col("session_id").alias("id"), centre.cast("int").alias("t"), u.cast("int").alias("u"), v.cast("int").alias("v"), direction.alias("d"), length.alias("half"), F.when(F.col("edge_type").isin("block", "conflict"), radius + 1).otherwise(radius).alias("radius"), signal.alias("signal"), "step_idx", "source_state").select("id", *AXES, "d.*", "half", "radius", "signal", "step_idx", "source_state")
+    return rows.select(F.col("session_id").alias("id"), centre.cast("int").alias("t"), u.cast("int").alias("u"), v.cast("int").alias("v"), direction.alias("d"), length.alias("half"), F.when(F.col("edge_type").isin("block", "conflict"), radius + 1).otherwise(radius).alias("radius"), signal.alias("signal"), "step_idx", "source_state", "token", "weight", "edge_idx").select("id", *AXES, "d.*", "half", "radius", "signal", "step_idx", "source_state", "token", "weight", "edge_idx")
+
+
+def _junctions(tubes: DataFrame) -> DataFrame:
+    """(id, step_idx, source_state, n, t, u, v): the mean place of edges that share a step and a source."""
+    groups = tubes.groupBy("id", "step_idx", "source_state", "t").agg(F.count(F.lit(1)).alias("n"), F.avg("u").alias("mu"), F.avg("v").alias("mv")).where("n >= 2")
+    return groups.select("id", "step_idx", "source_state", "n", "t", half_even(F.col("mu")).alias("u"), half_even(F.col("mv")).alias("v"))
+
+
+def _folded_cubes(points: DataFrame, shape: Sequence[int]) -> DataFrame:
+    """The cube of one step around each row; cells beyond a border fall on it, repeatedly."""
+    for axis, size in zip(AXES, shape, strict=True):
+        points = points.withColumn("_d", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(axis, F.least(F.greatest(F.col(axis) + F.col("_d"), F.lit(0)), F.lit(size - 1))).drop("_d")
+    return points
 
 
 def edge_volume(edges: DataFrame, shape: Sequence[int] = SHAPE) -> DataFrame:
     """Tubes of all edges plus a cube at the mean place of edges that share a step and a source; border cubes fold in."""
     tubes = edge_tubes(edges, shape)
-    groups = tubes.groupBy("id", "step_idx", "source_state", "t").agg(F.count(F.lit(1)).alias("n"), F.avg("u").alias("mu"), F.avg("v").alias("mv")).where("n >= 2")
-    joints = groups.select("id", "t", half_even(F.col("mu")).alias("u"), half_even(F.col("mv")).alias("v"), (0.55 + 0.1 * F.col("n")).alias("value"))
-    for axis, size in zip(AXES, shape, strict=True):
-        joints = joints.withColumn("_d", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(axis, F.least(F.greatest(F.col(axis) + F.col("_d"), F.lit(0)), F.lit(size - 1))).drop("_d")
-    return plus(render_tubes(tubes, shape), joints)
+    joints = _junctions(tubes).select("id", *AXES, (0.55 + 0.1 * F.col("n")).alias("value"))
+    return plus(render_tubes(tubes, shape), _folded_cubes(joints, shape))
+
+
+def ramp(t: Column, shape: Sequence[int] = SHAPE, height: float = 0.025) -> Column:
+    """What a volume of edges has everywhere: a slope along time."""
+    return height * t / float(max(shape[0] - 1, 1))
+
+
+def edge_patterns(edges: DataFrame, shape: Sequence[int] = SHAPE) -> DataFrame:
+    """(id, step_idx, pattern, token, weight, t, u, v): the cells of every edge's tube and of every junction, each once."""
+    tubes = edge_tubes(edges, shape)
+    points = tubes.select("id", "step_idx", F.col("edge_idx").cast("string").alias("pattern"), "token", "weight", "radius", *AXES, "dt", "du", "dv", F.explode(F.sequence(-F.col("half"), F.col("half"))).alias("s"))
+    points = points.withColumns({a: (F.col(a) + F.col("s") * F.col(f"d{a}")).cast("int") for a in AXES}).where(_inside(shape))
+    for axis in AXES:
+        points = points.withColumn("_d", F.explode(F.sequence(-F.col("radius"), F.col("radius")))).withColumn(axis, (F.col(axis) + F.col("_d")).cast("int")).drop("_d")
+    joints = _junctions(tubes)
+    named = F.concat(F.lit("junction::"), "source_state", F.lit("::degree["), F.col("n").cast("string"), F.lit("]"))
+    joined = joints.select("id", "step_idx", named.alias("pattern"), named.alias("token"), (1.0 + 0.15 * F.col("n")).alias("weight"), *AXES)
+    cols = ["id", "step_idx", "pattern", "token", "weight", *AXES]
+    return points.where(_inside(shape)).select(*cols).unionByName(_folded_cubes(joined, shape).select(*cols)).distinct()
+
+
+def pattern_addresses(edges: DataFrame, addresses: int = 4096, top: int = 24, shape: Sequence[int] = SHAPE) -> DataFrame:
+    """(session_id, step_idx, address, weight, gate): each pattern of a step by how strongly the whole volume answers on the pattern's own cells."""
+    from .addresses import sigmoid, strongest
+
+    volume = edge_volume(edges, shape)
+    met = edge_patterns(edges, shape).join(volume, VOXEL, "left").withColumn("x", F.abs(F.coalesce("value", F.lit(0.0)) + ramp(F.col("t"), shape)))
+    answers = met.groupBy("id", "step_idx", "pattern", "token").agg(F.avg("x").alias("x"), F.max("weight").alias("weight"))
+    gated = answers.select(F.col("id").alias("session_id"), "step_idx", hashing.fnv(F.concat(F.lit("native::"), "token"), addresses).alias("address"), "weight", sigmoid(2.4 * F.col("x")).alias("gate"))
+    summed = gated.groupBy("session_id", "step_idx", "address").agg(F.sum(F.col("weight") * F.col("gate")).alias("weight"), F.max("gate").alias("gate"))
+    return strongest(summed, top)
 
 
 def semantic_events(states: DataFrame, shape: Sequence[int] = SHAPE) -> DataFrame:

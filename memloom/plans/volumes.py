@@ -154,7 +154,7 @@ def residual_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _case = lambda c, pairs: f"CASE {c}" + "".join(f" WHEN '{n}' THEN {x}" for n, x in pairs) + " ELSE 0 END"
 _TOKEN = "concat_ws('::', edge_type, source_state, target, CASE WHEN trigger <> '' THEN 'trigger=' || trigger END, CASE WHEN status <> '' THEN 'status=' || status END)"
 SQL_EDGE_TUBES = f"""bank(dir, dt, du, dv) AS (VALUES {_BANK}),
-et AS (SELECT session_id AS id, step_idx, source_state, (CASE WHEN n <= 1 THEN {T0 // 2} ELSE round_even(step_idx * {T0 - 1} / greatest(n - 1, 1)::DOUBLE, 0) END)::INT AS t,
+et AS (SELECT session_id AS id, step_idx, source_state, {_TOKEN} AS token, weight, (CASE WHEN n <= 1 THEN {T0 // 2} ELSE round_even(step_idx * {T0 - 1} / greatest(n - 1, 1)::DOUBLE, 0) END)::INT AS t,
   {hashing.fnv_sql("'u::' || source_state || '::' || CASE WHEN trigger <> '' THEN trigger ELSE edge_type END", U0)} AS u, {hashing.fnv_sql("'v::' || target || '::' || edge_type || '::' || status", V0)} AS v, {hashing.fnv_sql(f"'dir::' || {_TOKEN}", len(lex.DIRECTIONS))} AS dir,
   CASE WHEN edge_type IN ('flow', 'step', 'conflict') THEN 3 ELSE 2 END AS half, CASE WHEN edge_type IN ('block', 'conflict') THEN 2 ELSE 1 END AS radius, ({_case('edge_type', lex.EDGE_AMPLITUDE)} + {_case('status', lex.STATUS_AMPLITUDE)}) * greatest(weight, 0.3)::DOUBLE AS signal FROM (SELECT *, max(step_idx) OVER (PARTITION BY session_id) + 1 AS n FROM ed)),
 tp AS (SELECT id, t + s * dt AS t, u + s * du AS u, v + s * dv AS v, radius, signal FROM et JOIN bank USING (dir), unnest(range(-half, half + 1)) r(s)),
@@ -182,6 +182,37 @@ def edge_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(V.edge_volume(edges(spark, sf_dir)))
 
 
+SQL_PATTERNS = f"""jt AS (SELECT id, step_idx, source_state, count(*) AS n, t, round_even(avg(u), 0)::INT AS u, round_even(avg(v), 0)::INT AS v FROM et GROUP BY id, step_idx, source_state, t HAVING count(*) >= 2),
+jc AS (SELECT id, step_idx, 'junction::' || source_state || '::degree[' || n || ']' AS token, 1.0 + 0.15 * n AS weight, (0.55 + 0.1 * n)::DOUBLE AS value, least(greatest(t + a, 0), {T0 - 1})::INT AS t, least(greatest(u + b, 0), {U0 - 1})::INT AS u, least(greatest(v + c, 0), {V0 - 1})::INT AS v FROM jt, range(-1, 2) x(a), range(-1, 2) y(b), range(-1, 2) z(c)),
+eo AS MATERIALIZED (SELECT id, t, u, v, sum(value) AS value FROM (SELECT id, t, u, v, value FROM tv UNION ALL SELECT id, t, u, v, value FROM jc) GROUP BY ALL),
+en AS (SELECT row_number() OVER () AS pattern, * FROM et),
+ep AS (SELECT id, step_idx, pattern, token, weight, radius, t + s * dt AS t, u + s * du AS u, v + s * dv AS v FROM en JOIN bank USING (dir), unnest(range(-half, half + 1)) r(s)),
+ec AS (SELECT DISTINCT id, step_idx, pattern::VARCHAR AS pattern, token, weight::DOUBLE AS weight, (t + a)::INT AS t, (u + b)::INT AS u, (v + c)::INT AS v FROM (SELECT * FROM ep WHERE t BETWEEN 0 AND {T0 - 1} AND u BETWEEN 0 AND {U0 - 1} AND v BETWEEN 0 AND {V0 - 1}), unnest(range(-radius, radius + 1)) x(a), unnest(range(-radius, radius + 1)) y(b), unnest(range(-radius, radius + 1)) z(c)
+  UNION ALL SELECT DISTINCT id, step_idx, token, token, weight::DOUBLE, t, u, v FROM jc),
+ea AS (SELECT id, step_idx, token, max(weight) AS weight, 1.0 / (1.0 + exp(-2.4 * avg(abs(coalesce(value, 0) + 0.025 * t / {float(T0 - 1)})))) AS gate FROM (SELECT * FROM ec WHERE t BETWEEN 0 AND {T0 - 1} AND u BETWEEN 0 AND {U0 - 1} AND v BETWEEN 0 AND {V0 - 1}) LEFT JOIN eo USING (id, t, u, v) GROUP BY id, step_idx, pattern, token),
+eg AS (SELECT id AS session_id, step_idx, {hashing.fnv_sql("'native::' || token", 4096)} AS address, sum(weight * gate) AS weight, max(gate) AS gate FROM ea GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {SQL_STEPS}, {SQL_EDGE_TUBES}, {SQL_PATTERNS} SELECT session_id, step_idx, address, round(weight, 5) AS weight, round(gate, 5) AS gate FROM eg QUALIFY row_number() OVER (PARTITION BY session_id, step_idx ORDER BY round(weight, 9) DESC, address) <= 24"""
+)
+def pattern_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of each step's edges and junctions, gated by the session's volume on the cells of their own tubes."""
+    made = V.pattern_addresses(edges(spark, sf_dir))
+    return made.select("session_id", F.col("step_idx").cast("long").alias("step_idx"), F.col("address").cast("long").alias("address"), F.round("weight", 5).alias("weight"), F.round("gate", 5).alias("gate"))
+
+
+@query(f"WITH {SQL_STEPS}, {SQL_EDGE_TUBES}, {SQL_PATTERNS}, ids AS (SELECT DISTINCT id FROM et), gr AS (SELECT id, t::INT AS t, u::INT AS u, v::INT AS v FROM ids, range({T0}) a(t), range({U0}) b(u), range({V0}) c(v)) SELECT id, t, u, v, round(coalesce(value, 0) + 0.025 * t / {float(T0 - 1)}, 6) AS value FROM gr LEFT JOIN eo USING (id, t, u, v)")
+def edge_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole field of each session's constraint edges: every voxel, with the slope along time."""
+    volume = cut(V.edge_volume(edges(spark, sf_dir)))
+    grid = volume.select("id").distinct()
+    for axis, size in zip(V.AXES, V.SHAPE, strict=True):
+        grid = grid.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    made = grid.join(volume, V.VOXEL, "left").withColumn("value", F.round(F.coalesce("value", F.lit(0.0)) + V.ramp(F.col("t")), 6))
+    return made.select(*V.VOXEL, "value")
+
+
 _KERNEL = ", ".join(f"({a}, {b}, {c}, {s})" for a, b, c, s in lex.KERNEL)
 
 
