@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import text as T
 from ..functions.lineage import cut
 from ..operators import rank
 from ..sources import catalogue
+from ..sources.features import FeatureStore
 from .registry import query, read
 from .texts import sql_normal, sql_tokens, _TASK
 
@@ -245,3 +248,19 @@ def default_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First to last user turn of each session, the span of an item without evidence."""
     turns = catalogue.turns(read(spark, sf_dir, "conversations")).where("role = 'user'")
     return turns.groupBy("session_id").agg(F.min("turn").alias("start_turn"), F.max("turn").alias("end_turn"))
+
+
+@query(
+    f"""WITH src AS (SELECT min(doc_id) AS doc_id, coalesce(text, '') AS text FROM documents GROUP BY coalesce(text, '')), {_sql_vectors('dv', 'src', 'doc_id', None)},
+dfs AS (SELECT bucket, count(*) AS df FROM dv_t GROUP BY bucket) SELECT bucket, df, (SELECT count(*) FROM src) AS n_texts, round(idf, 6) AS idf FROM dv_i JOIN dfs USING (bucket)"""
+)
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies of a feature store that took half of the documents first and then all of them, of which it only worked out the new ones."""
+    docs = _sessions(spark, sf_dir)
+    store = FeatureStore(spark, f"features_{uuid.uuid4().hex}", lambda fresh: hashed_counts(fresh, "key"))
+    middle = docs.agg(F.percentile_approx("session_id", 0.5)).first()[0]
+    store.add(docs.where(F.col("session_id") <= middle), "first")
+    store.add(docs, "all")
+    made = cut(store.idf())
+    store.drop()
+    return made.select(F.col("bucket").cast("long").alias("bucket"), "df", "n_texts", F.round("idf", 6).alias("idf"))

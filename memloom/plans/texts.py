@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as lex
+from ..functions import sql
 from ..functions import text as T
 from ..sources import catalogue
 from .registry import query, read
@@ -235,3 +236,16 @@ def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     turns = catalogue.turns(read(spark, sf_dir, "conversations"))
     return rank.evidence_spans(turns, read(spark, sf_dir, "benchmark"))
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, {sql_tokens('text')} AS k, {sql_normal('text')} AS n FROM conversations), e AS (SELECT conv_id, turn, unnest(k) AS token, generate_subscripts(k, 1) - 1 AS place FROM t)
+SELECT 'conv_' || conv_id AS session_id, turn, place::INT AS place, token, len(k)::BIGINT AS n_tokens, length(n)::BIGINT AS n_plain FROM e JOIN t USING (conv_id, turn)"""
+)
+def sql_tokens_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every turn by the session's SQL functions: a table function, and two that are expressions."""
+    sql.register(spark)
+    rows = read(spark, sf_dir, "conversations")
+    return spark.sql(
+        "SELECT concat('conv_', conv_id) AS session_id, turn, t.place, t.token, cast(size(ml_tokens(text)) AS BIGINT) AS n_tokens, cast(length(ml_normalise(text)) AS BIGINT) AS n_plain FROM {rows}, LATERAL ml_each_token(text) t", rows=rows
+    )
