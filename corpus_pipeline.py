@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm import bpe, minhash, mixing, toxicity
 from memloom.llm import exact_dedup as exact
-from memloom.llm.common import documents, materialise, table, unused
+from memloom.llm.common import documents, drop_written, materialise, table, unused
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_written(before)  # its rows are in the stage just written
+        docs = before = made
     return STAGES[-1][1](spark, docs, sf_dir)
