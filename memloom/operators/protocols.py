@@ -51,7 +51,7 @@ def rankings(items: DataFrame, compact: DataFrame, whole: DataFrame, pool_size:
     items: item_id, question, cues, task_type; compact and whole: session_id, text.
     """
     asked = items.select("item_id", F.trim(F.concat_ws(" ", "question", F.array_join("cues", " "))).alias("text"))
-    pool = cut(rank.top_k(rank.lexical_scores(asked, compact), pool_size).select("item_id", "session_id"))
+    pool = cut(rank.lexical_nearest(asked, compact, pool_size).select("item_id", "session_id"))
     staged = cut(stage_texts(items).select(F.concat_ws("#", "stage", F.col("item_id").cast("string")).alias("key"), "item_id", "stage", "text"))
     queries = staged.select(F.col("key").alias("item_id"), "text")
     pairs = cut(staged.join(pool, "item_id").select("key", "item_id", "stage", "session_id"))

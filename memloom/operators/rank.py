@@ -30,6 +30,78 @@ def lexical_scores(questions: DataFrame, sessions: DataFrame) -> DataFrame:
     return pairs.select("item_id", "session_id", F.round(F.col("shared") / F.col("total"), 6).alias("lexical"))
 
 
+def lexical_nearest(questions: DataFrame, sessions: DataFrame, k: int, rows_at_once: int = 20_000) -> DataFrame:
+    """(item_id, session_id, lexical, rank): the k best sessions of each question by lexical_scores, without making the pairs.
+
+    The questions go over all sessions in blocks of about `rows_at_once` distinct tokens of questions. A task
+    counts the block's tokens in a few hundred sessions at a time; a sum of lesser counts is the
+    sum over levels l of products of "at least l times" matrices. It hands on the sessions that
+    reach the k-th best of a question so far, so that a token that all share makes no rows.
+    """
+    spark = questions.sparkSession
+    q = cut(token_counts(questions.where("item_id is not null"), "item_id", "text"))
+    blocks = -(-q.count() // rows_at_once) or 1
+    texts = sessions.select("session_id", "text")
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("item_id", questions), ("session_id", sessions))}
+    schema = f"item_id {kinds['item_id']}, session_id {kinds['session_id']}, score double"
+    found = None
+    for i in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()  # about rows_at_once
+        asked = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["token"] for r in rows], [r["n"] for r in rows]))
+        made = texts.mapInArrow(_lexical_best(asked, k), schema)
+        found = made if found is None else found.unionByName(made)
+    return top_k(found.select("item_id", "session_id", F.round("score", 6).alias("lexical")), k)
+
+
+def _lexical_best(asked, k: int):
+    def run(batches):
+        import re
+        from collections import Counter
+
+        import numpy as np
+        import pyarrow as pa
+
+        from .. import lexicons as lex
+
+        ids, tokens, counts = asked.value
+        kind = pa.string() if ids and isinstance(ids[0], str) else pa.int64()
+        items = list(dict.fromkeys(ids))
+        number = {t: j for j, t in enumerate(dict.fromkeys(tokens))}
+        place = {x: j for j, x in enumerate(items)}
+        wanted = np.zeros((len(items), len(number)), np.int64)
+        for x, t, n in zip(ids, tokens, counts, strict=True):
+            wanted[place[x], number[t]] = n
+        total = wanted.sum(axis=1)
+        levels = []
+        for level in range(1, int(wanted.max(initial=0)) + 1):
+            columns = np.flatnonzero((wanted >= level).any(axis=0))
+            levels.append((level, columns, (wanted[:, columns] >= level).astype(np.float32)))
+        best = np.full((len(items), k), -1.0)
+        split, known = re.compile(lex.TOKEN_RE).findall, number.keys()
+        for batch in batches:
+            for start in range(0, batch.num_rows if items else 0, 256):
+                part = batch.slice(start, 256)
+                held = np.zeros((part.num_rows, len(number)), np.int32)
+                for row, text in enumerate(part.column(1)):
+                    # Tokens are ASCII, so the case of what lies between them doesn't matter.
+                    said = Counter(map(str.lower, split(text.as_py() or "")))
+                    for t in known & said.keys():
+                        held[row, number[t]] = said[t]
+                shared = np.zeros((len(items), part.num_rows))
+                for level, columns, at_least in levels:
+                    shared += at_least @ (held[:, columns] >= level).astype(np.float32).T
+                score = np.where(shared > 0, np.round(shared / total[:, None], 6), -1.0)
+                # Equal scores may still be among the first by their ids.
+                least = best.min(axis=1)
+                item, doc = np.nonzero((score > 0) & (score >= least[:, None] - 2e-6))
+                best = -np.partition(-np.hstack([best, score]), k - 1, axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([items[j] for j in item], kind), part.column(0).take(pa.array(doc)), pa.array(shared[item, doc] / total[item])], names=["item_id", "session_id", "score"]
+                )
+
+    return run
+
+
 def pair_lexical(pairs: DataFrame, questions: DataFrame, sessions: DataFrame) -> DataFrame:
     """(item_id, session_id, lexical) of the given pairs only, 0 where they share no token."""
     q = token_counts(questions, "item_id", "text")

@@ -147,7 +147,7 @@ def _supports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The five best documents of each question by lexical overlap, and their support; both sides are encoded in one pass."""
     q = read(spark, sf_dir, "benchmark").select("item_id", "text")
     s = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), "text")
-    pool = cut(rank.top_k(rank.lexical_scores(q, s), 5).select("item_id", "session_id", "lexical"))
+    pool = cut(rank.lexical_nearest(q, s, 5).select("item_id", "session_id", "lexical"))
     held = s.join(pool.select("session_id").distinct(), "session_id", "left_semi")
     masses = A.encoded(q, held, S.lexical_steps)
     return pool, A.support_of(masses, pool.select("item_id", "session_id"))

@@ -39,7 +39,7 @@ SQL_GOLD = "gold AS (SELECT item_id, doc_id AS session_id FROM benchmark b JOIN
 @query(f"WITH {SQL_SCORES} SELECT item_id, session_id, lexical, rank FROM rk WHERE rank <= 10")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each question by lexical overlap."""
-    return rank.top_k(rank.lexical_scores(_questions(spark, sf_dir), _sessions(spark, sf_dir)), 10)
+    return rank.lexical_nearest(_questions(spark, sf_dir), _sessions(spark, sf_dir), 10)
 
 
 @query(f"WITH {SQL_GOLD} SELECT * FROM gold")
@@ -58,7 +58,7 @@ FROM x GROUP BY GROUPING SETS ((), (question_type))"""
 def lexical_topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 1, 3, 5 and 10 and mean reciprocal rank, over all questions and by type."""
     q, s = _questions(spark, sf_dir), _sessions(spark, sf_dir)
-    ranked = rank.top_k(rank.lexical_scores(q, s), 10)
+    ranked = rank.lexical_nearest(q, s, 10)
     typed = q.select("item_id", T.task_type(F.col("text")).alias("question_type"))
     each = rank.recall_and_mrr(ranked, rank.containing(q, s), typed)
     means = [F.round(F.avg(c), 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "recall_10", "mrr")]
@@ -74,7 +74,7 @@ SELECT item_id, session_id, rank AS old_rank, CASE WHEN session_id = promoted TH
 def promote_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the first five the one with the best cue-aware score moves to the front; the ones before it move down."""
     q, s = _questions(spark, sf_dir), _sessions(spark, sf_dir)
-    ranked = rank.top_k(rank.lexical_scores(q, s), 5)
+    ranked = rank.lexical_nearest(q, s, 5)
     cues = q.select("item_id", F.slice(F.filter(F.split(T.normalise(F.col("text")), " "), lambda x: F.length(x) >= 5), 1, 3).alias("cues"))
     met = ranked.join(cues, "item_id").join(s, "session_id").withColumn("said", T.normalise(F.col("text")))
     hits = F.size(F.filter("cues", lambda c: F.contains(F.col("said"), c)))

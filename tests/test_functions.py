@@ -55,3 +55,20 @@ def test_feature_store_works_out_new_contents_only(spark):
     found = {r.id: (r.raw_bytes, sum(r.tf)) for r in store.features(one, "id").collect()}
     assert found == {0: (10, 3), 1: (10, 3), 2: (10, 3), 3: (0, 0)}
     store.drop()
+
+
+@pytest.mark.parametrize("at_once", [7, 20_000])
+def test_lexical_nearest_equals_the_inverted_join(spark, at_once):
+    import random
+
+    from memloom.operators import rank
+
+    dice = random.Random(3)
+    words = [f"word{i}" for i in range(40)] + ["the"] * 30 + ["ab", "Über", "X_y-1"]
+    text = lambda n: " ".join(dice.choices(words, k=n))
+    asked = spark.createDataFrame([(i, text(dice.choice((1, 4, 25)))) for i in range(30)] + [(99, ""), (98, None)], "item_id long, text string")
+    held = spark.createDataFrame([(i, text(dice.choice((0, 3, 60)))) for i in range(700)] + [(900, None)], "session_id long, text string").repartition(3)
+    got = rank.lexical_nearest(asked, held, 6, at_once).collect()
+    wanted = rank.top_k(rank.lexical_scores(asked, held), 6).collect()
+    key = lambda r: (r.item_id, r.session_id, r.lexical, r["rank"])
+    assert sorted(map(key, got)) == sorted(map(key, wanted)) and got
