@@ -10,8 +10,8 @@ overlap has no such place, or the encodings disagree about it, the overlap is
 widened, up to the whole rest of the text; the result is then the plain encoding's.
 
 A text is cut at its own stable places too: each distinct segment goes to the library
-once for each run of texts, and a memo that is bounded in bytes keeps its count until the
-task ends.
+once for each run of texts, and a memo that is bounded in bytes keeps its count; a
+worker hands it on from task to task.
 
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens; every row
 gives one row; special strings inside a text are what the library's default makes
@@ -22,6 +22,7 @@ texts, since the proof doesn't hold for them.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,9 +36,9 @@ LIMIT = 1024
 #: Characters of a chunk and of its overlap with the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Bytes that the memo of a worker holds at most, and bytes of texts counted together.
-MEMO, TOGETHER = 32 << 20, 2 << 20
-#: What an entry of the memo takes beside its characters, of up to four bytes each.
-ENTRY = 160
+MEMO, TOGETHER = 56 << 20, 2 << 20
+#: What an entry of the memo takes beside its text: a place in the table and a number.
+ENTRY = 120
 #: Before the space stands nothing that any engine takes for white space.
 STABLE = regex.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
 
@@ -71,7 +72,7 @@ class Counter:
             part = fresh[at : at + 4096]
             known.update(zip(part, (len(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
         found = [sum(map(known.__getitem__, parts)) if len(t) <= self.chunk else self.long(t) for parts, t in zip(cut, texts, strict=True)]
-        self.held += 4 * sum(map(len, fresh)) + ENTRY * len(fresh)
+        self.held += sum(map(sys.getsizeof, fresh)) + ENTRY * len(fresh)
         if self.held > self.memo:
             self.forget()
         return found
@@ -137,14 +138,11 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, chunk, overlap)
-        try:
-            for batch in batches:
-                for at, texts in runs(batch.column(1), 512, TOGETHER):
-                    part = batch.slice(at, len(texts))
-                    found = own.count_batch(texts)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
-        finally:
-            own.forget()
+        for batch in batches:
+            for at, texts in runs(batch.column(1), 512, TOGETHER):
+                part = batch.slice(at, len(texts))
+                found = own.count_batch(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     counted = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
