@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -44,9 +44,9 @@ from .common import runs
 #: Bytes that the memos of a worker hold at most, in all, beside what one run of texts adds.
 MEMO = 64 << 20
 #: Bytes of a pre-token that is merged together with others, and of all that share one queue.
-SHORT, QUEUE = 64, 256 << 10
-#: Texts whose new pre-tokens are merged together, by number and by bytes.
-TOGETHER, BYTES = 1024, 1 << 20
+SHORT, QUEUE = 64, 1 << 20
+#: Texts whose new pre-tokens are merged together, by number and by bytes: a step of the queue costs about the same for few as for many.
+TOGETHER, BYTES = 4096, 4 << 20
 #: Split patterns of which no match crosses a place between a character that isn't white space and a space.
 CUT_AT_SPACES = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
 
@@ -82,6 +82,11 @@ class _Memo(dict):
         self[key] = made
         self.held += self.ENTRY if isinstance(made, int) else self.ENTRY + 4 * len(key) + len(made)
 
+    def fill(self, keys: list[str], made: list[bytes]) -> None:
+        """put() of many."""
+        self.update(zip(keys, made, strict=True))
+        self.held += self.ENTRY * len(keys) + 4 * sum(map(len, keys)) + sum(map(len, made))
+
     def trim(self) -> None:
         if self.held > self.most:
             self.old = dict(self)
@@ -128,7 +133,17 @@ class Codec:
         found = self.find(text)
         if len(found) == 1:  # remembered as a segment
             return self._pretoken(found[0])
-        return b"".join(map(self.pretokens.__getitem__, found))
+        return self._joined(found)
+
+    def _joined(self, found: list[str]) -> bytes:
+        """The ids of a segment's pre-tokens; one that is a segment as well is remembered as that only."""
+        known, parts = self.after_space, self.pretokens
+        return b"".join([known[p[1:]] if self._spaced(p) else parts[p] for p in found])
+
+    @staticmethod
+    def _spaced(pretoken: str) -> bool:
+        """Whether it's a space and letters, digits or signs: a match by itself, whatever follows it."""
+        return pretoken[0] == " " and len(pretoken) > 1 and not pretoken[1].isspace()
 
     def _pretoken(self, text: str) -> bytes:
         data = text.encode()
@@ -259,52 +274,59 @@ class Codec:
         """Encode what the texts hold for the first time, all short pre-tokens at once."""
         for memo in (self.pairs, self.pretokens, self.after_space):
             memo.trim()
+        known, parts, find = self.after_space, self.pretokens, self.find
         segments: set[str] = set()
         pretokens: set[str] = set()
         for text in texts:
             if self._whole(text):
-                pretokens.update(self.find(text))
+                pretokens.update(find(text))
             else:
                 first, *rest = text.split(" ")
                 segments.update(rest)
-                pretokens.update(self.find(first))
-        known, parts = self.after_space, self.pretokens
-        find, rank_of, packed = self.find, self.ranks.get, self.packed
-        queue: list[tuple[_Memo, str, bytes]] = []
+                pretokens.update(find(first))
+        alone: set[str] = set()  # segments of one pre-token
+        several: dict[str, list[str]] = {}
+        for x in segments:
+            if x not in known and x not in known.old:
+                found = find(" " + x)
+                if len(found) == 1:
+                    alone.add(x)
+                else:
+                    several[x] = found
+        for p in set(chain.from_iterable(several.values())):
+            if not self._spaced(p):
+                pretokens.add(p)
+            elif (x := p[1:]) not in known and x not in known.old:
+                alone.add(x)
+        more = [x for x in pretokens if x not in parts and x not in parts.old]
+        self._learn(chain(((known, x, (" " + x).encode()) for x in alone), ((parts, x, x.encode()) for x in more)))
+        known.fill(list(several), list(map(self._joined, several.values())))
+
+    def _learn(self, asked: Iterable[tuple[_Memo, str, bytes]]) -> None:
+        """Remember pre-tokens: (where, under which key, its bytes). The short ones are merged together."""
+        rank_of, packed = self.ranks.get, self.packed
+        names: list[tuple[_Memo, str]] = []
+        queue: list[bytes] = []
         waiting = 0
-
-        def take(memo: _Memo, key: str, data: bytes) -> None:
-            nonlocal waiting
+        for memo, key, data in asked:
             whole = rank_of(data)
             if whole is not None:
                 memo.put(key, packed[whole])
             elif len(data) > SHORT:
                 memo.put(key, _packed(self.merge(data)))
             else:
-                queue.append((memo, key, data))
+                names.append((memo, key))
+                queue.append(data)
                 waiting += len(data)
                 if waiting > QUEUE:
-                    self._serve(queue)
-                    queue.clear()
-                    waiting = 0
+                    self._serve(names, queue)
+                    names, queue, waiting = [], [], 0
+        self._serve(names, queue)
 
-        for x in segments:
-            if x not in known and x not in known.old:
-                said = " " + x
-                found = find(said)
-                if len(found) == 1:
-                    take(known, x, said.encode())
-                else:
-                    pretokens.update(found)
-        for x in pretokens:
-            if x not in parts and x not in parts.old:
-                take(parts, x, x.encode())
-        self._serve(queue)
-
-    def _serve(self, queue: list[tuple[_Memo, str, bytes]]) -> None:
-        ids, ends = self._merged([data for _, _, data in queue])
+    def _serve(self, names: list[tuple[_Memo, str]], queue: list[bytes]) -> None:
+        ids, ends = self._merged(queue)
         whole, at = ids.tobytes(), 0
-        for (memo, key, _), end in zip(queue, ends):
+        for (memo, key), end in zip(names, ends, strict=True):
             memo.put(key, whole[4 * at : 4 * end])
             at = end
 

@@ -302,6 +302,17 @@ def test_bpe_primed_texts_equal_the_library(library):
     assert [codec.encode(t) for t in texts] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_a_word_is_merged_once_whatever_stands_beside_it(library, monkeypatch):
+    codec, asked = bpe.Codec(*bpe.default_vocabulary()), []
+    merged = codec._merged
+    monkeypatch.setattr(codec, "_merged", lambda items: (asked.append(list(items)), merged(items))[1])
+    texts = ["x qzwvkj qzwvkj, qzwvkj.\nqzwvkj \t\tqzwvkj", "y qzwvkj; 'qzwvkj qzwvkj\n", " qzwvkj \x1cqzwvkj qzwvkj's"]
+    codec.prime(texts)
+    assert len(asked) == 1  # one queue for all
+    assert asked[0].count(b" qzwvkj") == asked[0].count(b"qzwvkj") == 1
+    assert [codec.encode(t) for t in texts] == [library.encode(t, disallowed_special=()) for t in texts]
+
+
 def test_bpe_memo_does_not_change_results(library):
     small = bpe.Codec(*bpe.default_vocabulary(), memo=3)
     text = "these are more words than the memo holds and these come again " * 3
