@@ -78,6 +78,17 @@ def test_match_threshold_misses_one_pair_in_100000():
     assert below(t) <= 1e-5 < below(t + 1)
 
 
+def test_components_of_stars_and_chains_take_no_round_more_than_they_need(spark, monkeypatch):
+    rounds, write = [], minhash.materialise
+    monkeypatch.setattr(minhash, "materialise", lambda df, label: (rounds.append(label), write(df, label))[1])
+    star = spark.createDataFrame([(1, n) for n in range(2, 40)] + [(1, 2), (3, 1), (5, 5)], "a long, b long")
+    assert sorted(map(tuple, minhash.components(star).collect())) == [(n, 1) for n in range(2, 40)]
+    assert rounds == ["star"]
+    chain = spark.createDataFrame([(n, n + 1) for n in range(1, 30)] + [(50, 41), (50, 42), (60, 42)], "a long, b long")
+    assert sorted(map(tuple, minhash.components(chain).collect())) == [(n, 1) for n in range(2, 31)] + [(n, 41) for n in (42, 50, 60)]
+    assert not minhash.components(chain.where("a < 0")).count()
+
+
 def test_long_lists_and_hubs_are_dealt_over_shards(spark, monkeypatch):
     """With shards of four members every list, every class and every digest with more is split."""
     from memloom.llm import common
