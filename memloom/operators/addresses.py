@@ -23,6 +23,7 @@ from ..functions.lineage import cut
 from . import states as S
 
 ADDRESSES, DIM, LANES = 4096, 256, 8
+STILL = 1e-13  # less than this of a product of unit vectors is rounding
 STEP = ["session_id", "step_idx"]
 
 
@@ -169,7 +170,9 @@ def gated(items: DataFrame, context: DataFrame, addresses: int = ADDRESSES, top:
     a, b, re, im = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0)), F.col("re"), F.col("im")
     # The first argument is conjugated.
     score = met.groupBy(*STEP, "feature", "address").agg(F.first("weight").alias("weight"), F.sum(a * re + b * im).alias("x"), F.sum(a * im - b * re).alias("y"))
-    x, y = F.col("x"), F.col("y")
+    # Sums that cancel leave some 1e-17 in an order of their own; set against 1e-12 by the angle that would show in the ninth digit of a weight.
+    still = F.greatest(F.abs("x"), F.abs("y")) < STILL
+    x, y = (F.when(still, 0.0).otherwise(F.col(c)) for c in ("x", "y"))
     gate = sigmoid(3.2 * x + 1.4 * F.sqrt(x * x + y * y) + 0.6 * F.cos(F.atan2(y, x + 1e-12)))
     rows = score.withColumn("gate", gate)
     summed = rows.groupBy(*STEP, "address").agg(F.sum(F.col("weight") * F.col("gate")).alias("weight"), F.max("gate").alias("gate"))
