@@ -42,9 +42,13 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("session_id").alias("id"), "text")
 
 
-def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = texts(spark, sf_dir)
-    return V.text_volume(rows, V.bucket_idf(rows, AREA))
+    return V.packed_text(rows, V.bucket_idf(rows, AREA))
+
+
+def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.unpacked(packed_volume(spark, sf_dir))
 
 
 def _shown(df: DataFrame, value: str = "value") -> DataFrame:
@@ -75,8 +79,8 @@ def volume_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     idf = V.bucket_idf(docs, AREA)
     one = V.volume_vectors(V.text_volume(asked, idf)).withColumnsRenamed({"id": "item_id", "w": "x"})
     two = V.volume_vectors(V.text_volume(docs, idf)).withColumnRenamed("id", "session_id")
-    scores = one.join(two, ["u", "v"]).groupBy("item_id", "session_id").agg(F.round(F.sum(F.col("x") * F.col("w")), 6).alias("cosine"))
-    return rank.top_k(scores, 10, by="cosine")
+    bucket = (F.col("u") * V0 + F.col("v")).alias("bucket")
+    return rank.nearest(one.select("item_id", bucket, F.col("x").alias("w")), two.select("session_id", bucket, "w"), AREA, 10)
 
 
 def _shares(size: int, radius: int) -> str:
@@ -129,7 +133,7 @@ rs AS (SELECT id, (t + s * dt)::INT AS t, (u + s * du)::INT AS u, (v + s * dv)::
 @query(f"WITH {SQL_VOLUME}, {SQL_RESPONSE} {_sql_shown('rs', 'id, t, u, v, dir', 'response')}")
 def direction_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energy along thirteen directions through every voxel."""
-    return _shown(V.direction_response(volume(spark, sf_dir)), "response")
+    return _shown(V.direction_response(packed_volume(spark, sf_dir)), "response")
 
 
 @query(
@@ -138,7 +142,7 @@ m AS (SELECT *, best >= 0.25 * greatest(top, 1e-8) AS near, sum((best >= 0.25 *
 )
 def active_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The directions worth a tube in each volume."""
-    return V.active_directions(V.direction_response(volume(spark, sf_dir))).withColumn("best", F.round("best", 6))
+    return V.active_directions(V.best_responses(packed_volume(spark, sf_dir))).withColumn("best", F.round("best", 6))
 
 
 @query(
@@ -292,10 +296,8 @@ SELECT id, round(sqrt(sq) / greatest(norm, 1e-12), 6) AS rel_l2, round(CASE WHEN
 )
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error, stored bytes and ratio of encoding each session's volume: blurred base, tubes, junctions, sparse residual."""
-    rows = cut(volume(spark, sf_dir))
-    archive = C.encode(rows)
-    sizes = C.stored_bytes(archive).select("id", F.lit(4 * _SIZE).cast("long").alias("raw_bytes"), F.col("stored").cast("long").alias("stored_bytes"), F.round(4.0 * _SIZE / F.col("stored"), 6).alias("ratio"))
-    return V.error(rows, C.decode(archive)).select("id", F.round("rel_l2", 6).alias("rel_l2"), F.round("psnr", 4).alias("psnr")).join(sizes, "id")
+    made = C.errors(C.encoded(packed_volume(spark, sf_dir)))
+    return made.select("id", F.round("rel_l2", 6).alias("rel_l2"), F.round("psnr", 4).alias("psnr"), F.lit(4 * _SIZE).cast("long").alias("raw_bytes"), F.col("stored").alias("stored_bytes"), F.round(4.0 * _SIZE / F.col("stored"), 6).alias("ratio"))
 
 
 _DIR = f"bk AS (SELECT * FROM (VALUES {_BANK}) b(dir, dt, du, dv))"
@@ -315,8 +317,8 @@ SELECT ask.id, coalesce(max((dir = wanted)::INT), 0)::INT AS hit, min(CASE WHEN
 )
 def synthetic_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the tube that is planted into each session's volume is found again among the first three for its direction and time."""
-    field, planted = C.planted(cut(volume(spark, sf_dir)))
-    tubes = C.encode(field).tubes
+    field, planted = C.planted(volume(spark, sf_dir))
+    tubes = C.Archive(C.encoded(V.packed(field))).tubes
     asked = cut(planted.select(F.col("id").alias("query_id"), "id", F.col("dt").alias("qt"), F.col("du").alias("qu"), F.col("dv").alias("qv"), F.greatest(F.col("t") - 3, F.lit(0)).alias("q0"), F.least(F.col("t") + 3, F.lit(T0 - 1)).alias("q1"), V.modality(F.col("v")).alias("q_modality"), F.col("dir").alias("wanted")))
     ranked = V.retrieve_tubes(tubes, asked).select("query_id", "dir", "rank")
     same = F.col("dir") == F.col("wanted")
@@ -332,9 +334,9 @@ SELECT query_id, count(*) AS voxels, round(sum(value * value), 4) AS energy FROM
 )
 def box_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each session's archived volume the box around the three best tubes for its time axis: voxels and their energy."""
-    rows = cut(volume(spark, sf_dir))
-    archive = C.encode(rows)
-    asked = rows.select(F.col("id").alias("query_id"), "id", F.lit(1).alias("qt"), F.lit(0).alias("qu"), F.lit(0).alias("qv"), F.lit(0).alias("q0"), F.lit(T0 - 1).alias("q1"), V.modality(F.lit(0)).alias("q_modality")).distinct()
+    rows = packed_volume(spark, sf_dir)
+    archive = C.Archive(C.encoded(rows))
+    asked = rows.select(F.col("id").alias("query_id"), "id", F.lit(1).alias("qt"), F.lit(0).alias("qu"), F.lit(0).alias("qv"), F.lit(0).alias("q0"), F.lit(T0 - 1).alias("q1"), V.modality(F.lit(0)).alias("q_modality"))
     found = C.decode_boxes(archive, asked)
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("voxels"), F.round(F.sum(F.col("value") * F.col("value")), 4).alias("energy"))
 
