@@ -39,6 +39,27 @@ def fnv_many(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def fnv_joined(words: list[str], first: np.ndarray, second: np.ndarray, joint: bytes = b"__") -> np.ndarray:
+    """The hash of words[first] + joint + words[second] for pairs of word numbers: that of the first word goes on over the rest, words of one length at a time."""
+    out = fnv_many(words)[first]
+    for byte in joint:
+        out = (out ^ np.uint64(byte)) * PRIME
+    data = [w.encode() for w in words]
+    lens = np.fromiter(map(len, data), np.int64, len(data))
+    of = lens[second]
+    order = np.argsort(of, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        length = of[own[0]] if len(own) else 0
+        if length:
+            ids = np.flatnonzero(lens == length)
+            cells = np.frombuffer(b"".join(data[i] for i in ids), np.uint8).reshape(-1, length)[np.searchsorted(ids, second[own])]
+            h = out[own]
+            for j in range(length):
+                h = (h ^ cells[:, j]) * PRIME
+            out[own] = h
+    return out
+
+
 def _fnv(texts: pd.Series) -> pd.Series:
     return pd.Series(fnv_many(texts.tolist()).view(np.int64))
 

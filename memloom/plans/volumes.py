@@ -76,11 +76,10 @@ def volume_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best documents of each question by the cosine of their volumes summed over time."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    idf = V.bucket_idf(docs, AREA)
-    one = V.volume_vectors(V.text_volume(asked, idf)).withColumnsRenamed({"id": "item_id", "w": "x"})
-    two = V.volume_vectors(V.text_volume(docs, idf)).withColumnRenamed("id", "session_id")
-    bucket = (F.col("u") * V0 + F.col("v")).alias("bucket")
-    return rank.nearest(one.select("item_id", bucket, F.col("x").alias("w")), two.select("session_id", bucket, "w"), AREA, 10)
+    idf = cut(V.bucket_idf(docs, AREA))
+    vectors = lambda texts: V.packed_vectors(V.packed_text(texts, idf))
+    one = vectors(asked).select(F.col("id").alias("item_id"), F.explode(F.arrays_zip("b", "w")).alias("e")).select("item_id", F.col("e.b").alias("bucket"), "e.w")
+    return rank.nearest(one, vectors(docs).withColumnRenamed("id", "session_id"), AREA, 10)
 
 
 def _shares(size: int, radius: int) -> str:
