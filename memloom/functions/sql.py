@@ -28,14 +28,6 @@ def _fnv(texts: pd.Series) -> pd.Series:
     return pd.Series(hashing.fnv_many(texts.tolist()).view("int64"))
 
 
-class Tokens:
-    """ml_each_token(text): the tokens of a text with their places from 0; none for null."""
-
-    def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        for place, found in enumerate(re.finditer(lex.TOKEN_RE, text or "")):
-            yield place, found[0].lower()
-
-
 class Chunks:
     """ml_each_chunk(text, size): sentences of 8 characters or more in groups of size, joined by a full stop; without any, runs of 24 tokens."""
 
@@ -53,5 +45,7 @@ def register(spark: SparkSession) -> None:
     for name, parameters, kind, body in SQL_FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     spark.udf.register("ml_fnv64", F.pandas_udf(_fnv, LongType()))
-    spark.udtf.register("ml_each_token", udtf(Tokens, returnType="place INT, token STRING"))
+    # ml_each_token(text): the tokens of a text with their places from 0; none for null.
+    body = SQL_FUNCTIONS[0][3]  # a generator takes no SQL function
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ml_each_token(t STRING) RETURNS TABLE(place INT, token STRING) RETURN SELECT e.pos, e.col FROM posexplode({body}) e")
     spark.udtf.register("ml_each_chunk", udtf(Chunks, returnType="step_idx INT, chunk STRING"))

@@ -246,6 +246,6 @@ def sql_tokens_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every turn by the session's SQL functions: a table function, and two that are expressions."""
     sql.register(spark)
     rows = read(spark, sf_dir, "conversations")
-    return spark.sql(
-        "SELECT concat('conv_', conv_id) AS session_id, turn, t.place, t.token, cast(size(ml_tokens(text)) AS BIGINT) AS n_tokens, cast(length(ml_normalise(text)) AS BIGINT) AS n_plain FROM {rows}, LATERAL ml_each_token(text) t", rows=rows
-    )
+    # What is the same for all tokens of a turn is worked out before its tokens are.
+    turns = "SELECT concat('conv_', conv_id) AS session_id, turn, text, cast(size(ml_tokens(text)) AS BIGINT) AS n_tokens, cast(length(ml_normalise(text)) AS BIGINT) AS n_plain FROM {rows}"
+    return spark.sql(f"SELECT session_id, turn, t.place, t.token, n_tokens, n_plain FROM ({turns}), LATERAL ml_each_token(text) t", rows=rows)
